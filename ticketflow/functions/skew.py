@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketflow.session import cut_lineage
+
 
 def _order_cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
@@ -41,6 +43,10 @@ def sequence_within(df: DataFrame, keys: list[str], order: list, name: str = "rn
               .sortWithinPartitions(*kcols, *ocols)
               .withColumn("_seq_pid", F.spark_partition_id())
               .withColumn("_seq_mid", F.monotonically_increasing_id()))
+    # Each planned copy of a range exchange samples its own bounds, so the two
+    # consumers below must read one materialization: a reliable checkpoint in
+    # the shared checkpoint folder (also cuts lineage; survives executor loss).
+    staged = cut_lineage(staged)
     per_part = staged.groupBy("_seq_pid", *keys).agg(
         F.min("_seq_mid").alias("_seq_first"), F.count(F.lit(1)).alias("_seq_n"))
     before = Window.partitionBy(*keys).orderBy("_seq_pid").rowsBetween(Window.unboundedPreceding, -1)

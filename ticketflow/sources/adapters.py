@@ -23,8 +23,21 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+_READS: dict = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Parquet read, memoized per session and path (schema discovery runs once).
+
+    The DataFrame is lazy and immutable, so reuse only saves planning time;
+    every action still scans the files.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
 def _case(c: Column, mapping: dict, default=None) -> Column:
