@@ -30,7 +30,7 @@ def sla_hours_of(urgency) -> Column:
     """Hours for an urgency; unknown or null urgency falls back to 8."""
     u = col_of(urgency)
     m = F.create_map(*[x for k, v in SLA_HOURS.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(m, u), F.lit(DEFAULT_SLA_HOURS))
+    return F.coalesce(F.try_element_at(m, u), F.lit(DEFAULT_SLA_HOURS))
 
 
 def sla_state(df: DataFrame, as_of, hours_col: str | None = None,
@@ -97,7 +97,7 @@ def sla_lookup(tickets: DataFrame, settings: DataFrame, urgency_col: str = "urge
     """
     keys = F.create_map(*[x for k, v in SLA_SETTING_KEYS.items() for x in (F.lit(v), F.lit(k))])
     hours = (settings.where(F.col("setting_key").isin(*SLA_SETTING_KEYS.values()))
-             .select("id", F.element_at(keys, F.col("setting_key")).alias("_sla_urgency"),
+             .select("id", F.try_element_at(keys, F.col("setting_key")).alias("_sla_urgency"),
                      F.nullif(F.regexp_extract("setting_value", r"^\s*([+-]?\d+)", 1), F.lit(""))
                       .try_cast("int").alias("_v"))
              .groupBy("_sla_urgency")

@@ -203,7 +203,7 @@ def open_tickets(candidates: DataFrame, existing: DataFrame | None, queue_col: s
     yyyyMMdd-HHmmss; colliding ids within one second get '-2', '-3', ...
     """
     prefix_map = F.create_map(*[x for k, v in QUEUE_PREFIX.items() for x in (F.lit(k), F.lit(v))])
-    c = candidates.withColumn("_prefix", F.coalesce(F.element_at(prefix_map, F.col(queue_col)), F.lit("GEN-")))
+    c = candidates.withColumn("_prefix", F.coalesce(F.try_element_at(prefix_map, F.col(queue_col)), F.lit("GEN-")))
     t = F.col(thread_col)
     real = t.isNotNull() & (t != "")
     threaded, loose = c.where(real), c.where(~real)

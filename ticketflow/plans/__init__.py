@@ -4,3 +4,4 @@ from ticketflow.plans.registry import REGISTRY  # noqa: F401
 from ticketflow.plans import kpi_queries  # noqa: F401
 from ticketflow.plans import thread_queries  # noqa: F401
 from ticketflow.plans import lifecycle_queries  # noqa: F401
+from ticketflow.plans import text_queries  # noqa: F401

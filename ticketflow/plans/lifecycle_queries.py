@@ -79,7 +79,7 @@ def q_ticket_ordinal(spark, d):
 def _candidates(logs, log_type):
     q = F.create_map(*[x for k, v in L.CATEGORY_QUEUE.items() for x in (F.lit(k), F.lit(v))])
     return logs.where(F.col("log_type") == log_type).select(
-        "thread_ts", F.coalesce(F.element_at(q, F.col("category")), F.lit("general")).alias("queue"),
+        "thread_ts", F.coalesce(F.try_element_at(q, F.col("category")), F.lit("general")).alias("queue"),
         "created_at", F.col("id").alias("log_id"), F.col("user_id").alias("reporter_name"))
 
 
