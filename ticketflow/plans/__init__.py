@@ -5,3 +5,5 @@ from ticketflow.plans import kpi_queries  # noqa: F401
 from ticketflow.plans import thread_queries  # noqa: F401
 from ticketflow.plans import lifecycle_queries  # noqa: F401
 from ticketflow.plans import text_queries  # noqa: F401
+from ticketflow.plans import listing_queries  # noqa: F401
+from ticketflow.plans import search_queries  # noqa: F401
