@@ -114,7 +114,19 @@ USER_CATEGORY = {0: "it", 1: "hr", 2: "finance", 3: "other"}
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """helpdesk_logs from ``events``: thread = user + day; signups have no thread."""
-    e = read(spark, sf_dir, "events")
+    return logs_of(read(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The ``events`` table as a file stream (directory source, file glob)."""
+    r = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(sf_dir)
+
+
+def logs_of(e: DataFrame) -> DataFrame:
+    """The log mapping applied to any events frame (batch or streaming)."""
     et = F.col("event_type")
     return e.select(
         F.col("event_id").alias("id"),
