@@ -15,11 +15,10 @@ use the first 100 characters of the user's message as summary.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.functions.text import JS_SPACE, js_trim
-from ticketflow.functions.timeutil import col_of
 
 AGENT_SCHEMA = (
     "content array<struct<type: string, text: string, tool_result: struct<content: array<struct<"
@@ -70,74 +69,88 @@ def _reply_after_fence(content: Column) -> Column:
     return F.regexp_replace(tail, "^[-" + JS_SPACE[1:-1] + "]+", "")
 
 
-def parse_agent_response(response, message=None, variant: str = "general") -> list[Column]:
-    resp = F.coalesce(_truthy(col_of(response)), F.lit("{}"))
-    agent = F.from_json(resp, AGENT_SCHEMA)
-    error = _bad_json(resp)
-    items = F.coalesce(agent["content"], F.array())
-    text_item = F.try_element_at(F.filter(items, lambda x: x["type"] == "text"), F.lit(1))
-    content = F.coalesce(_truthy(text_item["text"]), F.lit(""))
-    fenced = content.rlike(FENCED_JSON)
-    reply_fenced = _reply_after_fence(content)
+def parse_agent_response(df: DataFrame, response: str = "response", message: str | None = None,
+                         variant: str = "general") -> DataFrame:
+    """Add the parsed columns to ``df`` (see module doc for the rules).
+
+    The work is staged in successive projections (raw JSON -> parsed
+    struct -> text content -> fenced block -> fields) so each expensive
+    step (``from_json``, regex scans) runs once per row: Catalyst does not
+    collapse projections that would duplicate a non-trivial expression.
+    """
+    base = df.columns
+    x = df.withColumn("_resp", F.coalesce(_truthy(F.col(response)), F.lit("{}")))
+    x = x.withColumn("_agent", F.from_json("_resp", AGENT_SCHEMA)).withColumn("_error", _bad_json(F.col("_resp")))
+    x = x.withColumn("_items", F.coalesce(F.col("_agent.content"), F.array()))
+    text_item = F.try_element_at(F.filter("_items", lambda i: i["type"] == "text"), F.lit(1))
+    x = x.withColumn("_content", F.coalesce(_truthy(text_item["text"]), F.lit("")))
+    x = x.withColumn("_fenced", F.col("_content").rlike(FENCED_JSON)) \
+         .withColumn("_reply_fenced", _reply_after_fence(F.col("_content")))
+    reply = F.when(F.col("_fenced"), F.coalesce(_truthy(F.col("_reply_fenced")), F.col("_content"))) \
+             .otherwise(F.col("_content"))
+    tmp = ["_resp", "_agent", "_error", "_items", "_content", "_fenced", "_reply_fenced"]
 
     if variant != "general":
-        msg = F.coalesce(col_of(message), F.lit("")) if message is not None else F.lit("")
-        reply = F.when(fenced, F.coalesce(_truthy(reply_fenced), content)).otherwise(content)
-        return [
+        msg = F.coalesce(F.col(message), F.lit("")) if message is not None else F.lit("")
+        err = F.col("_error")
+        out = x.select(
+            *base,
             F.lit(VARIANT_CATEGORY.get(variant, variant.upper())).alias("category"),
             F.lit(DEFAULT_PRIORITY).alias("priority"),
-            F.when(error, F.lit(VARIANT_ERROR_SUMMARY)).otherwise(F.substring(msg, 1, SNIPPET)).alias("summary"),
-            F.when(error, F.lit(VARIANT_ERROR_REPLY)).otherwise(reply).alias("ai_response_text"),
-            error.alias("parse_error"),
-        ]
-
-    block = F.regexp_extract(content, FENCED_JSON, 1)
-    block_bad = _bad_json(block)
-    raw_team = F.regexp_extract(content, RAW_WITH_TEAM, 0)
-    raw_resp = F.regexp_extract(content, RAW_WITH_RESPONSE, 0)
-    # fenced: block, else (block invalid) the raw match with escalation_team; invalid -> error
-    fenced_src = F.when(~block_bad, block).when(raw_team != "", raw_team)
-    inner_error = fenced & block_bad & (raw_team != "") & _bad_json(raw_team)
-    src = F.when(fenced, fenced_src).otherwise(F.when(raw_resp != "", raw_resp))
-    parsed = F.from_json(src, PARSED_SCHEMA)
-    err = error | inner_error
-
-    tool = F.try_element_at(F.filter(items, lambda x: x["type"] == "tool_result"), F.lit(1))
-    hits = F.coalesce(
+            F.when(err, F.lit(VARIANT_ERROR_SUMMARY)).otherwise(F.substring(msg, 1, SNIPPET)).alias("summary"),
+            F.when(err, F.lit(VARIANT_ERROR_REPLY)).otherwise(reply).alias("ai_response_text"),
+            err.alias("parse_error"))
+        return out
+
+    x = (x.withColumn("_block", F.regexp_extract("_content", FENCED_JSON, 1))
+          .withColumn("_raw_team", F.regexp_extract("_content", RAW_WITH_TEAM, 0))
+          .withColumn("_raw_resp", F.regexp_extract("_content", RAW_WITH_RESPONSE, 0)))
+    x = x.withColumn("_block_bad", _bad_json(F.col("_block")))
+    raw_team = F.col("_raw_team")
+    fenced_src = F.when(~F.col("_block_bad"), F.col("_block")).when(raw_team != "", raw_team)
+    src = F.when(F.col("_fenced"), fenced_src).otherwise(F.when(F.col("_raw_resp") != "", F.col("_raw_resp")))
+    inner_error = F.col("_fenced") & F.col("_block_bad") & (raw_team != "") & _bad_json(raw_team)
+    x = x.withColumn("_parsed", F.from_json(src, PARSED_SCHEMA)).withColumn("_err", F.col("_error") | inner_error)
+
+    tool = F.try_element_at(F.filter("_items", lambda i: i["type"] == "tool_result"), F.lit(1))
+    x = x.withColumn("_hits", F.coalesce(
         F.try_element_at(F.coalesce(tool["tool_result"]["content"], F.array()), F.lit(1))["json"]["search_results"],
-        F.array())
+        F.array()))
+    x = x.withColumn("_usage", F.try_element_at(
+        F.coalesce(F.col("_agent.metadata.usage.tokens_consumed"), F.array()), F.lit(1)))
     hit_id = lambda r: F.coalesce(_truthy(r["id"]), _truthy(r["kb_id"]))
-    ids = F.array_join(F.filter(F.transform(hits, hit_id), lambda x: x.isNotNull()), ",")
-    scores = F.transform(hits, lambda r: F.struct(
+    ids = F.array_join(F.filter(F.transform("_hits", hit_id), lambda v: v.isNotNull()), ",")
+    scores = F.transform("_hits", lambda r: F.struct(
         hit_id(r).alias("id"),
-        F.coalesce(_parse_float(F.coalesce(_truthy(r["@CONFIDENCE_SCORE"]),
-                                           _truthy(F.try_element_at(r["columns"], F.lit("@CONFIDENCE_SCORE"))),
-                                           F.lit("0"))), F.lit(None).cast("double")).alias("score"),
+        _parse_float(F.coalesce(_truthy(r["@CONFIDENCE_SCORE"]),
+                                _truthy(F.try_element_at(r["columns"], F.lit("@CONFIDENCE_SCORE"))),
+                                F.lit("0"))).alias("score"),
         F.substring(F.coalesce(_truthy(r["text"]), _truthy(r["question"]), F.lit("")), 1, SNIPPET).alias("text")))
-    usage = F.try_element_at(F.coalesce(agent["metadata"]["usage"]["tokens_consumed"], F.array()), F.lit(1))
-    steps = F.coalesce(parsed["resolution_steps"], parsed["resolutionSteps"], F.array().cast("array<string>"))
-    reply = F.when(fenced, F.coalesce(_truthy(reply_fenced), content)).otherwise(content)
-    needs = F.coalesce(parsed["needs_escalation"], F.lit(False)) | F.coalesce(parsed["needsEscalation"], F.lit(False))
+    p = F.col("_parsed")
+    steps = F.coalesce(p["resolution_steps"], p["resolutionSteps"], F.array().cast("array<string>"))
+    needs = F.coalesce(p["needs_escalation"], F.lit(False)) | F.coalesce(p["needsEscalation"], F.lit(False))
+    u = F.col("_usage")
+    err = F.col("_err")
 
     def ok(c, e):
         return F.when(err, e).otherwise(c)
 
-    return [
-        ok(F.coalesce(_truthy(parsed["category"]), F.lit(DEFAULT_CATEGORY)), F.lit("ERROR")).alias("category"),
-        ok(F.coalesce(_truthy(parsed["priority"]), F.lit(DEFAULT_PRIORITY)), F.lit("HIGH")).alias("priority"),
-        ok(F.coalesce(_truthy(parsed["summary"]), F.lit(DEFAULT_SUMMARY)), F.lit(ERROR_SUMMARY)).alias("summary"),
+    return x.select(
+        *base,
+        ok(F.coalesce(_truthy(p["category"]), F.lit(DEFAULT_CATEGORY)), F.lit("ERROR")).alias("category"),
+        ok(F.coalesce(_truthy(p["priority"]), F.lit(DEFAULT_PRIORITY)), F.lit("HIGH")).alias("priority"),
+        ok(F.coalesce(_truthy(p["summary"]), F.lit(DEFAULT_SUMMARY)), F.lit(ERROR_SUMMARY)).alias("summary"),
         ok(reply, F.lit(ERROR_REPLY)).alias("ai_response_text"),
         ok(needs, F.lit(True)).alias("needs_escalation"),
-        ok(F.coalesce(_truthy(parsed["escalation_team"]), _truthy(parsed["escalationTeam"])),
-           F.lit(ERROR_TEAM)).alias("escalation_team"),
+        ok(F.coalesce(_truthy(p["escalation_team"]), _truthy(p["escalationTeam"])), F.lit(ERROR_TEAM))
+         .alias("escalation_team"),
         ok(steps, F.array().cast("array<string>")).alias("resolution_steps"),
         ok(ids, F.lit("")).alias("matched_kb_ids"),
         ok(scores, F.array().cast(scores_type())).alias("confidence_scores"),
-        ok(F.coalesce(usage["input_tokens"]["total"], F.lit(0)), F.lit(0)).cast("int").alias("tokens_input"),
-        ok(F.coalesce(usage["output_tokens"]["total"], F.lit(0)), F.lit(0)).cast("int").alias("tokens_output"),
-        ok(F.coalesce(_truthy(usage["model_name"]), F.lit("unknown")), F.lit("unknown")).alias("model_name"),
-        err.alias("parse_error"),
-    ]
+        ok(F.coalesce(u["input_tokens"]["total"], F.lit(0)), F.lit(0)).cast("int").alias("tokens_input"),
+        ok(F.coalesce(u["output_tokens"]["total"], F.lit(0)), F.lit(0)).cast("int").alias("tokens_output"),
+        ok(F.coalesce(_truthy(u["model_name"]), F.lit("unknown")), F.lit("unknown")).alias("model_name"),
+        err.alias("parse_error"))
 
 
 def scores_type() -> str:

@@ -219,6 +219,12 @@ def open_tickets(candidates: DataFrame, existing: DataFrame | None, queue_col: s
     new = threaded.unionByName(loose)
     new = new.withColumn("_base_id", ticket_id_ts(F.col("_prefix"), F.col("created_at")))
     new = sequence_within(new, ["_base_id"], list(order), "_dup")
+    if existing is not None:
+        # ids already taken in the same second (earlier batches) shift the suffix numbering
+        taken = (existing.select(F.regexp_extract("ticket_id", r"^([A-Z]+-\d{8}-\d{6})", 1).alias("_base_id"))
+                 .where(F.col("_base_id") != "").groupBy("_base_id").agg(F.count(F.lit(1)).alias("_taken")))
+        new = new.join(taken, "_base_id", "left").withColumn(
+            "_dup", F.col("_dup") + F.coalesce(F.col("_taken"), F.lit(0))).drop("_taken")
     return new.withColumn("ticket_id", F.when(F.col("_dup") == 1, F.col("_base_id"))
                           .otherwise(F.concat(F.col("_base_id"), F.lit("-"), F.col("_dup").cast("string")))) \
               .drop("_prefix", "_base_id", "_dup")

@@ -110,7 +110,14 @@ _IDS = """
 f2n AS (SELECT * FROM f2 WHERE NOT EXISTS (
   SELECT 1 FROM t1 WHERE t1.thread_ts IS NOT NULL AND t1.thread_ts <> ''
     AND t1.thread_ts = f2.thread_ts AND regexp_extract(t1.ticket_id, '^([A-Z]+-)', 1) = f2.prefix))""",
-    _IDS.format(name="t2", src="f2n")]) + """
+    """
+t2 AS (
+  SELECT *, CASE WHEN rn2 = 1 THEN base ELSE base || '-' || CAST(rn2 AS VARCHAR) END AS ticket_id FROM (
+    SELECT x.*, x.rn + coalesce(tk.n, 0) AS rn2 FROM (
+      SELECT *, row_number() OVER (PARTITION BY base ORDER BY created_at, log_id) AS rn FROM (
+        SELECT *, prefix || strftime(created_at, '%Y%m%d-%H%M%S') AS base FROM f2n)) x
+    LEFT JOIN (SELECT regexp_extract(ticket_id, '^([A-Z]+-\\d{8}-\\d{6})', 1) AS b, count(*) AS n
+               FROM t1 GROUP BY 1) tk ON x.base = tk.b))"""]) + """
 SELECT ticket_id, thread_ts, log_id, created_at, reporter_name FROM t2""", ("logs",))
 def q_open_tickets(spark, d):
     """J4 + E3: tickets opened by inquiries, then the AI responses whose thread has none yet."""

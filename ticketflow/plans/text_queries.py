@@ -344,9 +344,7 @@ FROM f""")
 def q_parse_agent_response(spark, d):
     """E10 + F10: agent JSON (fenced, raw, broken, malformed) parsed back to log columns, then the
     confidence gate on the top search score. Reply text with an empty tail keeps the content."""
-    inp = _agent_inputs(spark, d)
-    cols = agent.parse_agent_response(F.col("response"))
-    out = inp.select("conv_id", "turn", *cols)
+    out = agent.parse_agent_response(_agent_inputs(spark, d)).drop("response")
     top = F.try_element_at(F.col("confidence_scores"), F.lit(1))["score"]
     out = out.select("*", top.alias("top_score"),
                      text.confidence_gate(~F.col("needs_escalation") & ~F.col("parse_error"), top).alias("gate"))

@@ -1,6 +1,6 @@
 """Replay-safe sinks for ``foreachBatch``.
 
-A state table lives in versioned folders ``<base>/v<batch id>`` with a
+A state table lives in versioned folders ``<base>/v<batch id + 1>`` with a
 ``_CURRENT`` pointer written last (write-then-rename through the Hadoop
 FileSystem API, so it works on HDFS/object stores as well as local disk).
 A batch that is replayed after a failure rewrites the same version from the
@@ -58,10 +58,31 @@ def publish(spark: SparkSession, base: str, version: str) -> None:
     fs.rename(tmp, dst)
 
 
-def write_version(df: DataFrame, base: str, batch_id: int) -> str:
-    name = f"v{batch_id:012d}"
+def _number(version_path: str | None) -> int:
+    if not version_path:
+        return -1
+    name = version_path.rstrip("/").rsplit("/", 1)[-1]
+    return int(name[1:]) if name.startswith("v") and name[1:].isdigit() else -1
+
+
+def committed(spark: SparkSession, base: str, batch_id: int) -> bool:
+    """True when the version of ``batch_id`` (or a later one) is already published."""
+    return _number(current_version(spark, base)) >= batch_id + 1
+
+
+def write_version(df: DataFrame, base: str, batch_id: int) -> str | None:
+    """Publish ``df`` as the version of ``batch_id`` (-1 seeds the table).
+
+    A batch whose version is already published is skipped, so a replay
+    after a failure between publish and the stream's commit is a no-op; a
+    replay after a failure before publish rewrites only its own folder.
+    """
+    spark = df.sparkSession
+    if committed(spark, base, batch_id):
+        return None
+    name = f"v{batch_id + 1:012d}"
     df.write.mode("overwrite").parquet(base + "/" + name)
-    publish(df.sparkSession, base, name)
+    publish(spark, base, name)
     return base + "/" + name
 
 
@@ -74,6 +95,8 @@ def upsert_batch(batch: DataFrame, batch_id: int, base: str, keys: list[str],
     replaced (anti join), everything else is carried over.
     """
     spark = batch.sparkSession
+    if committed(spark, base, batch_id):
+        return
     cols = batch.columns
     if order_col:
         latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), order_col).alias("_r")).select("_r.*")
