@@ -53,7 +53,7 @@ def test_strip_mentions_and_fit_bytes(spark):
         [("C1", None, "U1", "name", "<@U12AB> " + big, "1", "it"), ("C1", "t", "U1", None, "  hi <@X9>  ", "2", "hr")],
         "channel_id string, thread_ts string, user_id string, user_name string, message string, "
         "event_ts string, category string")
-    out = df.withColumn("message", text.strip_mentions("message")).select(text.fit_bytes().alias("v")).collect()
+    out = text.fit_bytes(df.withColumn("message", text.strip_mentions("message")), out="v").select("v").collect()
     v0 = json.loads(out[0].v)
     assert len(out[0].v.encode("utf-8")) <= 2000
     n = 3000

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.functions.timeutil import col_of
@@ -59,9 +59,14 @@ def js(pattern: str) -> str:
     return "".join(out)
 
 
+# The same whitespace set as characters, for btrim (no regex scan of the whole text).
+JS_SPACE_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000\ufeff")
+
+
 def js_trim(c) -> Column:
-    """JS String.prototype.trim (Spark trim strips only ' ')."""
-    return F.regexp_replace(col_of(c), f"^{JS_SPACE}+|{JS_SPACE}+\\z", "")
+    """JS String.prototype.trim (Spark's one-argument trim strips only ' ')."""
+    return F.btrim(col_of(c), F.lit(JS_SPACE_CHARS))
 
 
 # ---------------------------------------------------------------- E5 skip_reason
@@ -102,10 +107,22 @@ def java_regex(pattern: str, flags: str = "") -> str:
     return ("(?i)" if "i" in flags else "") + js(pattern)
 
 
+# Literals an unanchored pattern cannot match without; checked first with a plain
+# substring search, which skips the regex (and its backtracking) on long texts.
+REQUIRED_LITERAL = {r"名前[はがをと].+[、,].*(ID|id|ユーザー|番号)": "名前",
+                    r"(ID|id|ユーザー|番号)[はがをと]?.+[、,].*名前": "名前"}
+
+
+def _match(c: Column, p: str, f: str) -> Column:
+    hit = c.rlike(java_regex(p, f))
+    lit = REQUIRED_LITERAL.get(p)
+    return (c.contains(lit) & hit) if lit else hit
+
+
 def _any_match(c: Column, patterns) -> Column:
     if not patterns:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [c.rlike(java_regex(p, f)) for p, f in patterns])
+    return reduce(lambda a, b: a | b, [_match(c, p, f) for p, f in patterns])
 
 
 def skip_reason(message, variant: str = "general") -> Column:
@@ -142,30 +159,56 @@ def strip_mentions(text) -> Column:
 
 
 MAX_VALUE_BYTES = 2000  # fixed value: button payload limit
+SHORT_ESCAPED = '"\\\n\r\t\b\f'  # JSON escapes two bytes long
+CONTROL_ESCAPED = "".join(chr(c) for c in [*range(0, 8), 11, *range(14, 32)])  # escaped as \\u00XX
 VALUE_FIELDS = ["channel_id", "thread_ts", "user_id", "user_name", "message", "event_ts", "category"]
 
 
-def fit_bytes(max_bytes: int = MAX_VALUE_BYTES, message_col: str = "message",
-              fields: list[str] = VALUE_FIELDS) -> Column:
+def fit_bytes(df: DataFrame, max_bytes: int = MAX_VALUE_BYTES, message_col: str = "message",
+              fields: list[str] = VALUE_FIELDS, out: str = "value") -> DataFrame:
     """The button value JSON, halving the message until it fits in bytes.
 
     The reference recomputes ``json.dumps`` with ``msg[:len(msg)//2]`` until the
-    UTF-8 size is at most ``max_bytes``. The candidate lengths n, n//2, n//4,
-    ... are generated with ``sequence`` and the first that fits is taken; all
-    in one expression. Nulls serialize as null (``ignoreNullFields`` off).
+    UTF-8 size is at most ``max_bytes``. A candidate's size is computed without
+    serializing it: the JSON of the other fields with an empty message, plus the
+    prefix's UTF-8 bytes, plus one byte per short escape (quote, backslash,
+    \\n \\r \\t \\b \\f) and five per other control character (\\u00XX).
+    Every character takes at least one byte, so the candidates longer than the
+    byte budget cannot fit; the first one that may (found from log2 of the
+    length) and the next few halvings are measured as plain column
+    expressions, and the first that fits is serialized. Work per row is
+    bounded by the budget, not by the message length: the message length and
+    the JSON overhead are projected once, before the candidates use them.
     """
-    msg = F.coalesce(F.col(message_col), F.lit(""))
-    n = F.char_length(msg)
-    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")) + 1)
-
-    def value_for(k):
-        cut = F.substring(msg, F.lit(1), F.floor(n / F.pow(F.lit(2), k)).cast("int"))
-        parts = [cut.alias(f) if f == message_col else F.col(f).alias(f) for f in fields]
+    def as_json(m):
+        parts = [m.alias(f) if f == message_col else F.col(f).alias(f) for f in fields]
         return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
 
-    candidates = F.transform(steps, value_for)
-    fitting = F.filter(candidates, lambda v: F.octet_length(v) <= max_bytes)
-    return F.coalesce(F.try_element_at(fitting, F.lit(1)), F.try_element_at(candidates, F.lit(-1)))
+    x = df.withColumn("_fit_msg", F.coalesce(F.col(message_col), F.lit("")))
+    x = x.withColumn("_fit_n", F.char_length("_fit_msg")).withColumn("_fit_empty", F.octet_length(as_json(F.lit(""))))
+    n, empty, msg = F.col("_fit_n"), F.col("_fit_empty"), F.col("_fit_msg")
+    budget = F.lit(max_bytes) - empty
+    x = x.withColumn("_fit_start", F.when(n <= budget, F.lit(0)).otherwise(
+        F.floor(F.log2(n / (F.greatest(budget, F.lit(0)) + 1))).cast("int")))
+
+    def length(k):
+        return F.floor(n / F.pow(F.lit(2.0), k)).cast("int")
+
+    def fits(k):
+        p = F.substring(msg, F.lit(1), length(k))
+        short = F.char_length(p) - F.char_length(F.translate(p, SHORT_ESCAPED, ""))
+        ctrl = F.char_length(p) - F.char_length(F.translate(p, CONTROL_ESCAPED, ""))
+        size = empty + F.octet_length(p) + short + ctrl * 5
+        return (k >= 0) & (length(k) <= budget) & (size <= max_bytes)
+
+    ks = [F.col("_fit_start") + i for i in range(HALVINGS_MEASURED)]
+    chosen = F.coalesce(*[F.when(fits(k), k) for k in ks], F.lit(63))  # 63: empty message
+    x = x.withColumn("_fit_k", F.when(budget < 0, F.lit(63)).otherwise(chosen))
+    x = x.withColumn(out, as_json(F.substring(msg, F.lit(1), length(F.col("_fit_k")))))
+    return x.drop("_fit_msg", "_fit_n", "_fit_empty", "_fit_start", "_fit_k")
+
+
+HALVINGS_MEASURED = 16  # from one below the first possible fit: covers 6-byte escapes of every char
 
 
 def truncate(text, n: int) -> Column:

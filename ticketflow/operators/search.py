@@ -27,8 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketflow.session import cut_lineage
+
 RANK_DECIMALS = 9
 MAX_BROADCAST_QUERIES = 50_000
+MAX_BM25_QUERIES = 2_000  # weight matrix: queries x distinct query terms, float64
 
 
 def _chunks(queries: DataFrame, qid: str, max_queries: int) -> list[DataFrame]:
@@ -132,7 +135,7 @@ def tokens(text_col: str = "text", ngram: int = 0):
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "query_id",
               doc_id: str = "doc_id", text: str = "text", ngram: int = 0, k1: float = BM25_K1,
-              b: float = BM25_B, max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+              b: float = BM25_B, max_queries: int = MAX_BM25_QUERIES) -> DataFrame:
     """K2: exact BM25 top-k documents per query text.
 
     Spark computes, for the query terms only: document frequencies (a
@@ -156,42 +159,54 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "
         postings = (d.select("d", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                     .join(F.broadcast(term_set), "term", "left_semi")
                     .groupBy("d", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+        # read twice (document frequencies, then scoring): materialize once in the
+        # shared checkpoint folder instead of tokenizing the corpus twice
+        postings = cut_lineage(postings)
         dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         weights = (qterms.join(dfreq, "term")
                    .withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
                    .select("qid", "term", (F.col("idf") * F.col("qtf")).alias("w")))
         wpdf = weights.toPandas()  # bounded: (query, term) pairs of the checked query chunk
-        qids = np.sort(wpdf["qid"].unique()) if len(wpdf) else np.array([], dtype=np.int64)
-        qpos = {q: i for i, q in enumerate(qids)}
-        by_term: dict = {}
-        for q, t, w in wpdf.itertuples(index=False):
-            by_term.setdefault(t, []).append((qpos[q], w))
-        by_term = {t: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for t, v in by_term.items()}
-        bw = spark.sparkContext.broadcast((qids, by_term))
-        per_doc = postings.groupBy("d", "dl").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("tfs"))
+        if len(wpdf) == 0:
+            continue
+        qids = np.sort(wpdf["qid"].unique())
+        terms = np.sort(wpdf["term"].unique())
+        qpos = pd.Series(np.arange(len(qids)), index=qids)
+        tpos = pd.Series(np.arange(len(terms)), index=terms)
+        wmat = np.zeros((len(qids), len(terms)), dtype=np.float64)
+        wmat[qpos[wpdf["qid"]].to_numpy(), tpos[wpdf["term"]].to_numpy()] = wpdf["w"].to_numpy()
+        bw = spark.sparkContext.broadcast((qids, wmat))
+        tdict = spark.createDataFrame(pd.DataFrame({"term": terms, "t": np.arange(len(terms), dtype=np.int64)}))
+        per_doc = (postings.join(F.broadcast(tdict), "term")
+                   .groupBy("d", "dl").agg(F.collect_list(F.struct("t", "tf")).alias("p"))
+                   .select("d", "dl", F.transform("p", lambda e: e["t"]).alias("ts"),
+                           F.transform("p", lambda e: e["tf"]).alias("tfs")))
 
         def score(batches, bw=bw, avgdl=avgdl):
-            ids, table = bw.value
-            if len(ids) == 0:
-                return
+            ids, wm = bw.value
+            budget = max(1000, 20_000_000 // max(len(ids), 1))  # pairs per slice: Q x pairs floats
             for pdf in batches:
                 if len(pdf) == 0:
                     continue
-                s = np.zeros((len(ids), len(pdf)))
-                for j, (dl, tfs) in enumerate(zip(pdf["dl"], pdf["tfs"])):
-                    norm = k1 * (1 - b + b * (dl / avgdl if avgdl > 0 else 0.0))
-                    for item in tfs:
-                        hit = table.get(item["term"])
-                        if hit is not None:
-                            tf = item["tf"]
-                            s[hit[0], j] += hit[1] * (tf * (k1 + 1) / (tf + norm))
-                has = np.zeros_like(s, dtype=bool)
-                for j, tfs in enumerate(pdf["tfs"]):
-                    for item in tfs:
-                        hit = table.get(item["term"])
-                        if hit is not None:
-                            has[hit[0], j] = True
-                s[~has] = -np.inf
+                lens = pdf["ts"].map(len).to_numpy()
+                ts = np.concatenate(pdf["ts"].to_numpy()).astype(np.int64)
+                tf = np.concatenate(pdf["tfs"].to_numpy()).astype(np.float64)
+                dl = pdf["dl"].to_numpy(dtype=np.float64)
+                norm = k1 * (1 - b + b * (dl / avgdl if avgdl > 0 else 0.0))
+                v = tf * (k1 + 1) / (tf + np.repeat(norm, lens))
+                ends = np.cumsum(lens)
+                starts = ends - lens
+                s = np.empty((len(ids), len(pdf)))
+                j0 = 0
+                while j0 < len(pdf):  # slices of whole documents with a bounded number of pairs
+                    j1 = j0 + 1
+                    while j1 < len(pdf) and ends[j1] - starts[j0] <= budget:
+                        j1 += 1
+                    p0, p1 = starts[j0], ends[j1 - 1]
+                    contrib = wm[:, ts[p0:p1]] * v[p0:p1]
+                    s[:, j0:j1] = np.add.reduceat(contrib, starts[j0:j1] - p0, axis=1)
+                    j0 = j1
+                s[s <= 0] = -np.inf  # no shared term: the document does not rank for that query
                 idx = _local_topk(s, k)
                 rows_q = np.repeat(np.arange(len(ids)), idx.shape[1])
                 cols = idx.reshape(-1)
@@ -201,6 +216,8 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "
                                     "score": sc[keep]})
 
         out.append(per_doc.mapInPandas(score, "query_id long, item_id long, score double"))
+    if not out:
+        return spark.createDataFrame([], f"{query_id} long, {doc_id} long, score double, rank int")
     partial = reduce(lambda a, b_: a.unionByName(b_), out)
     top = _global_topk(partial, k, "query_id", "item_id", "score")
     return top.select(F.col("query_id").alias(query_id), F.col("item_id").alias(doc_id),

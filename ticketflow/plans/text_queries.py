@@ -90,7 +90,7 @@ def q_fit_bytes(spark, d):
         F.concat(F.lit("U"), F.col("doc_id").cast("string")).alias("user_id"),
         F.col("source").alias("user_name"), text.strip_mentions("text").alias("message"),
         F.col("doc_id").cast("string").alias("event_ts"), F.lit("it").alias("category"))
-    v = docs.select("doc_id", text.fit_bytes().alias("value"))
+    v = text.fit_bytes(docs).select("doc_id", "value")
     return v.select("doc_id", "value", F.octet_length("value").cast("long").alias("value_bytes"))
 
 
