@@ -148,20 +148,25 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("d"), tokens(text, ngram).alias("toks"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     out = []
     qsel = queries.select(F.col(query_id).alias("qid"), tokens(text, ngram).alias("qt"))
     for chunk in _chunks(qsel, "qid", max_queries):
         qterms = (chunk.select("qid", F.explode("qt").alias("term"))
                   .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
-        term_set = qterms.select("term").distinct()
-        postings = (d.select("d", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-                    .join(F.broadcast(term_set), "term", "left_semi")
-                    .groupBy("d", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-        # read twice (document frequencies, then scoring): materialize once in the
-        # shared checkpoint folder instead of tokenizing the corpus twice
+        term_set = qterms.select("term").distinct().withColumn("_q", F.lit(True))
+        # one pass over the corpus: every document emits its query-term occurrences plus one
+        # sentinel row (term NULL) carrying its length, for N and avgdl
+        exploded = d.select("d", F.size("toks").alias("dl"),
+                            F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))).alias("term"))
+        kept = exploded.join(F.broadcast(term_set), "term", "left").where(F.col("term").isNull() | F.col("_q"))
+        postings = kept.groupBy("d", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        # read three times (statistics, document frequencies, scoring): materialize once in the
+        # shared checkpoint folder instead of tokenizing the corpus again
         postings = cut_lineage(postings)
+        stats = postings.where(F.col("term").isNull()).agg(
+            F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+        n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
+        postings = postings.where(F.col("term").isNotNull())
         dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         weights = (qterms.join(dfreq, "term")
                    .withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
