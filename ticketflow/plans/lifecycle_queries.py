@@ -289,3 +289,31 @@ def q_update_ticket_status(spark, d):
                  F.lit(None).cast("string").alias("action_by")))
     _, actions, _ = L.update_ticket_status(t, u, TICKETS_AS_OF)
     return actions
+
+
+@register("ticket_conversation", "WITH " + ",".join([
+    _CAND.format(name="c1", lt="INQUIRY"), _PICK.format(name="f1", src="c1"), _IDS.format(name="t1", src="f1")]) + """
+SELECT t1.ticket_id, t1.thread_ts, l.id AS log_id, l.log_type, l.message, l.ai_response_text,
+       l.created_at AS log_created_at
+FROM t1 LEFT JOIN logs l ON l.thread_ts = t1.thread_ts AND l.thread_ts IS NOT NULL AND l.thread_ts <> ''""",
+          ("logs",))
+def q_ticket_conversation(spark, d):
+    """J4 then J1: tickets opened by inquiries, each with every log row of its thread."""
+    from ticketflow.operators import threads
+    logs = A.logs(spark, d)
+    tickets = L.open_tickets(_candidates(logs, "INQUIRY"), None)
+    return threads.ticket_conversation(tickets, logs)
+
+
+@register("ticket_history", "WITH " + _VERSIONS.replace("v AS (", "v AS (", 1) + """
+SELECT ticket_id, version_id, field, old_value, new_value,
+       row_number() OVER (PARTITION BY ticket_id ORDER BY created_at DESC, version_id DESC, field DESC) AS ordinal
+FROM u""", ("ticket_versions",))
+def q_ticket_history(spark, d):
+    """J3 change history of each ticket, newest first (skew-safe numbering per ticket)."""
+    from ticketflow.operators import threads
+    hist = L.change_log(A.ticket_versions(spark, d))
+    parents = A.ticket_versions(spark, d).select("ticket_id")
+    out = threads.children_of(parents, hist, "ticket_id", ["created_at", "version_id", "field"], descending=True)
+    return out.select("ticket_id", "version_id", "field", "old_value", "new_value",
+                      F.col("ordinal").cast("long").alias("ordinal"))
