@@ -115,3 +115,31 @@ def test_versioned_sink_is_replay_safe(spark):
     sinks.upsert_batch(upd, 1, base, ["id"])  # replayed batch
     assert sorted(tuple(r) for r in sinks.read_current(spark, base).collect()) == [(1, "b"), (2, "c")]
     assert os.path.basename(sinks.current_version(spark, base)) == "v000000000002"
+
+
+def test_batch_sessions_match_brute_force_with_a_hot_user(spark):
+    t0 = datetime(2024, 1, 5, 9, 0, 0)
+    rows, i = [], 0
+    for k in range(300):  # user U1 holds most rows; gaps of 10, 40 and exactly 30 minutes
+        rows.append((i, "U1", t0 + timedelta(minutes=[10, 40, 30][k % 3] * k), "INQUIRY" if k % 2 else "AI_RESPONSE"))
+        i += 1
+    for k in range(20):
+        rows.append((i, f"U{k % 4 + 2}", t0 + timedelta(minutes=7 * k), "INQUIRY"))
+        i += 1
+    rows.append((i, "U2", t0 + timedelta(minutes=7), "INQUIRY"))  # equal timestamps
+    df = spark.createDataFrame(rows, "id long, user_id string, created_at timestamp_ntz, log_type string")
+    got = sorted(tuple(r) for r in jobs.conversation_sessions(df, "30 minutes").collect())
+    want = []
+    by_user = {}
+    for r in sorted(rows, key=lambda x: (x[1], x[2], x[0])):
+        by_user.setdefault(r[1], []).append(r)
+    for u, evs in by_user.items():
+        cur = None
+        for _, _, ts, lt in evs:
+            if cur is None or ts >= cur["last"] + timedelta(minutes=30):
+                if cur:
+                    want.append((u, cur["start"], cur["last"] + timedelta(minutes=30), cur["n"], cur["q"]))
+                cur = {"start": ts, "last": ts, "n": 0, "q": 0}
+            cur["last"], cur["n"], cur["q"] = ts, cur["n"] + 1, cur["q"] + (lt == "INQUIRY")
+        want.append((u, cur["start"], cur["last"] + timedelta(minutes=30), cur["n"], cur["q"]))
+    assert got == sorted(want)

@@ -64,3 +64,34 @@ def salted_key(col: str, buckets: int, salt_from: str | None = None) -> Column:
     """A salt for splitting a hot key over ``buckets`` tasks (hash of a row column)."""
     src = F.col(salt_from) if salt_from else F.monotonically_increasing_id()
     return F.pmod(F.xxhash64(src), F.lit(buckets))
+
+
+def running_sum_within(df: DataFrame, keys: list[str], order: list, value: str, name: str = "running_sum",
+                       partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = inclusive running sum of ``value`` within each key by ``order``.
+
+    Same pattern as ``sequence_within``: range partitioning splits a hot key
+    over many partitions; a window over (partition, key) sums locally (each
+    such group is bounded by one range partition); a small per-(partition,
+    key) total table gives the sum of earlier partitions; rows join back.
+    ``order`` must be a total order.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ocols = _order_cols(order)
+    kcols = [F.col(k) for k in keys]
+    staged = (df.repartitionByRange(n, *kcols, *ocols)
+              .withColumn("_rs_pid", F.spark_partition_id()))
+    staged = cut_lineage(staged)  # one set of range bounds for both consumers
+    local_w = Window.partitionBy("_rs_pid", *keys).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, 0)
+    local = staged.withColumn("_rs_local", F.sum(value).over(local_w))
+    per_part = staged.groupBy("_rs_pid", *keys).agg(F.sum(value).alias("_rs_tot"))
+    before = Window.partitionBy(*keys).orderBy("_rs_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = per_part.withColumn("_rs_before", F.coalesce(F.sum("_rs_tot").over(before), F.lit(0)))
+    p = per_part.alias("_p")
+    s = local.alias("_s")
+    cond = [F.col("_s._rs_pid") == F.col("_p._rs_pid")]
+    cond += [F.col(f"_s.{k}").eqNullSafe(F.col(f"_p.{k}")) for k in keys]
+    joined = s.join(p, reduce(lambda a, b: a & b, cond))
+    return joined.select("_s.*", (F.col("_s._rs_local") + F.col("_p._rs_before")).alias(name)) \
+                 .drop("_rs_pid", "_rs_local")

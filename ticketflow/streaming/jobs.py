@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ticketflow import schemas
 from ticketflow.functions import sla, text
 from ticketflow.operators import kpi, lifecycle
+from ticketflow.functions.skew import running_sum_within, sequence_within
 from ticketflow.session import checkpoint_dir
 from ticketflow.streaming import sinks
 
@@ -163,19 +164,45 @@ def kpi_finish(windows: DataFrame) -> DataFrame:
 
 def conversation_sessions(logs: DataFrame, gap: str = "30 minutes", user_col: str = "user_id",
                           delay: str | None = None) -> DataFrame:
-    """Activity sessions per user with ``session_window`` (batch or stream).
+    """Activity sessions per user (start, end = last event + gap, counts).
 
     A new session starts when an event comes ``gap`` or more after the
-    previous one. Streaming use needs ``delay`` for the watermark.
+    previous one (``session_window`` semantics). A streaming frame uses
+    ``session_window`` with a watermark (``delay``), so state stays bounded.
+    A batch frame uses the skew-safe form: positions per user, the previous
+    event by a join on (user, position - 1), session numbers as a running sum
+    of session starts; one user holding a third of all events is spread over
+    many tasks instead of one.
     """
-    t = logs.withColumn("event_time", F.col("created_at").cast("timestamp"))
-    if delay:
-        t = t.withWatermark("event_time", delay)
-    return (t.groupBy(user_col, F.session_window("event_time", gap).alias("s"))
-            .agg(F.count(F.lit(1)).alias("events"),
+    if logs.isStreaming:
+        t = logs.withColumn("event_time", F.col("created_at").cast("timestamp"))
+        if delay:
+            t = t.withWatermark("event_time", delay)
+        return (t.groupBy(user_col, F.session_window("event_time", gap).alias("s"))
+                .agg(F.count(F.lit(1)).alias("events"),
+                     F.count_if(F.col("log_type") == "INQUIRY").alias("inquiries"))
+                .select(user_col, F.col("s.start").cast("timestamp_ntz").alias("session_start"),
+                        F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events", "inquiries"))
+    minutes = _gap_minutes(gap)
+    ev = logs.where(F.col("created_at").isNotNull()).select(user_col, "created_at", "id", "log_type")
+    seq = sequence_within(ev, [user_col], ["created_at", "id"], "_pos")
+    prev = seq.select(F.col(user_col).alias("_pu"), (F.col("_pos") + 1).alias("_pp"),
+                      F.col("created_at").alias("_prev"))
+    j = seq.join(prev, (F.col(user_col).eqNullSafe(F.col("_pu"))) & (F.col("_pos") == F.col("_pp")), "left")
+    start = F.col("_prev").isNull() | (F.col("created_at") >= F.timestamp_add("MINUTE", F.lit(minutes), F.col("_prev")))
+    j = j.select(user_col, "created_at", "id", "log_type", F.when(start, 1).otherwise(0).alias("_start"))
+    numbered = running_sum_within(j, [user_col], ["created_at", "id"], "_start", "_session")
+    return (numbered.groupBy(user_col, "_session")
+            .agg(F.min("created_at").alias("session_start"),
+                 F.timestamp_add("MINUTE", F.lit(minutes), F.max("created_at")).alias("session_end"),
+                 F.count(F.lit(1)).alias("events"),
                  F.count_if(F.col("log_type") == "INQUIRY").alias("inquiries"))
-            .select(user_col, F.col("s.start").cast("timestamp_ntz").alias("session_start"),
-                    F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events", "inquiries"))
+            .drop("_session"))
+
+
+def _gap_minutes(gap: str) -> int:
+    num, unit = gap.split()
+    return int(num) * {"minute": 1, "minutes": 1, "hour": 60, "hours": 60}[unit.lower()]
 
 
 # ---------------------------------------------------------------- T7 SLA timers
