@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketflow.session import cut_lineage
+from ticketflow.session import cut_lineage, ship_package
 
 RANK_DECIMALS = 9
 MAX_BROADCAST_QUERIES = 50_000
@@ -72,6 +72,7 @@ def similar_vectors(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id:
     and never rank. Filter the corpus first for K4 attribute filters.
     """
     spark = corpus.sparkSession
+    ship_package(spark)
     out = []
     for chunk in _chunks(queries.select(F.col(query_id).alias("qid"), F.col(vector).alias("qv")),
                          "qid", max_queries):
@@ -147,6 +148,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "
     partition. idf = ln((N - df + 0.5) / (df + 0.5) + 1).
     """
     spark = docs.sparkSession
+    ship_package(spark)
     d = docs.select(F.col(doc_id).alias("d"), tokens(text, ngram).alias("toks"))
     out = []
     qsel = queries.select(F.col(query_id).alias("qid"), tokens(text, ngram).alias("qt"))

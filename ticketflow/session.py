@@ -63,3 +63,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A subfolder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ticketflow`` importable in executor Python workers (mapInPandas,
+    applyInPandasWithState): zip the package in memory, write it under the
+    shared checkpoint folder through the Hadoop FileSystem API, ``addPyFile`` it.
+    Once per application."""
+    import io
+    import uuid
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    dest = checkpoint_dir(spark).rstrip("/") + f"/pkg-{uuid.uuid4().hex[:8]}/ticketflow.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(dest)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(dest)
+    _SHIPPED.add(sc.applicationId)

@@ -23,7 +23,7 @@ from ticketflow import schemas
 from ticketflow.functions import sla, text
 from ticketflow.operators import kpi, lifecycle
 from ticketflow.functions.skew import running_sum_within, sequence_within
-from ticketflow.session import checkpoint_dir
+from ticketflow.session import checkpoint_dir, ship_package
 from ticketflow.streaming import sinks
 
 
@@ -265,6 +265,7 @@ def sla_breach_stream(ticket_events: DataFrame, delay: str = "10 minutes") -> Da
     Timers fire when the watermark passes them, so a breach is reported
     once the stream has seen time beyond the deadline.
     """
+    ship_package(ticket_events.sparkSession)
     ev = ticket_events.withColumn("event_time", F.col("at").cast("timestamp")).withWatermark("event_time", delay)
     ev = ev.withColumn("event_ms", F.unix_millis("event_time"))
     return ev.groupBy("ticket_id").applyInPandasWithState(
