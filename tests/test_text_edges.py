@@ -142,3 +142,12 @@ def test_split_tags_and_similarity_pct(spark):
     r = df.select(text.split_tags("tags").alias("t"), text.similarity_pct("s").alias("p")).collect()
     assert r[0].t == ["a", "b", "c"] and r[1].t == []
     assert (r[0].p, r[1].p) == (13, 1)
+
+
+def test_escape_json_text_and_truncate(spark):
+    s = 'a\\b"c\nd\re\tf'
+    r = _one(spark, [(s,)], "t string", text.escape_json_text("t").alias("e"),
+             text.escape_json_text("t", extra=False).alias("e2"), text.truncate("t", 3).alias("c"))[0]
+    assert r.e == 'a\\\\b\\"c\\nd\\re\\tf'
+    assert r.e2 == 'a\\\\b\\"c\\nd\re\tf'
+    assert r.c == 'a\\b'

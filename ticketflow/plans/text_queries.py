@@ -349,3 +349,15 @@ def q_parse_agent_response(spark, d):
     out = out.select("*", top.alias("top_score"),
                      text.confidence_gate(~F.col("needs_escalation") & ~F.col("parse_error"), top).alias("gate"))
     return round_doubles(out.drop("confidence_scores"))
+
+
+@register("message_snippets", """
+SELECT conv_id, turn, substr(coalesce(text, ''), 1, 100) AS summary, substr(coalesce(text, ''), 1, 2900) AS reply,
+       replace(replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'),
+               chr(9), '\\t') AS escaped
+FROM conversations""")
+def q_message_snippets(spark, d):
+    """E7 summary (first 100) and reply (first 2900) cuts, E8 JSON-text escaping of every turn."""
+    cv = A.read(spark, d, "conversations")
+    return cv.select("conv_id", "turn", text.truncate("text", 100).alias("summary"),
+                     text.truncate("text", 2900).alias("reply"), text.escape_json_text("text").alias("escaped"))
