@@ -366,3 +366,29 @@ def q_ai_quality(spark, d):
         F.col("response_ms").alias("response_time_ms"),
         (F.col("outcome") == "escalated").alias("escalated"))
     return kpi.ai_quality(resp, "category")
+
+
+@register("ai_quality_rates", """
+WITH i AS (SELECT id AS inquiry_id, created_at AS inq_at, category FROM logs WHERE log_type = 'INQUIRY'),
+r AS (SELECT id AS response_id, inquiry_id AS r_inq, created_at AS resp_at FROM logs WHERE log_type = 'AI_RESPONSE'),
+e AS (SELECT id AS evaluation_id, inquiry_id AS e_resp, evaluation FROM logs WHERE log_type = 'EVALUATION'),
+c AS (SELECT category, epoch_us(resp_at) // 1000 - epoch_us(inq_at) // 1000 AS ms,
+             CASE WHEN evaluation_id IS NULL THEN 'pending' WHEN evaluation IN ('resolved', 'helpful') THEN 'resolved'
+                  WHEN evaluation = 'escalate' THEN 'escalated' WHEN evaluation = 'direct_ticket' THEN 'human'
+                  ELSE evaluation END AS outcome
+      FROM i JOIN r ON inquiry_id = r_inq LEFT JOIN e ON response_id = e_resp)
+SELECT category, count(*) AS responses,
+       round(avg(CASE WHEN outcome = 'resolved' THEN 1.0 ELSE 0.0 END), 6) AS helpful_rate,
+       round(avg(CASE WHEN outcome = 'escalated' THEN 1.0 ELSE 0.0 END), 6) AS escalation_rate,
+       round(avg(ms), 6) AS avg_response_ms
+FROM c GROUP BY category""", ("logs",))
+def q_ai_quality_rates(spark, d):
+    """A20 (exact part) per category over the J8 chain: helpful and escalation rates, mean latency."""
+    from ticketflow.operators import threads
+    chain = threads.reply_chain(A.logs(spark, d))
+    resp = chain.select(
+        "category", F.lit(None).cast("double").alias("confidence_score"),
+        (F.col("outcome") == "resolved").alias("was_helpful"),
+        F.col("response_ms").alias("response_time_ms"), (F.col("outcome") == "escalated").alias("escalated"))
+    out = kpi.ai_quality(resp, "category")
+    return round_doubles(out.select("category", "responses", "helpful_rate", "escalation_rate", "avg_response_ms"))
