@@ -74,3 +74,10 @@ def test_read_events_keeps_corrupt_lines(spark):
              .option("checkpointLocation", jobs.scratch(spark, "ev-ck")))
     got = spark.read.schema(schemas.INBOUND_MESSAGE).parquet(out).collect()
     assert len(got) == 2 and sum(1 for r in got if r._corrupt_record is not None) == 1
+
+
+def test_replace_table_overwrites(spark):
+    path = jobs.scratch(spark, "faq")
+    TB.replace_table(spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string"), path)
+    TB.replace_table(spark.createDataFrame([(3, "c")], "id long, t string"), path)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(3, "c")]
