@@ -8,7 +8,6 @@ task or a replayed batch does not duplicate rows.
 
 from __future__ import annotations
 
-import os
 from datetime import datetime
 from functools import reduce
 
@@ -39,17 +38,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
                            properties=properties or {})
 
 
-def current_version(path: str) -> str | None:
-    ptr = os.path.join(path, "_CURRENT")
-    if os.path.exists(ptr):
-        with open(ptr) as fh:
-            return os.path.join(path, fh.read().strip())
-    return None
-
-
 def read_snapshot(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Read a columnar snapshot (the current version when one is published)."""
-    return spark.read.format(fmt).load(current_version(path) or path)
+    from ticketflow.streaming.sinks import current_version
+    return spark.read.format(fmt).load(current_version(spark, path) or path)
 
 
 # The snapshot column lists of the reference export.
@@ -80,16 +72,13 @@ def export_snapshot(df: DataFrame, path: str, version: str, columns: list[str] |
     Overwrite of a live directory is not atomic, so readers only ever see
     a completely written version.
     """
-    out = os.path.join(path, version)
+    out = path.rstrip("/") + "/" + version
     w = (df.select(*columns) if columns else df).write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(out)
-    os.makedirs(path, exist_ok=True)
-    tmp = os.path.join(path, "_CURRENT.tmp")
-    with open(tmp, "w") as fh:
-        fh.write(version)
-    os.replace(tmp, os.path.join(path, "_CURRENT"))
+    from ticketflow.streaming.sinks import publish  # pointer via the Hadoop FileSystem API
+    publish(df.sparkSession, path, version)
     return out
 
 
