@@ -11,11 +11,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketflow.llm import decontam, sharding, simhash
+from ticketflow.llm import decontam, mixing, quality, sharding, simhash
 from ticketflow.llm.common import read
 from ticketflow.session import checkpoint_dir
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    return quality.keep_good(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: that of the least doc_id."""
     return simhash.drop_near_duplicates(docs)
@@ -26,12 +31,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.remove_benchmark(docs, read(spark, sf_dir, "benchmark"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of documents whose source, language and topic shares meet their targets."""
+    return mixing.sample(docs, keep=0.8)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with size, shard and slot."""
     return sharding.histogram_shards(docs, "doc_id", "text")
 
 
-STAGES = [("near_dedup", near_dedup), ("decontaminate", decontaminate), ("shard", shard)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate),
+          ("mix", mix), ("shard", shard)]
 
 # Classifier weights, hashes and raking have no SQL form.
 ORACLE_SQL = None

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, hnsw, mixing, pii, sharding, simhash, token_count, warc
+from . import decontam, hnsw, mixing, pii, quality, sharding, simhash, token_count, toxicity, warc
 from .common import read, text_bytes
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -38,6 +43,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents")).drop("keeper")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read(spark, sf_dir, "documents")))
 
@@ -51,7 +61,9 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_hnsw, op4_mixing, op5_token_counts, op6_warc, op7_simhash, op9_pii, op10_histogram_shards)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_decontaminate, op3_hnsw, op4_mixing, op5_token_counts, op6_warc, op7_simhash, op8_toxicity, op9_pii,
+    op10_histogram_shards)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
