@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
-from ticketflow.session import cut_lineage, ship_package
+from ticketflow.session import checkpoint_dir, cut_lineage, ship_package
 
 # Texts reach Python in Arrow batches of at most this many rows, so that one
 # batch of long documents stays far below a worker's memory.
@@ -42,6 +43,24 @@ def text_bytes(col: str | Column) -> Column:
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
+class Staged:
+    """The frame of a loop's last round, as a Parquet table in the shared
+    checkpoint folder. A checkpoint keeps the size estimate of its plan, which
+    squares with each round's self-join; a table has its true size. ``put``
+    deletes the round before; the last round's files stay for the caller."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.n = spark, f"{checkpoint_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.base}/{self.n + 1}")
+        if self.n:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{self.n}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.n += 1
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.n}")
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a column that identifies each row, equal in every job that
     reads ``df`` again.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ticketflow.session import cut_lineage
+from .common import Staged
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -29,10 +29,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     least node of its component; root is that least node.
 
     Loops and repeated edges are allowed; no edges give an empty table. Each
-    round is one checkpoint, and rounds grow with the logarithm of the longest
+    round is written to the shared checkpoint folder, and rounds grow with the logarithm of the longest
     path.
     """
-    e = cut_lineage(edges.where("u <> v")
+    stage = Staged(edges.sparkSession)
+    e = stage.put(edges.where("u <> v")
                     .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _signature(e)
     while before[0]:
@@ -42,7 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         m = _least_neighbour(large)
         small = (m.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        e = cut_lineage(small)
+        e = stage.put(small)
         after = _signature(e)
         if after == before:
             break

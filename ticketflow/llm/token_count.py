@@ -109,7 +109,7 @@ def _splice(chunks: DataFrame) -> DataFrame:
     right = chunks.select("file", "row", (F.col("no") - 1).alias("no"), F.col("head").alias("next_head"))
     pos = lambda c: F.transform(c, lambda x: x["pos"])
     seam = F.array_min(F.array_intersect(pos("tail"), pos("next_head")))
-    before = lambda c: F.element_at(F.filter(c, lambda x: x["pos"] == F.col("seam")), 1)["before"]
+    before = lambda c: F.get(F.filter(c, lambda x: x["pos"] == F.col("seam")), F.lit(0))["before"]
     return (chunks.join(right, ["file", "row", "no"], "left").withColumn("seam", seam)
             # tokens of this chunk before the seam to its right, less those of the next chunk before it
             .withColumn("own", F.when(F.col("next_head").isNull(), F.col("tokens")).otherwise(before("tail") - before("next_head")))
