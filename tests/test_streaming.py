@@ -3,7 +3,7 @@
 import os
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
+import pytest
 
 from ticketflow.operators import lifecycle as L
 from ticketflow.plans import stream_queries
@@ -106,6 +106,47 @@ def test_sla_timers_fire_once_past_the_watermark(spark):
     assert got == [("A", "breach"), ("A", "warning")]
 
 
+def test_sla_breach_is_told_once(spark):
+    t0 = datetime(2024, 1, 5, 9, 0, 0)
+    rows = [("A", "HIGH", "OPEN", t0, 1), ("Z", "LOW", "OPEN", t0 + timedelta(hours=4), 2), ("A", "HIGH", "OPEN", t0 + timedelta(hours=5), 3),
+            ("Z", "LOW", "OPEN", t0 + timedelta(hours=12), 4), ("Z", "LOW", "OPEN", t0 + timedelta(hours=13), 5)]
+    schema = "ticket_id string, urgency string, status string, at timestamp_ntz, seq long"
+    src = _write_parts(spark, rows, schema, [[0], [1], [2], [3], [4]])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
+    out = _dir(spark, "sla")
+    jobs.run(jobs.sla_breach_stream(stream).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", _dir(spark, "ck")).outputMode("append"))
+    got = sorted((r.ticket_id, r.kind) for r in spark.read.parquet(out).collect())
+    assert got == [("A", "breach"), ("A", "warning")]  # A's later open row does not arm it again
+
+
+def test_intake_survives_bad_input(spark):
+    src, out = _dir(spark, "bad-in"), _dir(spark, "bad-out")
+    good = '{"event_id": "%d", "type": "message", "channel_type": "im", "message": "hi", "event_ts": "%s"}'
+    lines = [good % (1, "1704067200"), good % (2, "soon"), "{broken", good % (3, "1704067300"), good % (4, "NaN")]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(src)
+    jobs.intake_stream(spark, src, out)
+    taken = sorted(r.event_id for r in spark.read.parquet(out).collect())
+    rejected = sorted(r.reject_reason for r in spark.read.parquet(out + "_rejected").collect())
+    assert taken == ["1", "3"] and rejected == ["bad event_ts", "bad event_ts", "corrupt JSON"]
+
+
+def test_pointer_is_always_there(spark):
+    base = _dir(spark, "ptr")
+    for k in range(5):
+        sinks.write_version(spark.createDataFrame([(k,)], "id long"), base, k)
+        assert [r.id for r in sinks.read_current(spark, base).collect()] == [k]
+    fs, _, jvm = sinks._fs(spark, base)
+    names = {str(x.getPath().getName()) for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(base))}
+    assert names == {"_CURRENT", "v000000000003", "v000000000004", "v000000000005"}  # older versions expire
+
+
+def test_upsert_needs_an_order_for_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "id long, v string")
+    with pytest.raises(ValueError):
+        sinks.upsert_batch(df, 0, _dir(spark, "dup"), ["id"])
+
+
 def test_versioned_sink_is_replay_safe(spark):
     base = _dir(spark, "v")
     df = spark.createDataFrame([(1, "a")], "id long, v string")

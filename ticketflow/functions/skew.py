@@ -60,12 +60,6 @@ def sequence_within(df: DataFrame, keys: list[str], order: list, name: str = "rn
     return joined.select("_s.*", pos.alias(name)).drop("_seq_pid", "_seq_mid")
 
 
-def salted_key(col: str, buckets: int, salt_from: str | None = None) -> Column:
-    """A salt for splitting a hot key over ``buckets`` tasks (hash of a row column)."""
-    src = F.col(salt_from) if salt_from else F.monotonically_increasing_id()
-    return F.pmod(F.xxhash64(src), F.lit(buckets))
-
-
 def running_sum_within(df: DataFrame, keys: list[str], order: list, value: str, name: str = "running_sum",
                        partitions: int | None = None) -> DataFrame:
     """Add ``name`` = inclusive running sum of ``value`` within each key by ``order``.

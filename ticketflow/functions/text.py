@@ -143,11 +143,6 @@ def skip_reason(message, variant: str = "general") -> Column:
     return out
 
 
-def log_type_after_skip(log_type, reason) -> Column:
-    """A skipped inquiry is stored as INFO_RECEIVED."""
-    return F.when(col_of(reason).isNotNull(), F.lit("INFO_RECEIVED")).otherwise(col_of(log_type))
-
-
 # ---------------------------------------------------------------- E4, E6, E7, E8, E15
 
 MENTION = r"<@[A-Z0-9]+>"
@@ -260,22 +255,21 @@ def parse_feedback(value_col: str = "value") -> list[Column]:
 
 
 def split_tags(tags) -> Column:
-    """Comma split with each element trimmed (JS trim); empties dropped."""
-    parts = F.transform(F.split(F.coalesce(col_of(tags), F.lit("")), ","), js_trim)
-    return F.filter(parts, lambda t: t != "")
+    """Comma split with each element trimmed (JS trim); empty elements stay."""
+    return F.transform(F.split(F.coalesce(col_of(tags), F.lit("")), ","), js_trim)
 
 
 def route_messages(retry_col: str = "retry_num") -> Column:
     """route of an inbound chat event.
 
-    retries, bot messages and any subtype -> 'drop'; app mentions and
-    direct messages -> 'selection'; thread replies (thread_ts set and !=
+    retries -> 'drop'; app mentions -> 'selection', whoever sent them; other
+    bot messages and any subtype -> 'drop'; direct messages -> 'selection'; thread replies (thread_ts set and !=
     ts) -> 'process'; everything else -> 'drop'.
     """
     def has(c):
         return F.col(c).isNotNull() & (F.col(c).cast("string") != "")
-    return (F.when(has(retry_col), "drop").when(has("bot_id"), "drop").when(has("subtype"), "drop")
-            .when(F.col("type") == "app_mention", "selection")
+    return (F.when(has(retry_col), "drop").when(F.col("type") == "app_mention", "selection")
+            .when(has("bot_id"), "drop").when(has("subtype"), "drop")
             .when(F.col("channel_type") == "im", "selection")
             .when(has("thread_ts") & (F.col("thread_ts") != F.coalesce(F.col("ts"), F.lit(""))), "process")
             .otherwise("drop"))
@@ -375,8 +369,10 @@ SUMMARY_MAX = 50
 
 
 def _kw_regex(words) -> str:
+    """Latin keywords match whole words only; Japanese ones, written without
+    spaces, match anywhere."""
     import re
-    return "(?i)(" + "|".join(re.escape(w) for w in words) + ")"
+    return "(?i)(" + "|".join(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])" if w.isascii() else re.escape(w) for w in words) + ")"
 
 
 def triage(message) -> list[Column]:

@@ -182,12 +182,13 @@ def ticket_ordinal(tickets: DataFrame, order: list[str] = ("created_at", "ticket
 
     A global ``row_number()`` without partitioning runs in one task; the
     skew-safe sequence range-partitions instead. The number is padded to 5
-    digits and, like LPAD, cut to 5 beyond 99999.
+    digits and never cut: cut ids would collide beyond 99999 rows.
     """
     seq = sequence_within(tickets, [], list(order), "_ordinal")
     return seq.withColumn("ordinal_id", F.concat(
         F.lit(prefix), F.date_format(date_col, "yyyyMMdd"), F.lit("-"),
-        F.lpad(F.col("_ordinal").cast("string"), 5, "0"))).withColumnRenamed("_ordinal", "ordinal")
+        F.lpad(F.col("_ordinal").cast("string"), F.greatest(F.lit(5), F.length(F.col("_ordinal").cast("string"))), F.lit("0")))) \
+        .withColumnRenamed("_ordinal", "ordinal")
 
 
 # ---------------------------------------------------------------- J4, create / update routines
@@ -299,7 +300,9 @@ def apply_feedback_logs(logs: DataFrame, feedback: DataFrame) -> DataFrame:
         F.max_by(new_status, o).alias("_p_status"), F.max(o).alias("_p_at"),
         F.max(F.when(F.col("_branch") == "resolved", F.col("at"))).alias("_p_resolved_at"))
     thr = fb.where((F.col("_branch") == "resolved") & F.col("thread_ts").isNotNull() & (F.col("thread_ts") != ""))
-    thread_res = thr.groupBy(F.col("thread_ts").alias("_tts")).agg(F.max(o).alias("_t_at"))
+    # grouped by a wrapped key: the join gets exchanges of its own, and a hot thread can be split
+    thread_res = (thr.groupBy(F.struct("thread_ts").alias("_k")).agg(F.max(o).alias("_t_at"))
+                  .select(F.col("_k.thread_ts").alias("_tts"), "_t_at"))
     j = (logs.join(point, F.col("id") == F.col("_fid"), "left")
          .join(thread_res, F.col("thread_ts") == F.col("_tts"), "left"))
     after_point = F.coalesce(F.col("_p_status"), F.col("status"))

@@ -62,11 +62,6 @@ def client_search(df: DataFrame, q: str, title: str = "title", description: str
     return df.where(t | d)
 
 
-def active_only(df: DataFrame, column: str = "active", value=True) -> DataFrame:
-    """``active = true`` (catalog) or ``status = 'ACTIVE'`` (search corpus)."""
-    return df.where(F.col(column) == F.lit(value))
-
-
 def active_tickets(df: DataFrame) -> DataFrame:
     """status in OPEN, IN_PROGRESS, HUMAN_REQUESTED."""
     return df.where(F.col("status").isin(*ACTIVE))
@@ -172,14 +167,3 @@ def all_tickets(helpdesk: DataFrame, hr: DataFrame | None = None, finance: DataF
                 df = df.withColumnRenamed("request_type", "issue_type")
         parts.append(df.withColumn("queue", F.lit(name)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def column_counts(tables: dict) -> DataFrame:
-    """(table_name, columns) per table, UNION ALL of one row each."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(name, len(df.columns)) for name, df in tables.items()]
-    return spark.createDataFrame(rows, "table_name string, columns int")
-
-
-def ilike_any(columns: list[str], q: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(col_of(c).ilike("%" + q + "%"), F.lit(False)) for c in columns])

@@ -2,23 +2,22 @@
 
 Exact top-k without emitting all (query, item) pairs
 ----------------------------------------------------
-The query side of a search is small (a user's question, a batch of
-benchmark questions); the corpus is the large side. The query set is
-size-checked (``count()`` against ``max_queries``) and broadcast; each corpus
-partition scores its rows against every query with numpy inside
-``mapInPandas`` and emits only its local top-k per query. A final window
-(``row_number() <= k`` per query, over at most partitions x k rows per
-query) picks the global top-k. Shuffle volume is queries x k x partitions,
-independent of the corpus size. Query sets above the bound are processed
-in chunks of ``max_queries`` (each chunk one pass over the corpus), so the
-result stays exact and complete.
-
-Scores are ranked after rounding to 9 decimals, with the item id as the
-tie-breaker, so floating-point summation order cannot reorder ties.
+K1 cuts both sides into blocks of bounded size by a hash of the id. Every
+query block meets every corpus block once (queries and corpus never pass
+through the driver); a task scores one pair of blocks with numpy and carries
+a running top-k per query over the pairs it gets, so it emits k rows per query
+and task. K2 broadcasts the query terms with their weights, in chunks of a
+bounded number of (query, term) pairs, and each corpus partition carries a
+running top-k per query. A final window picks the global top-k.
+
+Scores are rounded to 9 decimals before anything is selected, and equal scores
+go to the smaller item id at every step, so neither batch sizes, partitions nor
+floating-point summation order can change which items win.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from functools import reduce
 
@@ -30,87 +29,106 @@ from pyspark.sql import functions as F
 from ticketflow.session import cut_lineage, ship_package
 
 RANK_DECIMALS = 9
-MAX_BROADCAST_QUERIES = 50_000
-MAX_BM25_QUERIES = 2_000  # weight matrix: queries x distinct query terms, float64
-
-
-def _chunks(queries: DataFrame, qid: str, max_queries: int) -> list[DataFrame]:
-    n = queries.count()
-    if n <= max_queries:
-        return [queries]
-    parts = math.ceil(n / max_queries)
-    bucket = F.pmod(F.xxhash64(F.col(qid)), F.lit(parts))
-    return [queries.where(bucket == i) for i in range(parts)]
+QUERY_BLOCK = 512            # queries of a block
+CORPUS_BLOCK = 4_096         # items of a block
+MAX_QUERY_TERMS = 2_000_000  # (query, term) pairs of one broadcast
+MAX_BROADCAST_TERMS = 500_000
 
 
 def _global_topk(partial: DataFrame, k: int, qid: str, item: str, score: str) -> DataFrame:
-    w = Window.partitionBy(qid).orderBy(F.round(F.col(score), RANK_DECIMALS).desc(), F.col(item).asc())
+    w = Window.partitionBy(qid).orderBy(F.col(score).desc(), F.col(item).asc())
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _local_topk(scores: np.ndarray, k: int):
-    """Per query row of ``scores`` (queries x items): indices of the k best."""
-    n_items = scores.shape[1]
-    kk = min(k, n_items)
-    if kk == 0:
-        return np.empty((scores.shape[0], 0), dtype=int)
-    # keep a margin so rounding ties at the k-th place are resolved by the global step
-    kk2 = min(n_items, kk * 2 + 8)
-    idx = np.argpartition(-scores, kk2 - 1, axis=1)[:, :kk2]
-    return idx
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of each row's k best finite scores, ties to the smaller column."""
+    k = min(k, scores.shape[1])
+    if k == 0 or scores.shape[0] == 0:
+        return np.empty(0, dtype=int), np.empty(0, dtype=int)
+    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    rows, cols = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
+    order = np.lexsort((cols, -scores[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k]
+
+
+class _RunningTop:
+    """The k best (score, item) per query over all batches of a partition."""
+
+    def __init__(self, k: int):
+        self.k, self.best = k, {}
+
+    def add(self, query, pairs: list[tuple]) -> None:
+        """``pairs``: (-score, item), at most k of one batch."""
+        old = self.best.get(query)
+        self.best[query] = heapq.nsmallest(self.k, old + pairs) if old else pairs
+
+    def add_batch(self, queries, items: np.ndarray, scores: np.ndarray) -> None:
+        """``items`` in ascending order; scores is queries x items."""
+        rows, cols = _best(scores, self.k)
+        ends = np.searchsorted(rows, np.arange(scores.shape[0] + 1))
+        for q in range(scores.shape[0]):
+            a, b = ends[q], ends[q + 1]
+            if b > a:
+                self.add(queries[q], list(zip((-scores[q, cols[a:b]]).tolist(), items[cols[a:b]].tolist())))
+
+    def frame(self) -> pd.DataFrame:
+        rows = [(q, i, -s) for q, best in self.best.items() for s, i in best]
+        return pd.DataFrame(rows, columns=["query_id", "item_id", "score"])
 
 
 # ---------------------------------------------------------------- K1
 
+def _blocks_of(df: DataFrame, block_rows: int, name: str) -> tuple[DataFrame, int]:
+    """(one row per block with its members sorted by id, number of blocks) of (id, v)."""
+    n = max(1, math.ceil(df.count() / block_rows))
+    return (df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name))
+            .agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias(f"{name}_rows"))), n
+
+
 def similar_vectors(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id",
-                    item_id: str = "vec_id", vector: str = "embedding", exclude_self: bool = False,
-                    max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                    item_id: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """K1: exact cosine top-k of ``corpus`` items per query vector.
 
     ``exclude_self`` drops the item whose id equals the query id (for a
-    corpus searched with its own rows). Zero vectors get similarity NULL
-    and never rank. Filter the corpus first for K4 attribute filters.
+    corpus searched with its own rows). Zero vectors get no similarity and
+    never rank. Ids may be of any type that sorts. Filter the corpus first for
+    K4 attribute filters.
     """
     spark = corpus.sparkSession
     ship_package(spark)
-    out = []
-    for chunk in _chunks(queries.select(F.col(query_id).alias("qid"), F.col(vector).alias("qv")),
-                         "qid", max_queries):
-        qpdf = chunk.toPandas()  # bounded by max_queries (checked above)
-        qids = qpdf["qid"].to_numpy()
-        qmat = np.array([np.asarray(v, dtype=np.float64) for v in qpdf["qv"]]) if len(qpdf) else \
-            np.zeros((0, 0))
-        if len(qpdf):
-            qn = np.linalg.norm(qmat, axis=1)
-            qmat = np.divide(qmat, qn[:, None], out=np.zeros_like(qmat), where=qn[:, None] > 0)
-        bq = spark.sparkContext.broadcast((qids, qmat))
-
-        def score(batches, bq=bq):
-            ids, qm = bq.value
-            for pdf in batches:
-                if len(pdf) == 0 or len(ids) == 0:
-                    continue
-                m = np.array([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
-                n = np.linalg.norm(m, axis=1)
-                valid = n > 0
-                m = np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
-                s = qm @ m.T
-                s[:, ~valid] = -np.inf
+    q = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    c = corpus.select(F.col(item_id).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    qb, n_query_blocks = _blocks_of(q, QUERY_BLOCK, "qb")
+    cb, n_corpus_blocks = _blocks_of(c, CORPUS_BLOCK, "cb")
+    # a task keeps one query block and meets a share of the corpus blocks
+    shares = max(1, min(n_corpus_blocks, math.ceil(4 * spark.sparkContext.defaultParallelism / n_query_blocks)))
+    pairs = (cb.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).join(qb, "qb")
+             .repartition(n_query_blocks * shares, "qb", F.pmod("cb", F.lit(shares))))
+
+    def unit(m):
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def score(batches):
+        top = _RunningTop(k)
+        for pdf in batches:
+            for own, items in zip(pdf["qb_rows"], pdf["cb_rows"]):
+                qids = [r["id"] for r in own]
+                ids = np.array([r["id"] for r in items], dtype=object)
+                qm = unit(np.array([r["v"] for r in own], dtype=np.float64))
+                m = unit(np.array([r["v"] for r in items], dtype=np.float64))
+                s = np.round(qm @ m.T, RANK_DECIMALS) + 0.0
+                s[:, ~m.any(axis=1)] = -np.inf
+                s[~qm.any(axis=1), :] = -np.inf
                 if exclude_self:
-                    s[ids[:, None] == pdf["i"].to_numpy()[None, :]] = -np.inf
-                idx = _local_topk(s, k)
-                rows_q = np.repeat(np.arange(len(ids)), idx.shape[1])
-                cols = idx.reshape(-1)
-                sc = s[rows_q, cols]
-                keep = np.isfinite(sc)
-                yield pd.DataFrame({"query_id": ids[rows_q[keep]],
-                                    "item_id": pdf["i"].to_numpy()[cols[keep]],
-                                    "score": sc[keep]})
-
-        partial = corpus.select(F.col(item_id).alias("i"), F.col(vector).alias("v")).mapInPandas(
-            score, "query_id long, item_id long, score double")
-        out.append(partial)
-    partial = reduce(lambda a, b: a.unionByName(b), out)
+                    s[np.array(qids, dtype=object)[:, None] == ids[None, :]] = -np.inf
+                top.add_batch(qids, ids, s)
+        yield top.frame()
+
+    kinds = dict(q.dtypes)["id"], dict(c.dtypes)["id"]
+    partial = pairs.mapInPandas(score, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
     top = _global_topk(partial, k, "query_id", "item_id", "score")
     return top.select(F.col("query_id").alias(query_id), F.col("item_id").alias(item_id),
                       F.col("score").alias("similarity"), F.col("rank").cast("int").alias("rank"))
@@ -136,35 +154,43 @@ def tokens(text_col: str = "text", ngram: int = 0):
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "query_id",
               doc_id: str = "doc_id", text: str = "text", ngram: int = 0, k1: float = BM25_K1,
-              b: float = BM25_B, max_queries: int = MAX_BM25_QUERIES) -> DataFrame:
+              b: float = BM25_B, max_pairs: int = MAX_QUERY_TERMS) -> DataFrame:
     """K2: exact BM25 top-k documents per query text.
 
-    Spark computes, for the query terms only: document frequencies (a
-    semi join of the exploded corpus against the broadcast term set, then a
-    grouped count), document lengths and the corpus statistics (N, avgdl).
-    Each document's matching (term, tf) pairs are gathered per document
-    (bounded by the number of distinct query terms), scored against every
-    query in ``mapInPandas``, and only the local top-k per query leaves the
-    partition. idf = ln((N - df + 0.5) / (df + 0.5) + 1).
+    Spark computes, for the query terms only: document frequencies, document
+    lengths and the corpus statistics (N, avgdl). Each document's matching
+    (term, tf) pairs are gathered per document (bounded by the number of
+    distinct query terms), scored in ``mapInPandas`` against the queries that
+    have the term, and only a running top-k per query leaves the partition.
+    idf = ln((N - df + 0.5) / (df + 0.5) + 1). Ids may be of any type that sorts.
+
+    Queries are taken in chunks of about ``max_pairs`` (query, term) pairs, which
+    bounds the broadcast weights; each chunk is one more pass over the corpus.
     """
     spark = docs.sparkSession
     ship_package(spark)
     d = docs.select(F.col(doc_id).alias("d"), tokens(text, ngram).alias("toks"))
+    dl = F.size("toks").alias("dl")
+    all_terms = cut_lineage(queries.select(F.col(query_id).alias("qid"), F.explode(tokens(text, ngram)).alias("term"))
+                            .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    parts = max(1, math.ceil(all_terms.count() / max_pairs))
+    kinds = dict(queries.dtypes)[query_id], dict(docs.dtypes)[doc_id]
+    schema = f"query_id {kinds[0]}, item_id {kinds[1]}, score double"
     out = []
-    qsel = queries.select(F.col(query_id).alias("qid"), tokens(text, ngram).alias("qt"))
-    for chunk in _chunks(qsel, "qid", max_queries):
-        qterms = (chunk.select("qid", F.explode("qt").alias("term"))
-                  .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
-        term_set = qterms.select("term").distinct().withColumn("_q", F.lit(True))
-        # one pass over the corpus: every document emits its query-term occurrences plus one
-        # sentinel row (term NULL) carrying its length, for N and avgdl
-        exploded = d.select("d", F.size("toks").alias("dl"),
-                            F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))).alias("term"))
-        kept = exploded.join(F.broadcast(term_set), "term", "left").where(F.col("term").isNull() | F.col("_q"))
-        postings = kept.groupBy("d", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    for part in range(parts):
+        qterms = all_terms.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
+        term_set = cut_lineage(qterms.select("term").distinct().withColumn("_q", F.lit(True)))
+        if term_set.count() <= MAX_BROADCAST_TERMS:
+            # one pass over the corpus: every document emits its query-term occurrences plus one
+            # sentinel row (term NULL) carrying its length, for N and avgdl
+            exploded = d.select("d", dl, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))).alias("term"))
+            kept = exploded.join(F.broadcast(term_set), "term", "left").where(F.col("term").isNull() | F.col("_q"))
+        else:
+            kept = (d.select("d", dl, F.explode("toks").alias("term")).join(term_set, "term").select("term", "d", "dl")
+                    .unionByName(d.select(F.lit(None).cast("string").alias("term"), "d", dl)))
         # read three times (statistics, document frequencies, scoring): materialize once in the
         # shared checkpoint folder instead of tokenizing the corpus again
-        postings = cut_lineage(postings)
+        postings = cut_lineage(kept.groupBy("d", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
         stats = postings.where(F.col("term").isNull()).agg(
             F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
         n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
@@ -173,58 +199,52 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "
         weights = (qterms.join(dfreq, "term")
                    .withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
                    .select("qid", "term", (F.col("idf") * F.col("qtf")).alias("w")))
-        wpdf = weights.toPandas()  # bounded: (query, term) pairs of the checked query chunk
+        wpdf = weights.toPandas()  # bounded by the chunk's (query, term) pairs
         if len(wpdf) == 0:
             continue
-        qids = np.sort(wpdf["qid"].unique())
-        terms = np.sort(wpdf["term"].unique())
-        qpos = pd.Series(np.arange(len(qids)), index=qids)
-        tpos = pd.Series(np.arange(len(terms)), index=terms)
-        wmat = np.zeros((len(qids), len(terms)), dtype=np.float64)
-        wmat[qpos[wpdf["qid"]].to_numpy(), tpos[wpdf["term"]].to_numpy()] = wpdf["w"].to_numpy()
-        bw = spark.sparkContext.broadcast((qids, wmat))
+        # sparse weights: the queries of term t are at qpos[ptr[t]:ptr[t + 1]]
+        qids = sorted(wpdf["qid"].unique().tolist())
+        at = {q: i for i, q in enumerate(qids)}
+        wpdf = wpdf.sort_values(["term", "qid"], kind="stable")
+        terms, first = np.unique(wpdf["term"].to_numpy(dtype=object), return_index=True)
+        sparse = (qids, np.append(first, len(wpdf)), np.array([at[x] for x in wpdf["qid"]], dtype=np.int64), wpdf["w"].to_numpy(dtype=np.float64))
+        bw = spark.sparkContext.broadcast(sparse)
         tdict = spark.createDataFrame(pd.DataFrame({"term": terms, "t": np.arange(len(terms), dtype=np.int64)}))
-        per_doc = (postings.join(F.broadcast(tdict), "term")
+        hint = F.broadcast(tdict) if len(terms) <= MAX_BROADCAST_TERMS else tdict
+        per_doc = (postings.join(hint, "term")
                    .groupBy("d", "dl").agg(F.collect_list(F.struct("t", "tf")).alias("p"))
                    .select("d", "dl", F.transform("p", lambda e: e["t"]).alias("ts"),
                            F.transform("p", lambda e: e["tf"]).alias("tfs")))
 
         def score(batches, bw=bw, avgdl=avgdl):
-            ids, wm = bw.value
-            budget = max(1000, 20_000_000 // max(len(ids), 1))  # pairs per slice: Q x pairs floats
+            ids, ptr, qpos, w = bw.value
+            top = _RunningTop(k)
+            rows_at_once = max(1, 2_000_000 // len(ids))  # cells of the score matrix
             for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                lens = pdf["ts"].map(len).to_numpy()
-                ts = np.concatenate(pdf["ts"].to_numpy()).astype(np.int64)
-                tf = np.concatenate(pdf["tfs"].to_numpy()).astype(np.float64)
-                dl = pdf["dl"].to_numpy(dtype=np.float64)
-                norm = k1 * (1 - b + b * (dl / avgdl if avgdl > 0 else 0.0))
-                v = tf * (k1 + 1) / (tf + np.repeat(norm, lens))
-                ends = np.cumsum(lens)
-                starts = ends - lens
-                s = np.empty((len(ids), len(pdf)))
-                j0 = 0
-                while j0 < len(pdf):  # slices of whole documents with a bounded number of pairs
-                    j1 = j0 + 1
-                    while j1 < len(pdf) and ends[j1] - starts[j0] <= budget:
-                        j1 += 1
-                    p0, p1 = starts[j0], ends[j1 - 1]
-                    contrib = wm[:, ts[p0:p1]] * v[p0:p1]
-                    s[:, j0:j1] = np.add.reduceat(contrib, starts[j0:j1] - p0, axis=1)
-                    j0 = j1
-                s[s <= 0] = -np.inf  # no shared term: the document does not rank for that query
-                idx = _local_topk(s, k)
-                rows_q = np.repeat(np.arange(len(ids)), idx.shape[1])
-                cols = idx.reshape(-1)
-                sc = s[rows_q, cols]
-                keep = np.isfinite(sc)
-                yield pd.DataFrame({"query_id": ids[rows_q[keep]], "item_id": pdf["d"].to_numpy()[cols[keep]],
-                                    "score": sc[keep]})
-
-        out.append(per_doc.mapInPandas(score, "query_id long, item_id long, score double"))
+                pdf = pdf.sort_values("d", kind="stable")
+                for j in range(0, len(pdf), rows_at_once):
+                    some = pdf.iloc[j:j + rows_at_once]
+                    lens = some["ts"].map(len).to_numpy()
+                    doc = np.repeat(np.arange(len(some)), lens)
+                    ts = np.concatenate(some["ts"].to_numpy()).astype(np.int64)
+                    tf = np.concatenate(some["tfs"].to_numpy()).astype(np.float64)
+                    norm = k1 * (1 - b + b * (some["dl"].to_numpy(dtype=np.float64) / avgdl if avgdl > 0 else 0.0))
+                    v = tf * (k1 + 1) / (tf + norm[doc])
+                    s = np.zeros(len(some) * len(ids))
+                    counts = ptr[ts + 1] - ptr[ts]
+                    for p in range(0, len(ts), 20_000):  # a bounded number of (document, term, query) triples at once
+                        c = counts[p:p + 20_000]
+                        ends = np.cumsum(c)
+                        flat = np.arange(ends[-1]) - np.repeat(ends - c, c) + np.repeat(ptr[ts[p:p + 20_000]], c)
+                        np.add.at(s, np.repeat(doc[p:p + 20_000], c) * len(ids) + qpos[flat], w[flat] * np.repeat(v[p:p + 20_000], c))
+                    s = np.round(s.reshape(len(some), len(ids)).T, RANK_DECIMALS)
+                    s[s <= 0] = -np.inf  # no shared term: the document does not rank for that query
+                    top.add_batch(ids, some["d"].to_numpy(dtype=object), s)
+            yield top.frame()
+
+        out.append(per_doc.mapInPandas(score, schema))
     if not out:
-        return spark.createDataFrame([], f"{query_id} long, {doc_id} long, score double, rank int")
+        return spark.createDataFrame([], f"{query_id} {kinds[0]}, {doc_id} {kinds[1]}, score double, rank int")
     partial = reduce(lambda a, b_: a.unionByName(b_), out)
     top = _global_topk(partial, k, "query_id", "item_id", "score")
     return top.select(F.col("query_id").alias(query_id), F.col("item_id").alias(doc_id),
@@ -251,13 +271,17 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 5, query_id: str
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """K5 (exact part): documents with identical normalized text share a group;
-    the group id is the smallest member id. One grouped aggregate plus a
-    join on the text hash, so a group holding a third of all rows is
-    pre-aggregated map-side."""
+    the group id is the smallest member id.
+
+    Texts are normalized and hashed once. The aggregate is grouped by a
+    wrapped key, so the join has exchanges of its own and adaptive execution
+    can split a group that holds a third of all rows.
+    """
     norm = F.regexp_replace(F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))), r"\s+", " ")
-    h = docs.select(F.col(doc_id).alias("id"), F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("s"))
-    g = h.groupBy("h", "s").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
-    return h.join(g, ["h", "s"]).select(F.col("id").alias(doc_id), "group_id", "group_size")
+    h = cut_lineage(docs.select(F.col(doc_id).alias("id"), F.sha2(norm, 256).alias("s")))
+    g = (h.groupBy(F.struct("s").alias("k")).agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+         .select(F.col("k.s").alias("s"), "group_id", "group_size"))
+    return h.join(g, "s").select(F.col("id").alias(doc_id), "group_id", "group_size")
 
 
 # ---------------------------------------------------------------- J7
@@ -284,9 +308,9 @@ def match_asset(tickets: DataFrame, assets: DataFrame, k: int = 5, by: str = "lo
 
 def upsert_corpus(current: DataFrame, changes: DataFrame, key: str = "id",
                   order_col: str = "updated_at") -> DataFrame:
-    """Apply a batch of changed documents: the latest change per key
-    replaces the stored row (anti join + union); unchanged rows pass."""
-    latest = changes.groupBy(key).agg(F.max_by(F.struct(*[c for c in changes.columns]), order_col).alias("_r")) \
-                    .select("_r.*")
-    keep = current.join(latest.select(key), key, "left_anti")
-    return keep.unionByName(latest.select(*current.columns))
+    """Apply a batch of changed documents: the newest row per key wins,
+    stored or changed (a change wins a tie); unchanged rows pass."""
+    cols = current.columns
+    both = current.withColumn("_new", F.lit(0)).unionByName(changes.select(*cols).withColumn("_new", F.lit(1)))
+    newest = F.max_by(F.struct(*cols), F.struct(order_col, "_new")).alias("_r")
+    return both.groupBy(F.col(key).alias("_key")).agg(newest).select("_r.*")

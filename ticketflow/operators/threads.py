@@ -117,14 +117,16 @@ def first_last_in_thread(logs: DataFrame) -> DataFrame:
     """Each row with its thread's first inquiry message and latest status.
 
     Computed as a grouped aggregate (map-side combined) joined back on the
-    thread key; AQE splits a skewed thread on the large side of the join.
+    thread key. It is grouped by a wrapped key, so the join has exchanges of its
+    own and adaptive execution can split a thread with very many rows.
     """
     k = thread_key(logs)
     lt = F.col("log_type")
-    facts = k.groupBy("thread_key").agg(
+    facts = k.groupBy(F.struct("thread_key").alias("_k")).agg(
         F.min_by(F.when(lt == "INQUIRY", F.col("message")), F.when(lt == "INQUIRY", _ord()))
          .alias("first_inquiry_message"),
-        F.max_by(F.col("status"), _ord()).alias("latest_status"))
+        F.max_by(F.col("status"), _ord()).alias("latest_status")) \
+        .select(F.col("_k.thread_key").alias("thread_key"), "first_inquiry_message", "latest_status")
     return k.join(facts, "thread_key")
 
 

@@ -8,3 +8,4 @@ from ticketflow.plans import text_queries  # noqa: F401
 from ticketflow.plans import listing_queries  # noqa: F401
 from ticketflow.plans import search_queries  # noqa: F401
 from ticketflow.plans import stream_queries  # noqa: F401
+from ticketflow.plans import table_queries  # noqa: F401

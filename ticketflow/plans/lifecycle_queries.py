@@ -67,7 +67,7 @@ def q_duplicates_to_delete(spark, d):
 
 @register("ticket_ordinal", """
 SELECT ticket_id, CAST(rn AS BIGINT) AS ordinal,
-       'TKT-' || strftime(created_at, '%Y%m%d') || '-' || lpad(CAST(rn AS VARCHAR), 5, '0') AS ordinal_id
+       'TKT-' || strftime(created_at, '%Y%m%d') || '-' || lpad(CAST(rn AS VARCHAR), CAST(greatest(5, length(CAST(rn AS VARCHAR))) AS INTEGER), '0') AS ordinal_id
 FROM (SELECT ticket_id, created_at, row_number() OVER (ORDER BY created_at, ticket_id) AS rn FROM tickets)""",
           ("tickets",))
 def q_ticket_ordinal(spark, d):
@@ -244,7 +244,7 @@ def q_routing_columns(spark, d):
 
 
 @register("create_ticket_actions", """
-SELECT 'TKT-' || strftime(created_at, '%Y%m%d') || '-' || lpad(CAST(rn AS VARCHAR), 5, '0') AS ticket_id,
+SELECT 'TKT-' || strftime(created_at, '%Y%m%d') || '-' || lpad(CAST(rn AS VARCHAR), CAST(greatest(5, length(CAST(rn AS VARCHAR))) AS INTEGER), '0') AS ticket_id,
        'CREATED' AS action_type, 'SYSTEM' AS action_by,
        'チケット自動作成: ' || coalesce(source_channel, '') AS action_details, created_at
 FROM (SELECT *, row_number() OVER (ORDER BY created_at, request_id) AS rn FROM (
@@ -305,7 +305,7 @@ def q_ticket_conversation(spark, d):
     return threads.ticket_conversation(tickets, logs)
 
 
-@register("ticket_history", "WITH " + _VERSIONS.replace("v AS (", "v AS (", 1) + """
+@register("ticket_history", "WITH " + _VERSIONS + """
 SELECT ticket_id, version_id, field, old_value, new_value,
        row_number() OVER (PARTITION BY ticket_id ORDER BY created_at DESC, version_id DESC, field DESC) AS ordinal
 FROM u""", ("ticket_versions",))

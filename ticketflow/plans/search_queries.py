@@ -13,18 +13,24 @@ _COS = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM vectors),
 n AS (SELECT vec_id, e, label, sqrt(list_dot_product(e, e)) AS norm FROM v),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.norm * c.norm) AS similarity
-      FROM n q, n c WHERE q.vec_id <> c.vec_id AND q.norm > 0 AND c.norm > 0 {extra})
+      FROM n q, n c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND q.norm > 0 AND c.norm > 0 {extra})
 SELECT query_id, vec_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank,
        CAST(floor(similarity * 100 + 0.5) AS BIGINT) AS similarity_pct FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5"""
 
 
+def _asked(v):
+    """The query set: every vector whose id is divisible by 50."""
+    return v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 @register("similar_vectors", _COS.format(extra=""), ("vectors",))
 def q_similar_vectors(spark, d):
-    """K1 + E15: exact cosine top-5 neighbours of every embedding (itself excluded)."""
+    """K1 + E15: exact cosine top-5 neighbours, over all embeddings, of every one whose
+    id is divisible by 50 (itself excluded)."""
     v = A.vectors(spark, d)
-    top = K.similar_vectors(v.select(F.col("vec_id").alias("query_id"), "embedding"), v, k=5, exclude_self=True)
+    top = K.similar_vectors(_asked(v), v, k=5, exclude_self=True)
     return round_doubles(top.withColumn("similarity_pct", text.similarity_pct("similarity")))
 
 
@@ -32,8 +38,7 @@ def q_similar_vectors(spark, d):
 def q_similar_vectors_label3(spark, d):
     """K1 + K4: the corpus restricted by an attribute (label = 3) before ranking."""
     v = A.vectors(spark, d)
-    top = K.similar_vectors(v.select(F.col("vec_id").alias("query_id"), "embedding"),
-                            v.where(F.col("label") == 3), k=5, exclude_self=True)
+    top = K.similar_vectors(_asked(v), v.where(F.col("label") == 3), k=5, exclude_self=True)
     return round_doubles(top.withColumn("similarity_pct", text.similarity_pct("similarity")))
 
 
@@ -76,19 +81,27 @@ def q_bm25_search_no_length_norm(spark, d):
 
 @register("rrf_fusion", """
 WITH a AS (""" + _bm25_sql(0.75, 10) + """),
-b AS (""" + _bm25_sql(0.0, 10) + """),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM vectors),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, list_dot_product(q.e, c.e) / (q.norm * c.norm) AS similarity
+      FROM n q JOIN benchmark ON item_id = q.vec_id, n c WHERE q.norm > 0 AND c.norm > 0),
+b AS (SELECT * FROM (SELECT query_id, doc_id,
+        row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 10),
 u AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS r FROM a UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM b),
 f AS (SELECT query_id, doc_id, sum(r) AS rrf_score FROM u GROUP BY 1, 2)
 SELECT query_id, doc_id, round(rrf_score, 6) AS rrf_score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, doc_id) AS rank FROM f)
-WHERE rank <= 5""")
+WHERE rank <= 5""", ("vectors",))
 def q_rrf_fusion(spark, d):
-    """K3 (re-aimed): reciprocal-rank fusion of two BM25 rankings (top 10 each) into a top 5."""
-    docs = A.read(spark, d, "documents").select("doc_id", "text")
+    """K3: reciprocal-rank fusion of the text ranking (K2) and the vector ranking (K1),
+    top 10 each, into a top 5. Vector and document of one id are the same item."""
     qs = A.search_queries(spark, d)
-    a = K.bm25_topk(qs, docs, k=10)
-    b = K.bm25_topk(qs, docs, k=10, b=0.0)
-    return round_doubles(K.reciprocal_rank_fusion([a, b], k=5))
+    v = A.vectors(spark, d)
+    texts = K.bm25_topk(qs, A.read(spark, d, "documents").select("doc_id", "text"), k=10)
+    asked = v.join(qs.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    vectors = K.similar_vectors(asked.select(F.col("vec_id").alias("query_id"), "embedding"),
+                                v.withColumnRenamed("vec_id", "doc_id"), k=10, item_id="doc_id")
+    return round_doubles(K.reciprocal_rank_fusion([texts, vectors], k=5))
 
 
 @register("near_duplicates", """
@@ -117,10 +130,12 @@ WITH cur AS (SELECT id, category, created_at AS updated_at FROM knowledge),
 ch AS (
   SELECT id, upper(category) AS category, created_at + INTERVAL 1 DAY AS updated_at FROM knowledge WHERE helpful = 1
   UNION ALL
-  SELECT id, 'REVIEW', created_at + INTERVAL 2 DAY FROM knowledge WHERE not_helpful = 1),
-latest AS (SELECT id, arg_max(category, updated_at) AS category, max(updated_at) AS updated_at FROM ch GROUP BY id)
-SELECT * FROM cur WHERE id NOT IN (SELECT id FROM latest)
-UNION ALL SELECT id, category, updated_at FROM latest""", ("knowledge",))
+  SELECT id, 'REVIEW', created_at + INTERVAL 2 DAY FROM knowledge WHERE not_helpful = 1
+  UNION ALL
+  SELECT id, 'STALE', created_at - INTERVAL 1 DAY FROM knowledge),
+everything AS (SELECT *, 0 AS n FROM cur UNION ALL SELECT *, 1 FROM ch)
+SELECT id, category, updated_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, n DESC) AS place FROM everything) WHERE place = 1""", ("knowledge",))
 def q_corpus_upsert(spark, d):
     """S10 batch refresh: latest change per article replaces the stored row."""
     k = A.knowledge(spark, d)
@@ -130,5 +145,7 @@ def q_corpus_upsert(spark, d):
         F.timestamp_add("DAY", F.lit(1), F.col("created_at")).alias("updated_at")).unionByName(
         k.where(F.col("not_helpful") == 1).select(
             "id", F.lit("REVIEW").alias("category"),
-            F.timestamp_add("DAY", F.lit(2), F.col("created_at")).alias("updated_at")))
+            F.timestamp_add("DAY", F.lit(2), F.col("created_at")).alias("updated_at"))).unionByName(
+        k.select("id", F.lit("STALE").alias("category"),  # older than what is stored: must not win
+                 F.timestamp_add("DAY", F.lit(-1), F.col("created_at")).alias("updated_at")))
     return K.upsert_corpus(cur, ch)

@@ -6,9 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketflow import schemas
 from ticketflow.plans.registry import register, round_doubles
-from ticketflow.plans.text_queries import _TRIM, _lit, _sql_skip
+from ticketflow.plans.text_queries import _TRIM, _sql_skip
 from ticketflow.sources import adapters as A
 from ticketflow.streaming import jobs, sinks
 
@@ -118,12 +117,23 @@ _INTAKE_SCHEMA = ("event_id string, channel_id string, thread_ts string, user_id
                   "created_at timestamp_ntz")
 
 
-@register("sla_breach_stream")
+@register("sla_breach_stream", """
+WITH ev AS (SELECT thread_ts AS ticket_id, priority AS urgency, status, date_trunc('milliseconds', created_at) AS evt, id AS seq FROM logs
+            WHERE thread_ts IS NOT NULL AND log_type IN ('INQUIRY', 'EVALUATION')),
+wm AS (SELECT max(evt) - INTERVAL 10 MINUTE AS t FROM ev),
+closed AS (SELECT ticket_id, max({'evt': evt, 'seq': seq}) AS last FROM ev WHERE status IN ('RESOLVED', 'CLOSED') GROUP BY ticket_id),
+armed AS (SELECT ev.ticket_id, min(evt) AS opened, arg_min(urgency, {'evt': evt, 'seq': seq}) AS urgency
+          FROM ev LEFT JOIN closed USING (ticket_id)
+          WHERE status NOT IN ('RESOLVED', 'CLOSED') AND (last IS NULL OR {'evt': evt, 'seq': seq} > last) GROUP BY ev.ticket_id),
+due AS (SELECT ticket_id, urgency, coalesce(CASE urgency WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 8 WHEN 'LOW' THEN 24 END, 8) AS h, opened FROM armed)
+SELECT ticket_id, 'warning' AS kind, opened + to_hours(h) AS due_at, urgency FROM due, wm WHERE opened + to_minutes(h * 45) <= t
+UNION ALL SELECT ticket_id, 'breach', opened + to_hours(h), urgency FROM due, wm WHERE opened + to_hours(h) <= t""", ("logs",))
 def q_sla_breach_stream(spark, d):
     """SLA warning/breach notices from the log stream with event-time timers
     (applyInPandasWithState). A thread opens at its first inquiry with the
-    priority as urgency; a RESOLVED row closes it. Rows-only check: timer
-    output depends on how far the watermark has advanced."""
+    priority as urgency; a RESOLVED row closes it. The catch-up takes the events
+    as one batch, so a notice is due when its time is at or before the final
+    watermark (the last event less 10 minutes) and no closing row came."""
     logs = A.logs_of(A.events_stream(spark, d))
     ev = logs.where(F.col("thread_ts").isNotNull() & F.col("log_type").isin("INQUIRY", "EVALUATION")).select(
         F.col("thread_ts").alias("ticket_id"), F.col("priority").alias("urgency"), "status",
@@ -132,7 +142,24 @@ def q_sla_breach_stream(spark, d):
     w = (jobs.sla_breach_stream(ev).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", jobs.scratch(spark, "ck-sla")).outputMode("append"))
     jobs.run(w)
-    return spark.read.schema(jobs.SLA_OUT).parquet(out)
+    return spark.read.schema(jobs.SLA_OUT).parquet(out).withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
 
 
-_ = (schemas, _lit)
+
+@register("intake_rejected", """
+SELECT CASE WHEN conv_id % 11 = 0 THEN NULL ELSE CAST(conv_id * 1000 + turn AS VARCHAR) END AS event_id,
+       CASE WHEN conv_id % 11 = 0 THEN 'corrupt JSON' ELSE 'bad event_ts' END AS reject_reason
+FROM conversations WHERE conv_id % 11 = 0 OR conv_id % 7 = 0""")
+def q_intake_rejected(spark, d):
+    """T1 + S5: messages the intake cannot take, with the reason; the stream goes on. Of the
+    inbound lines, every 11th conversation's are cut short and every 7th's carry no time."""
+    src = jobs.scratch(spark, "inbound")
+    cv = A.read(spark, d, "conversations")
+    line = F.to_json(F.struct(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("event_id"), F.lit("message").alias("type"),
+        F.lit("im").alias("channel_type"), F.col("text").alias("message"),
+        F.when(F.col("conv_id") % 7 == 0, "soon").otherwise("1704067200").alias("event_ts")))
+    cv.select(F.when(F.col("conv_id") % 11 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(src)
+    out = jobs.scratch(spark, "intake-out")
+    jobs.intake_stream(spark, src, out)
+    return spark.read.schema("reject_reason string, event_id string").parquet(out + "_rejected")

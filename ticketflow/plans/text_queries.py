@@ -152,8 +152,8 @@ WITH ev AS (
     CASE WHEN event_id % 17 = 0 THEN 1 END AS retry_num
   FROM events)
 SELECT event_id,
-  CASE WHEN retry_num IS NOT NULL THEN 'drop' WHEN bot_id IS NOT NULL AND bot_id <> '' THEN 'drop'
-       WHEN subtype IS NOT NULL AND subtype <> '' THEN 'drop' WHEN type = 'app_mention' THEN 'selection'
+  CASE WHEN retry_num IS NOT NULL THEN 'drop' WHEN type = 'app_mention' THEN 'selection'
+       WHEN bot_id IS NOT NULL AND bot_id <> '' THEN 'drop' WHEN subtype IS NOT NULL AND subtype <> '' THEN 'drop'
        WHEN channel_type = 'im' THEN 'selection'
        WHEN thread_ts IS NOT NULL AND thread_ts <> '' AND thread_ts <> coalesce(ts, '') THEN 'process'
        ELSE 'drop' END AS route
@@ -180,7 +180,7 @@ def q_route_messages(spark, d):
 SELECT tag, count(*) AS articles FROM (
   SELECT unnest(string_split(tags, ',')) AS raw FROM knowledge) t,
   LATERAL (SELECT {_TRIM.format(x="raw")} AS tag)
-WHERE tag <> '' GROUP BY tag""", ("knowledge",))
+GROUP BY tag""", ("knowledge",))
 def q_tag_counts(spark, d):
     """E12 tags split on commas and trimmed, counted per tag."""
     k = A.knowledge(spark, d)
@@ -230,7 +230,10 @@ def q_kb_search_text(spark, d):
 
 
 def _kw_sql(col, words):
-    return f"regexp_matches({col}, {_lit(text._kw_regex(words))})"
+    """A keyword occurs: Latin ones as whole words, others anywhere."""
+    return "(" + " OR ".join(
+        f"regexp_matches(lower({col}), {_lit('(^|[^a-z0-9])' + w + '($|[^a-z0-9])')})" if w.isascii() else f"contains({col}, {_lit(w)})"
+        for w in words) + ")"
 
 
 _TRIAGE_CAT = " ".join(f"WHEN {_kw_sql('m', w)} THEN '{k}'" for k, w in text.TRIAGE_CATEGORY.items())

@@ -82,40 +82,37 @@ def export_snapshot(df: DataFrame, path: str, version: str, columns: list[str] |
     return out
 
 
-def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Delete all, reload (overwrite)."""
-    df.write.mode("overwrite").format(fmt).save(path)
+def replace_table(df: DataFrame, path: str, version: str, fmt: str = "parquet") -> str:
+    """Delete all, reload: a new version under a switched pointer, so a
+    reader sees the old table or the new one."""
+    return export_snapshot(df, path, version, fmt=fmt)
 
 
-def new_rows(batch: DataFrame, target: DataFrame | None, key: list[str]) -> DataFrame:
+def new_rows(batch: DataFrame, target: DataFrame | None, key: list[str], order: list[str]) -> DataFrame:
     """S7 core: rows of ``batch`` whose key is absent from ``target``; one per key.
 
     ``INSERT ... ON CONFLICT DO NOTHING`` keeps the first of several rows
-    with the same key in a batch; ``dropDuplicates`` keeps an arbitrary one,
-    so pass an ordering column through ``dedupe_keep_first`` first when the
-    choice matters.
+    with the same key in a batch: the least by ``order``.
     """
-    b = batch.dropDuplicates(key)
+    first = F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("_r")
+    b = batch.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(first).select("_r.*")
     if target is None:
         return b
     return b.join(target.select(*key).distinct(), key, "left_anti")
 
 
-def insert_ignore(batch: DataFrame, target_path: str, key: list[str], fmt: str = "parquet") -> DataFrame:
-    """Append rows whose key does not exist yet. Returns the inserted rows."""
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, asked of the Hadoop file system it lies in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def insert_ignore(batch: DataFrame, target_path: str, key: list[str], order: list[str], fmt: str = "parquet") -> None:
+    """Append rows whose key does not exist yet. A target that cannot be
+    read is an error; only a missing one counts as empty."""
     spark = batch.sparkSession
-    try:
-        target = spark.read.format(fmt).load(target_path)
-    except Exception:  # first write: no table yet
-        target = None
-    rows = new_rows(batch, target, key)
-    rows.write.mode("append").format(fmt).save(target_path)
-    return rows
-
-
-def append_log(rows: DataFrame, path: str, fmt: str = "parquet", key: str = "id") -> None:
-    """Append log rows; rows whose id is already stored are skipped (replay safe)."""
-    insert_ignore(rows, path, [key], fmt)
+    target = spark.read.format(fmt).load(target_path) if table_exists(spark, target_path) else None
+    new_rows(batch, target, key, order).write.mode("append").format(fmt).save(target_path)
 
 
 def split_valid(batch: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -32,6 +32,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return checkpoint_dir(spark).rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def checkpoint_of(table: str, checkpoint: str | None) -> str:
+    """The stream's checkpoint: the given one, or a folder of the table it writes.
+
+    It must be the same in every run. A fresh one would restart the batch ids,
+    and the sink would take new batches for replays of published ones.
+    """
+    return checkpoint or table.rstrip("/") + "/_checkpoint"
+
+
 def run(writer, available_now: bool = True):
     """Start a DataStreamWriter; with ``available_now`` wait until the backlog is processed."""
     if available_now:
@@ -56,19 +65,39 @@ def read_events(spark: SparkSession, path: str, schema=schemas.INBOUND_MESSAGE,
 
 # ---------------------------------------------------------------- T1 + T2 intake
 
+def event_seconds() -> Column:
+    """``event_ts`` as seconds; null where it is no number."""
+    return F.col("event_ts").try_cast("double")
+
+
+def reject_reason() -> Column:
+    """Why a message cannot become a log row, or null: broken JSON, or an
+    ``event_ts`` that is missing, no number, or no time of the years 1970 to 9999."""
+    at = event_seconds()
+    return (F.when(F.col("_corrupt_record").isNotNull(), F.lit("corrupt JSON"))
+            .when(at.isNull() | F.isnan(at) | ~at.between(0, 253402300799), F.lit("bad event_ts")))
+
+
+def intake_rejects(messages: DataFrame) -> DataFrame:
+    """The messages ``intake_rows`` cannot take, with the reason."""
+    return (messages.withColumn("reject_reason", reject_reason()).where(F.col("reject_reason").isNotNull())
+            .select("reject_reason", "event_id", "event_ts", "_corrupt_record"))
+
+
 def intake_rows(messages: DataFrame, variant: str = "general", dedupe_delay: str | None = "10 minutes",
                 event_time: str = "event_time") -> DataFrame:
     """T1 + T2 + F9 + E4 + E5: inbound messages -> log rows.
 
+    Messages that ``reject_reason`` names are left to ``intake_rejects``.
     Retries, bots and edits are dropped, redeliveries of one event id are
     dropped within the watermark (``dropDuplicatesWithinWatermark``); the
     message loses its mentions; a skipped message becomes INFO_RECEIVED.
     Works on batch and streaming frames alike.
     """
-    m = messages.withColumn("route", text.route_messages())
-    m = m.where(F.col("route").isin("process", "selection") & F.col("_corrupt_record").isNull())
+    m = messages.where(reject_reason().isNull()).withColumn("route", text.route_messages())
+    m = m.where(F.col("route").isin("process", "selection"))
     if dedupe_delay and m.isStreaming:
-        m = (m.withColumn(event_time, F.timestamp_seconds(F.col("event_ts").cast("double")))
+        m = (m.withColumn(event_time, F.timestamp_seconds(event_seconds()))
              .withWatermark(event_time, dedupe_delay).dropDuplicatesWithinWatermark(["event_id"]))
     elif dedupe_delay:
         m = m.dropDuplicates(["event_id"])
@@ -79,15 +108,22 @@ def intake_rows(messages: DataFrame, variant: str = "general", dedupe_delay: str
         msg.alias("message"), "category", "route", reason.alias("skip_reason"),
         F.when(reason.isNotNull(), "INFO_RECEIVED").otherwise("INQUIRY").alias("log_type"),
         F.lit("OPEN").alias("status"),
-        F.timestamp_seconds(F.col("event_ts").cast("double")).cast("timestamp_ntz").alias("created_at"))
+        F.timestamp_seconds(event_seconds()).cast("timestamp_ntz").alias("created_at"))
 
 
 def intake_stream(spark: SparkSession, source: str, sink: str, checkpoint: str | None = None,
                   variant: str = "general", available_now: bool = True):
-    """T1 + S6: append log rows to a Parquet table (file sink, exactly once via its log)."""
+    """T1 + S6: append log rows to a Parquet table (file sink, exactly once via its log).
+
+    Messages that cannot be taken go to the table ``<sink>_rejected`` with the
+    reason, in a second stream over the same source."""
+    rejected = sink.rstrip("/") + "_rejected"
+    bad = (intake_rejects(read_events(spark, source)).writeStream.format("parquet").option("path", rejected)
+           .option("checkpointLocation", checkpoint_of(rejected, checkpoint and checkpoint.rstrip("/") + "_rejected")).outputMode("append"))
+    run(bad, available_now)
     rows = intake_rows(read_events(spark, source), variant)
     w = (rows.writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", checkpoint or scratch(spark, "ck-intake")).outputMode("append"))
+         .option("checkpointLocation", checkpoint_of(sink, checkpoint)).outputMode("append"))
     return run(w, available_now)
 
 
@@ -103,7 +139,7 @@ def open_tickets_stream(spark: SparkSession, candidates: DataFrame, tickets_base
         out = new if existing is None else existing.unionByName(new, allowMissingColumns=True)
         sinks.write_version(out, tickets_base, batch_id)
     w = candidates.writeStream.foreachBatch(each).option(
-        "checkpointLocation", checkpoint or scratch(spark, "ck-open"))
+        "checkpointLocation", checkpoint_of(tickets_base, checkpoint))
     return run(w, available_now)
 
 
@@ -119,7 +155,7 @@ def apply_feedback_stream(spark: SparkSession, feedback: DataFrame, logs_base: s
         cur = sinks.read_current(batch.sparkSession, logs_base)
         sinks.write_version(lifecycle.apply_feedback_logs(cur, batch), logs_base, batch_id)
     w = feedback.writeStream.foreachBatch(each).option(
-        "checkpointLocation", checkpoint or scratch(spark, "ck-feedback"))
+        "checkpointLocation", checkpoint_of(logs_base, checkpoint))
     return run(w, available_now)
 
 
@@ -147,7 +183,7 @@ def kpi_stream(spark: SparkSession, logs: DataFrame, base: str, checkpoint: str
     def each(batch: DataFrame, batch_id: int):
         sinks.upsert_batch(batch, batch_id, base, ["window_start"])
     w = (kpi_windows(logs, delay).writeStream.outputMode("update").foreachBatch(each)
-         .option("checkpointLocation", checkpoint or scratch(spark, "ck-kpi")))
+         .option("checkpointLocation", checkpoint_of(base, checkpoint)))
     return run(w, available_now)
 
 
@@ -208,12 +244,15 @@ def _gap_minutes(gap: str) -> int:
 # ---------------------------------------------------------------- T7 SLA timers
 
 SLA_OUT = "ticket_id string, kind string, due_at timestamp, urgency string"
+DONE_KEPT_MS = 90 * 24 * sla.HOUR_MS  # how long a breached ticket that nobody closes is remembered
 SLA_STATE = "deadline_ms long, warn_ms long, urgency string, stage string"
 
 
 def _sla_timer(key, batches, state):
     """Per ticket: arm a warning timer at 75% of the SLA and a breach timer at
-    the deadline; a RESOLVED/CLOSED event disarms both. A timer already
+    the deadline, both from the first open event; a RESOLVED/CLOSED event
+    disarms both and lets a later open event start anew. A breach is reported
+    once: until it is closed, the ticket stays done. A timer already
     behind the watermark (late data, or the watermark jumped) fires at once."""
     (ticket_id,) = key
     wm = state.getCurrentWatermarkMs()
@@ -228,16 +267,17 @@ def _sla_timer(key, batches, state):
             stage = "warned"
         if stage == "warned" and deadline <= wm:
             note("breach", deadline, urgency)
-            if state.exists:
-                state.remove()
-            return
+            stage = "done"  # kept: a later open event of the ticket must not arm it again
         state.update((deadline, warn, urgency, stage))
-        state.setTimeoutTimestamp(warn if stage == "armed" else deadline)
+        state.setTimeoutTimestamp(max(wm + 1, {"armed": warn, "warned": deadline}.get(stage, deadline + DONE_KEPT_MS)))
 
     if state.hasTimedOut and not state.exists:
         return  # disarmed after its timer was set
     if state.hasTimedOut:
         deadline, warn, urgency, stage = state.get
+        if stage == "done":
+            state.remove()
+            return
         if stage == "armed":
             note("warning", deadline, urgency)
             stage = "warned"
@@ -294,5 +334,5 @@ def export_incremental(spark: SparkSession, source: DataFrame, base: str, keys:
     rows that arrived since the last run into the snapshot table."""
     def each(batch: DataFrame, batch_id: int):
         sinks.upsert_batch(batch, batch_id, base, keys, order_col)
-    w = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint or scratch(spark, "ck-export"))
+    w = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_of(base, checkpoint))
     return run(w, available_now)

@@ -1,8 +1,8 @@
 """Replay-safe sinks for ``foreachBatch``.
 
 A state table lives in versioned folders ``<base>/v<batch id + 1>`` with a
-``_CURRENT`` pointer written last (write-then-rename through the Hadoop
-FileSystem API, so it works on HDFS/object stores as well as local disk).
+``_CURRENT`` pointer written last: a rename that overwrites in one call, so a
+reader finds the old pointer or the new one, never none.
 A batch that is replayed after a failure rewrites the same version from the
 same inputs, so the sink is idempotent; readers never see a half-written
 version.
@@ -46,16 +46,17 @@ def read_current(spark: SparkSession, base: str, schema=None) -> DataFrame | Non
 def publish(spark: SparkSession, base: str, version: str) -> None:
     fs, _, jvm = _fs(spark, base)
     Path = jvm.org.apache.hadoop.fs.Path
-    tmp = Path(base + "/" + POINTER + ".tmp")
+    tmp = Path(base + "/" + POINTER + "." + version)
     out = fs.create(tmp, True)
     try:
         out.write(bytearray(version.encode("utf-8")))
     finally:
         out.close()
-    dst = Path(base + "/" + POINTER)
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    fs.rename(tmp, dst)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(tmp, Path(base + "/" + POINTER), how)
 
 
 def _number(version_path: str | None) -> int:
@@ -70,12 +71,22 @@ def committed(spark: SparkSession, base: str, batch_id: int) -> bool:
     return _number(current_version(spark, base)) >= batch_id + 1
 
 
-def write_version(df: DataFrame, base: str, batch_id: int) -> str | None:
+def expire(spark: SparkSession, base: str, keep: int) -> None:
+    """Delete all but the newest ``keep`` versions up to the published one."""
+    fs, root, _ = _fs(spark, base)
+    done = _number(current_version(spark, base))
+    old = sorted(n for n in (_number(str(x.getPath().getName())) for x in fs.listStatus(root)) if 0 <= n <= done)[:-keep]
+    for n in old:
+        fs.delete(_fs(spark, f"{base}/v{n:012d}")[1], True)
+
+
+def write_version(df: DataFrame, base: str, batch_id: int, keep: int = 3) -> str | None:
     """Publish ``df`` as the version of ``batch_id`` (-1 seeds the table).
 
     A batch whose version is already published is skipped, so a replay
     after a failure between publish and the stream's commit is a no-op; a
-    replay after a failure before publish rewrites only its own folder.
+    replay after a failure before publish rewrites only its own folder. The
+    newest ``keep`` versions stay, for readers that still scan an older one.
     """
     spark = df.sparkSession
     if committed(spark, base, batch_id):
@@ -83,31 +94,30 @@ def write_version(df: DataFrame, base: str, batch_id: int) -> str | None:
     name = f"v{batch_id + 1:012d}"
     df.write.mode("overwrite").parquet(base + "/" + name)
     publish(spark, base, name)
+    expire(spark, base, keep)
     return base + "/" + name
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, base: str, keys: list[str],
                  order_col: str | None = None) -> None:
-    """Merge a micro-batch into the state table: the newest row per key wins.
+    """Merge a micro-batch into the state table: the newest row per key wins,
+    whether it is stored or arrives (an arriving row wins a tie).
 
-    Within the batch the row with the greatest ``order_col`` per key is kept
-    (a map-side combined ``max_by``); stored rows with those keys are
-    replaced (anti join), everything else is carried over.
+    Without ``order_col`` the arriving row replaces the stored one; a batch
+    with several rows of one key is then an error, not an arbitrary choice.
     """
     spark = batch.sparkSession
     if committed(spark, base, batch_id):
         return
     cols = batch.columns
-    if order_col:
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), order_col).alias("_r")).select("_r.*")
-    else:
-        latest = batch.dropDuplicates(keys)
+    if not order_col and batch.groupBy(*keys).count().where("count > 1").head(1):
+        raise ValueError(f"several rows for one key of {keys}: name a column that orders them")
     cur = read_current(spark, base)
-    merged = latest if cur is None else cur.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
+    both = batch.withColumn("_new", F.lit(1))
+    if cur is not None:
+        both = cur.select(*cols).withColumn("_new", F.lit(0)).unionByName(both)
+    order = F.struct(order_col, "_new") if order_col else F.col("_new")
+    newest = F.max_by(F.struct(*cols), order).alias("_r")
+    merged = both.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(newest).select("_r.*")
     # the new version goes to its own folder, so reading the previous one while writing is safe
     write_version(merged.select(*cols), base, batch_id)
-
-
-def replace_with(batch_id: int, base: str, df: DataFrame) -> None:
-    """Write a whole new state version computed by the caller."""
-    write_version(df, base, batch_id)
