@@ -34,7 +34,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_archive(read(spark, sf_dir, "pages"), path)
-    return warc.read_archive(spark, path).select(
+    return warc.read_archive(spark, path, payloads=False).select(
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("long").alias("refers_to"))
 
@@ -67,6 +67,44 @@ QUERIES = {f.__name__: f for f in (
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _pii_sql() -> str:
+    """Matches and what stands between them give the positions, kind by kind."""
+    patterns = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(t, '.'), lambda x: CAST(x AS DOUBLE) > 255)) = 0"),
+        "card": (r"[0-9]([\x20-]?[0-9])+", """len(regexp_replace(t, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND list_sum(list_transform(
+            string_split(reverse(regexp_replace(t, '[^0-9]', '', 'g')), ''),
+            lambda c, k: CASE WHEN k % 2 = 1 THEN CAST(c AS INT) WHEN c >= '5' THEN 2 * CAST(c AS INT) - 9 ELSE 2 * CAST(c AS INT) END)) % 10 = 0"""),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "len(regexp_replace(t, '[^0-9]', '', 'g')) BETWEEN 9 AND 15"),
+        "iban": (r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", """list_reduce(list_transform(string_split('0' || substr(t, 5) || substr(t, 1, 4), ''),
+            lambda c: CASE WHEN c <= '9' THEN CAST(c AS INT) ELSE ascii(c) - 55 END),
+            lambda a, x: (CASE WHEN x < 10 THEN a * 10 + x ELSE a * 100 + x END) % 97) = 1"""),
+    }
+    parts, ctes = [], []
+    for n, (kind, (pattern, ok)) in enumerate(patterns.items()):
+        ctes.append(f"""{kind}_m AS (SELECT r, text, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM d),
+{kind}_s AS (SELECT r, text, m[i] AS t, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {kind}_m)),
+{kind}_v AS (SELECT r, {n} AS o, '{kind}' AS kind, a, a + length(t) AS b,
+  {pii.SCORE[kind]} + CASE WHEN regexp_matches(substr(text, greatest(a - {pii.NEAR - 1}, 1), least(a, {pii.NEAR})) || ' ' || substr(text, a + length(t) + 1, {pii.NEAR}),
+    '(?i)(^|[^\\p{{L}}])({pii.CONTEXT[kind]})') THEN 0.1 ELSE 0 END AS score FROM {kind}_s WHERE {ok})""")
+        parts.append(f"SELECT * FROM {kind}_v")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{", ".join(ctes)},
+v AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+        count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+        string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a) FILTER (WHERE o < 4) AS base,
+        string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a) AS spans, max(score) AS score FROM v GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, round(coalesce(CAST(score AS DOUBLE), 0), 2) AS max_score
+FROM d LEFT JOIN g USING (r)
+"""
+
+
 SQL = {
     "op2_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -83,4 +121,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """,
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, h, octet_length(encode(h)) AS payload_bytes,
+        array_to_string(list_transform(string_split(sha1(h), ''), lambda c: substr(
+          '0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS bits,
+        row_number() OVER (PARTITION BY h ORDER BY page_id DESC) AS place, max(page_id) OVER (PARTITION BY h) AS winner FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+      + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN winner END AS refers_to
+FROM d
+""",
+    "op9_pii": _pii_sql(),
 }
