@@ -38,7 +38,7 @@ SECOND_PERSON = frozenset(
 LEET = str.maketrans("013457@$!|", "oieastasil")
 
 FEATURES = ["word_density", "word_hits", "word_weight", "prefix_density", "prefix_hits", "prefix_weight", "disguised_hits",
-            "disguised_rate", "second_person", "hits_near_second_person", "densest_window", "capitals", "shouted_words",
+            "disguised_rate", "second_person", "hits_near_second_person", "densest_window", "strongest_word", "strongest_prefix", "capitals", "shouted_words",
             "exclamations", "punctuation", "log_words"]
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$") + "«»„“”‘’…¿¡"
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?\Z")
@@ -72,23 +72,20 @@ def terms_of(words: list[str]) -> set[str]:
 
 
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    """The features of a text, in the order of FEATURES."""
+    """The features of a text, in the order of FEATURES. A word's beginning
+    counts with the weight of its strongest prefix."""
     words, disguised, shouted = plain_words(text)
     n = max(1, len(words))
-    at, w_sum, prefix_hits, p_sum = [], 0.0, 0, 0.0
+    at, w_sum, w_top, prefix_hits, p_sum, p_top = [], 0.0, 0.0, 0, 0.0, 0.0
     for k, w in enumerate(words):
-        s = lexicon.get(w)
-        if s is not None:
+        s = lexicon.get(w, 0.0)
+        p = max([lexicon.get(w[:m] + "~", 0.0) for m in PREFIXES if len(w) > m], default=0.0)
+        if s or p:
             at.append(k)
-            w_sum += s
-            continue
-        for m in PREFIXES:
-            s = lexicon.get(w[:m] + "~") if len(w) > m else None
-            if s is not None:
-                at.append(k)
+            w_sum, w_top = w_sum + s, max(w_top, s)
+            if not s:
                 prefix_hits += 1
-                p_sum += s
-                break
+            p_sum, p_top = p_sum + p, max(p_top, p)
     you = [k for k, w in enumerate(words) if w in SECOND_PERSON]
     pos, person = np.array(at, dtype=np.int64), np.array(you, dtype=np.int64)
     near = 0
@@ -101,7 +98,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     c = max(1, len(text))
     word_hits = len(at) - prefix_hits
     return [word_hits / n, float(np.log1p(word_hits)), w_sum / n, prefix_hits / n, float(np.log1p(prefix_hits)), p_sum / n,
-            float(sum(k in disguised for k in at)), len(disguised) / n, len(you) / n, near / max(1, len(at)), float(densest),
+            float(sum(k in disguised for k in at)), len(disguised) / n, len(you) / n, near / max(1, len(at)), float(densest), w_top, p_top,
             sum(map(str.isupper, text)) / c if not text.islower() else 0.0, shouted / n, text.count("!") / c,
             sum(text.count(x) for x in ".,;:?*#") / c, float(np.log1p(len(words)))]
 
