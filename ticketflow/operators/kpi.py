@@ -256,20 +256,22 @@ def ai_quality(responses: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def column_profile(tables: dict) -> DataFrame:
-    """Per table and column: column position, row count, null count.
+    """Per table and column: position, row count, null count, distinct count.
 
-    One aggregate pass per table (all columns in the same ``agg``), then
-    ``stack`` to long form and ``unionByName`` across tables.
+    Each table is read once and turned to (column, value) rows; values are
+    deduplicated per column before the shuffle, long ones as their hash. Equal
+    values of a column therefore meet in one task as one row per map task.
     """
     out = None
     for name, df in tables.items():
-        cols = df.columns
-        aggs = [F.count(F.lit(1)).alias("__rows")]
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"__n{i}") for i, c in enumerate(cols)]
-        stacked = df.agg(*aggs).select(
-            F.lit(name).alias("table_name"), F.col("__rows").alias("row_count"),
-            F.inline(F.array(*[F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"),
-                                        F.col(f"__n{i}").alias("null_count"))
-                               for i, c in enumerate(cols)])))
-        out = stacked if out is None else out.unionByName(stacked)
+        cells = df.select(F.inline(F.array(*[
+            F.struct(F.lit(i + 1).alias("ordinal"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"))
+            for i, c in enumerate(df.columns)])))
+        v = F.when(F.length("v") > 64, F.sha2("v", 256)).otherwise(F.col("v")).alias("v")
+        counted = cells.select("ordinal", "column_name", v).groupBy("ordinal", "column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+        prof = counted.groupBy("ordinal", "column_name").agg(
+            F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+            F.count("v").alias("distinct_count"))
+        prof = prof.select(F.lit(name).alias("table_name"), "row_count", "ordinal", "column_name", "null_count", "distinct_count")
+        out = prof if out is None else out.unionByName(prof)
     return out

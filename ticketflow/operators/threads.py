@@ -93,18 +93,23 @@ def conversation_window(logs: DataFrame, depth: int = HISTORY_DEPTH, newest: boo
     return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= depth)
 
 
-def turn_numbers(logs: DataFrame, strict_reference: bool = False) -> DataFrame:
+def turn_numbers(logs: DataFrame, strict_reference: bool = False,
+                 carry: tuple[str, ...] = ("id", "thread_ts", "created_at", "log_type")) -> DataFrame:
     """Turn index of each conversation row in its thread and is_multi_turn.
 
-    The position is computed with the skew-safe sequence (range partitioned),
-    the thread size with a map-side-combined count joined back.
+    Only the ``carry`` columns (key, order and id among them) are staged and
+    shuffled; join the rest on the id. The position is computed with the
+    skew-safe sequence (range partitioned), the thread size with a
+    map-side-combined count joined back (grouped by a wrapped key, so that
+    adaptive execution can split a hot thread).
     ``strict_reference=True`` reproduces the reference double count (the
     current message is already stored and pushed again: turn + 1, always
     multi-turn).
     """
-    rows = conversation_rows(logs)
+    rows = conversation_rows(logs).select(*carry)
     seq = sequence_within(rows, ["thread_ts"], ["created_at", "id"], "turn_number")
-    sizes = rows.groupBy("thread_ts").agg(F.count(F.lit(1)).alias("_thread_rows"))
+    sizes = (rows.groupBy(F.struct("thread_ts").alias("_k")).agg(F.count(F.lit(1)).alias("_thread_rows"))
+             .select(F.col("_k.thread_ts").alias("thread_ts"), "_thread_rows"))
     out = seq.join(sizes, "thread_ts")
     if strict_reference:
         return (out.withColumn("turn_number", (F.col("turn_number") + 1).cast("int"))

@@ -281,25 +281,22 @@ def q_feedback_quality(spark, d):
     return round_doubles(kpi.feedback_quality(A.knowledge(spark, d)))
 
 
-@register("column_profile", """
-SELECT 'logs' AS table_name, count(*) AS row_count, 6 AS ordinal, 'thread_ts' AS column_name,
-       count(*) FILTER (WHERE thread_ts IS NULL) AS null_count FROM logs
-UNION ALL SELECT 'logs', count(*), 11, 'tokens_input', count(*) FILTER (WHERE tokens_input IS NULL) FROM logs
-UNION ALL SELECT 'logs', count(*), 13, 'evaluation', count(*) FILTER (WHERE evaluation IS NULL) FROM logs
-UNION ALL SELECT 'tickets', count(*), 1, 'ticket_id', count(*) FILTER (WHERE ticket_id IS NULL) FROM tickets
-UNION ALL SELECT 'tickets', count(*), 2, 'assigned_to', count(*) FILTER (WHERE assigned_to IS NULL) FROM tickets
-UNION ALL SELECT 'tickets', count(*), 3, 'resolved_at', count(*) FILTER (WHERE resolved_at IS NULL) FROM tickets
-UNION ALL SELECT 'tickets', count(*), 4, 'source_channel', count(*) FILTER (WHERE source_channel IS NULL) FROM tickets""",
-          ("logs", "tickets"))
+_PROFILED = {
+    "logs": "id log_type inquiry_id user_id channel_id thread_ts message category priority ai_response_text tokens_input "
+            "tokens_output evaluation status created_at resolved_at",
+    "tickets": "ticket_id reporter_name reporter_employee_id location department issue_type category urgency priority summary "
+               "log_id thread_ts source_channel queue status assigned_to created_at updated_at resolved_at",
+    "knowledge": "id title content category subcategory tags views author helpful not_helpful created_at",
+}
+
+
+@register("column_profile", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, {i} AS ordinal, '{c}' AS column_name, "
+    f"count(*) FILTER ({c} IS NULL) AS null_count, count(DISTINCT {c}) AS distinct_count FROM {t}"
+    for t, cols in _PROFILED.items() for i, c in enumerate(cols.split(), 1)), ("logs", "tickets", "knowledge"))
 def q_column_profile(spark, d):
-    """Per-column row and null counts of two tables, unioned."""
-    logs = A.logs(spark, d)
-    t = A.tickets(spark, d).select("ticket_id", "assigned_to", "resolved_at", "source_channel")
-    prof = kpi.column_profile({"logs": logs, "tickets": t})
-    keep = (F.col("table_name") == "tickets") | F.col("column_name").isin(
-        "thread_ts", "tokens_input", "evaluation")
-    return prof.where(keep).select("table_name", "row_count", F.col("ordinal").cast("int"),
-                                   "column_name", "null_count")
+    """Row, null and distinct counts of every column of three tables, unioned."""
+    return kpi.column_profile({"logs": A.logs(spark, d), "tickets": A.tickets(spark, d), "knowledge": A.knowledge(spark, d)})
 
 
 @register("sla_state", f"""

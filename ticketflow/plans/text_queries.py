@@ -354,6 +354,21 @@ def q_parse_agent_response(spark, d):
     return round_doubles(out.drop("confidence_scores"))
 
 
+@register("parse_agent_variant", f"""
+WITH c AS (SELECT conv_id, turn, text, {_K} AS k FROM conversations WHERE role = 'assistant'),
+e AS (SELECT *, k % 5 = 4 AS err, k % 5 = 3 AS plain FROM c)
+SELECT conv_id, turn, 'HR' AS category, 'MEDIUM' AS priority,
+  CASE WHEN err THEN {_lit(agent.VARIANT_ERROR_SUMMARY)} ELSE substr(coalesce(text, ''), 1, {agent.SNIPPET}) END AS summary,
+  CASE WHEN err THEN {_lit(agent.VARIANT_ERROR_REPLY)} WHEN plain THEN text ELSE coalesce(nullif({_REPLY}, ''), text) END AS ai_response_text,
+  err AS parse_error
+FROM e""")
+def q_parse_agent_variant(spark, d):
+    """E10, queue variant (HR): fixed category and priority, the message's first 100 characters as summary."""
+    x = _agent_inputs(spark, d).join(A.read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("message")),
+                                     ["conv_id", "turn"])
+    return agent.parse_agent_response(x, message="message", variant="hr").drop("response", "message")
+
+
 @register("message_snippets", """
 SELECT conv_id, turn, substr(coalesce(text, ''), 1, 100) AS summary, substr(coalesce(text, ''), 1, 2900) AS reply,
        replace(replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'),
