@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketflow.functions.skew import sequence_within
 from ticketflow.functions.timeutil import (day_start, hours_between, lit_date,
                                            minute_boundaries)
 
@@ -238,21 +239,42 @@ def feedback_quality(articles: DataFrame, key: str = "category") -> DataFrame:
         F.try_divide(h.cast("double"), (h + nh).cast("double")).alias("helpful_ratio"))
 
 
-def ai_quality(responses: DataFrame, key: str | None = None) -> DataFrame:
+def exact_percentiles(df: DataFrame, key: str, value: str, id_col: str, shares: dict[str, float]) -> DataFrame:
+    """One row per key: the interpolated percentiles of ``value``, named by ``shares``.
+
+    Values are numbered within their key by the skew-safe sequence, and only the
+    two rows around each wanted position are kept: no group is collected and no
+    sketch approximates. Nulls do not count; ``id_col`` breaks ties.
+    """
+    rows = df.select(key, value, id_col).where(F.col(value).isNotNull())
+    seq = sequence_within(rows, [key], [value, id_col], "_pos")
+    sizes = (rows.groupBy(F.struct(key).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+             .select(F.col(f"_g.{key}").alias("_k"), "_n"))
+    at = {name: 1 + (F.col("_n") - 1) * F.lit(share) for name, share in shares.items()}  # 1-based, between two rows
+    wanted = F.array(*[x.cast("long") for h in at.values() for x in (F.floor(h), F.ceil(h))])
+    near = seq.join(sizes, F.col(key).eqNullSafe(F.col("_k"))).where(F.array_contains(wanted, F.col("_pos")))
+    return near.groupBy(key).agg(*[
+        (F.max(F.when(F.col("_pos") == F.floor(h), F.col(value))) * (1 - (F.max(h) - F.floor(F.max(h))))
+         + F.max(F.when(F.col("_pos") == F.ceil(h), F.col(value))) * (F.max(h) - F.floor(F.max(h)))).alias(name)
+        for name, h in at.items()])
+
+
+def ai_quality(responses: DataFrame, key: str, id_col: str = "response_id") -> DataFrame:
     """AI response quality: mean confidence, helpful and escalation rates,
-    mean and approximate p50/p95 response time (``percentile_approx`` keeps a
-    bounded sketch per group instead of collecting every value).
+    mean and exact p50/p95 response time.
 
-    Input columns: confidence_score, was_helpful, response_time_ms, escalated.
+    Input columns: confidence_score, was_helpful, response_time_ms, escalated, and
+    an id that breaks ties.
     """
-    grouped = responses.groupBy(key) if key else responses.groupBy()
-    return grouped.agg(
+    means = responses.groupBy(key).agg(
         F.count(F.lit(1)).alias("responses"),
         F.avg("confidence_score").alias("avg_confidence"),
         F.avg(F.col("was_helpful").cast("double")).alias("helpful_rate"),
         F.avg(F.col("escalated").cast("double")).alias("escalation_rate"),
-        F.avg("response_time_ms").alias("avg_response_ms"),
-        F.percentile_approx("response_time_ms", [0.5, 0.95], 10000).alias("p50_p95_response_ms"))
+        F.avg("response_time_ms").alias("avg_response_ms"))
+    parts = exact_percentiles(responses, key, "response_time_ms", id_col, {"p50_response_ms": 0.5, "p95_response_ms": 0.95})
+    parts = parts.withColumnRenamed(key, "_pk")
+    return means.join(parts, F.col(key).eqNullSafe(F.col("_pk")), "left").drop("_pk")
 
 
 def column_profile(tables: dict) -> DataFrame:

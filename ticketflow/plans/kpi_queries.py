@@ -348,21 +348,50 @@ def q_sla_settings_lookup(spark, d):
                       sla.format_sla(F.col("sla_hours")).alias("sla_label"))
 
 
-@register("ai_quality")
-def q_ai_quality(spark, d):
-    """A20 AI response quality per category; response time = AI_RESPONSE minus its INQUIRY.
-
-    percentile_approx output has no exact SQL twin, so only rows are checked.
-    """
+def _response_times(spark, d):
+    """The J8 chain as A20 input."""
     from ticketflow.operators import threads
-    chain = threads.reply_chain(A.logs(spark, d))
-    resp = chain.select(
-        "category",
+    return threads.reply_chain(A.logs(spark, d)).select(
+        "category", F.struct("response_id", "evaluation_id").alias("response_id"),
         F.lit(None).cast("double").alias("confidence_score"),
         (F.col("outcome") == "resolved").alias("was_helpful"),
-        F.col("response_ms").alias("response_time_ms"),
-        (F.col("outcome") == "escalated").alias("escalated"))
-    return kpi.ai_quality(resp, "category")
+        F.col("response_ms").alias("response_time_ms"), (F.col("outcome") == "escalated").alias("escalated"))
+
+
+@register("ai_quality", """
+WITH i AS (SELECT id AS inquiry_id, created_at AS inq_at, category FROM logs WHERE log_type = 'INQUIRY'),
+r AS (SELECT id AS response_id, inquiry_id AS r_inq, created_at AS resp_at FROM logs WHERE log_type = 'AI_RESPONSE'),
+e AS (SELECT id AS evaluation_id, inquiry_id AS e_resp FROM logs WHERE log_type = 'EVALUATION'),
+c AS (SELECT category, epoch_us(resp_at) // 1000 - epoch_us(inq_at) // 1000 AS ms
+      FROM i JOIN r ON inquiry_id = r_inq LEFT JOIN e ON response_id = e_resp)
+SELECT category, count(*) AS responses, round(avg(ms), 6) AS avg_response_ms,
+       round(quantile_cont(ms, 0.5), 6) AS p50_response_ms, round(quantile_cont(ms, 0.95), 6) AS p95_response_ms
+FROM c GROUP BY category""", ("logs",))
+def q_ai_quality(spark, d):
+    """A20 response times per category: mean and exact p50/p95 of AI_RESPONSE minus its INQUIRY."""
+    out = kpi.ai_quality(_response_times(spark, d), "category")
+    return round_doubles(out.select("category", "responses", "avg_response_ms", "p50_response_ms", "p95_response_ms"))
+
+
+@register("ai_confidence", """
+WITH c AS (SELECT conv_id, turn, conv_id * 10 + turn AS k FROM conversations WHERE role = 'assistant'),
+e AS (SELECT *, k % 5 = 4 AS err, k % 5 = 3 OR k % 7 = 0 AS no_json,
+             ['HARDWARE', 'SOFTWARE', 'ACCOUNT', 'OTHER'][k % 4 + 1] AS cat FROM c)
+SELECT CASE WHEN err THEN 'ERROR' WHEN no_json THEN 'OTHER' ELSE cat END AS category, count(*) AS responses,
+       round(avg(CASE WHEN NOT err THEN CAST(printf('%.2f', (k % 100) / 100.0) AS DOUBLE) END), 6) AS avg_confidence,
+       round(avg(CASE WHEN err THEN 1.0 WHEN no_json THEN 0.0 WHEN k % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS escalation_rate
+FROM e GROUP BY 1""")
+def q_ai_confidence(spark, d):
+    """A20 confidence per category, from the agent responses that E10 parses (top search score)."""
+    from ticketflow.functions import agent
+    from ticketflow.plans.text_queries import _agent_inputs
+    parsed = agent.parse_agent_response(_agent_inputs(spark, d)).select(
+        "category", F.struct("conv_id", "turn").alias("response_id"),
+        F.try_element_at(F.col("confidence_scores"), F.lit(1))["score"].alias("confidence_score"),
+        (~F.col("needs_escalation")).alias("was_helpful"), F.lit(None).cast("long").alias("response_time_ms"),
+        F.col("needs_escalation").alias("escalated"))
+    out = kpi.ai_quality(parsed, "category")
+    return round_doubles(out.select("category", "responses", "avg_confidence", "escalation_rate"))
 
 
 @register("ai_quality_rates", """
@@ -381,11 +410,5 @@ SELECT category, count(*) AS responses,
 FROM c GROUP BY category""", ("logs",))
 def q_ai_quality_rates(spark, d):
     """A20 (exact part) per category over the J8 chain: helpful and escalation rates, mean latency."""
-    from ticketflow.operators import threads
-    chain = threads.reply_chain(A.logs(spark, d))
-    resp = chain.select(
-        "category", F.lit(None).cast("double").alias("confidence_score"),
-        (F.col("outcome") == "resolved").alias("was_helpful"),
-        F.col("response_ms").alias("response_time_ms"), (F.col("outcome") == "escalated").alias("escalated"))
-    out = kpi.ai_quality(resp, "category")
+    out = kpi.ai_quality(_response_times(spark, d), "category")
     return round_doubles(out.select("category", "responses", "helpful_rate", "escalation_rate", "avg_response_ms"))
