@@ -193,29 +193,38 @@ def reassemble(records: DataFrame) -> DataFrame:
     return alone.union(seg.select("type", "record_id", "digest", "refers_to", F.when(whole, joined).alias("block")))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page of an archive: page_id (text), record_type, payload
-    (null for revisits), payload_bytes, payload_digest, refers_to (page id,
-    text), complete (segments whole and the digest confirmed). A revisit takes
-    its payload's size from the record it refers to."""
-    @F.pandas_udf("payload binary, sha1 string")
+def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row per page of an archive: page_id (text), record_type,
+    payload_bytes, payload_digest, refers_to (page id, text), complete (segments
+    whole and the digest confirmed) and, with ``payloads``, payload (null for
+    revisits). A revisit takes its payload's size from the record it refers to.
+
+    The archive is read, reassembled and decoded once for the facts of its
+    records, which are checkpointed, and once more where payloads are asked for.
+    """
+    @F.pandas_udf("payload binary, n long, sha1 string")
     def decode(block: pd.Series) -> pd.DataFrame:
         got = [None if b is None else decode_http(bytes(b)) for b in block]
-        return pd.DataFrame({"payload": got, "sha1": [None if p is None else sha1_base32(p) for p in got]})
-
-    whole = reassemble(read_records(spark, path))
+        return pd.DataFrame({"payload": got if payloads else None, "n": pd.array([None if p is None else len(p) for p in got], dtype="Int64"),
+                             "sha1": [None if p is None else sha1_base32(p) for p in got]})
+
+    decoded = reassemble(read_records(spark, path)).withColumn("d", decode("block"))
+    is_response = F.col("type") == "response"
+    facts = cut_lineage(decoded.select(
+        "type", "record_id", "digest", "refers_to", F.when(is_response, F.col("d.n")).alias("payload_bytes"),
+        F.when(is_response, F.coalesce(F.col("d.sha1") == F.col("digest"), F.lit(False))).alias("complete")))
+    responses, revisits = facts.where(is_response), facts.where(F.col("type") == "revisit")
+    sizes = responses.select(F.col("record_id").alias("refers_to"), "payload_bytes", "complete")
+    revisits = (revisits.drop("payload_bytes", "complete").join(sizes, "refers_to", "left")
+                .withColumn("complete", F.coalesce("complete", F.lit(False))).select(*facts.columns))
     page = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(.*):[0-9A-F]+-[0-9]+$", 1), F.lit("null"))
-    responses = (whole.where("type = 'response'").withColumn("d", decode("block"))
-                 .select("record_id", "digest", F.col("d.payload").alias("payload"),
-                         F.octet_length("d.payload").cast("long").alias("payload_bytes"),
-                         F.coalesce(F.col("d.sha1") == F.col("digest"), F.lit(False)).alias("complete")))
-    sizes = cut_lineage(responses.select(F.col("record_id").alias("refers_to"), "payload_bytes", "complete"))
-    revisits = (whole.where("type = 'revisit'").select("record_id", "digest", "refers_to").join(sizes, "refers_to", "left")
-                .select(page(F.col("record_id")).alias("page_id"), F.lit("revisit").alias("record_type"), F.lit(None).cast("binary").alias("payload"),
-                        "payload_bytes", F.col("digest").alias("payload_digest"), page(F.col("refers_to")).alias("refers_to"),
-                        F.coalesce("complete", F.lit(False)).alias("complete")))
-    return responses.select(page(F.col("record_id")).alias("page_id"), F.lit("response").alias("record_type"), "payload", "payload_bytes",
-                            F.col("digest").alias("payload_digest"), F.lit(None).cast("string").alias("refers_to"), "complete").union(revisits)
+    out = [page(F.col("record_id")).alias("page_id"), F.col("type").alias("record_type"), "payload_bytes",
+           F.col("digest").alias("payload_digest"), page(F.col("refers_to")).alias("refers_to"), "complete"]
+    if not payloads:
+        return responses.union(revisits).select(*out)
+    whole = decoded.where(is_response).select(*[c for c in facts.columns if c not in ("payload_bytes", "complete")], F.col("d.n").alias("payload_bytes"),
+                                              F.coalesce(F.col("d.sha1") == F.col("digest"), F.lit(False)).alias("complete"), F.col("d.payload").alias("payload"))
+    return whole.union(revisits.withColumn("payload", F.lit(None).cast("binary"))).select(*out, "payload")
 
 
 def archive_path(spark: SparkSession) -> str:
