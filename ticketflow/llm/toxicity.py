@@ -1,9 +1,11 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by
 isotonic regression.
 
-The labelled sample has three disjoint parts: one gives the lexicon (words, and
-beginnings of words, that stand out in toxic texts), one fits the trees, one
-fits the calibration.
+The lexicon holds words, and beginnings of words, that stand out in toxic texts
+of the labelled sample. Trees must not learn from rows their lexicon was taken
+from: of two halves, each gets its features from the other half's lexicon. The
+final lexicon comes from both; a further part of the sample, which neither the
+lexicon nor the trees have seen, fits the calibration.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from ticketflow.session import cut_lineage
 from .common import held_out, prepare, text_bytes, train_label_rows
 
 # Labelled rows the model is fitted on, at most (those of smallest id hash).
-MAX_TRAIN_ROWS = 16_000
+MAX_TRAIN_ROWS = 12_000
 LEXICON_TERMS = 400     # terms kept, those of largest likelihood ratio
 MIN_DOCS, MIN_LOG_ODDS = 3, 2.0
+MIN_RATIO = 7.5         # log likelihood ratio: chance terms of a small sample stay below
 PREFIXES = (4, 5, 6, 7)
 NEAR = 6                # words within which a second person counts as near
 TREES, DEPTH = 30, 3
@@ -124,7 +127,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_TERMS) -> dict[str, float
     ratio = a * F.log(a / (share * p)) + F.when(b > 0, b * F.log(b / (share * n))).otherwise(0.0)
     best = (unique.mapInPandas(tally, "term string, neg long, pos long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
             .where(a >= MIN_DOCS).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
-            .withColumn("ratio", ratio).orderBy(F.desc("ratio"), "term").limit(size).collect())
+            .withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(size).collect())
     return {r["term"]: float(r["odds"]) for r in best}
 
 
@@ -161,15 +164,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
                        .join(F.broadcast(sample), "_id").select("label", "part", "text"))
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     model = ToxicityModel({}, None, None, (positive + 1) / (n + 2))
-    model.lexicon = learn_lexicon(rows.where("part < 4").select("label", "text"))
-    known = cut_lineage(rows.where("part >= 4").select(F.col("label").cast("double").alias("label"), "part", model.features(F.col("text")).alias("f")))
-    seen = {(bool(r["own"]), r["label"]) for r in known.select((F.col("part") < 8).alias("own"), "label").distinct().collect()}
-    if len(seen) < 4:
+    halves = [(F.col("part") < 4), F.col("part").between(4, 7)]
+    label = F.col("label").cast("double").alias("label")
+    train = None
+    for own, other in (halves, halves[::-1]):
+        model.lexicon = learn_lexicon(rows.where(other).select("label", "text"))
+        part = rows.where(own).select(label, model.features(F.col("text")).alias("f"))
+        train = part if train is None else train.union(part)
+    train = cut_lineage(train)
+    model.lexicon = learn_lexicon(rows.where("part < 8").select("label", "text"))
+    held = cut_lineage(rows.where("part >= 8").select(label, model.features(F.col("text")).alias("f")))
+    if any(df.select("label").distinct().count() < 2 for df in (train, held)):
         return model
-    train = known.where("part < 8").select("label", array_to_vector("f").alias("features"))
-    model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, subsamplingRate=0.8, seed=42).fit(train)
-    model.calibration = IsotonicRegression(featuresCol="p", labelCol="label").fit(
-        cut_lineage(model.raw(known.where("part >= 8")).select("label", "p")))
+    model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, subsamplingRate=0.8, seed=42).fit(
+        train.select("label", array_to_vector("f").alias("features")))
+    # rows of one probability count once, with their share of label 1 and their number
+    levels = model.raw(held).groupBy("p").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("n"))
+    model.calibration = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="n").fit(cut_lineage(levels))
     return model
 
 
