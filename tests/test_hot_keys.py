@@ -67,3 +67,29 @@ def test_ticket_conversation_hot_thread(spark):
     got = T.ticket_conversation(tickets, logs).groupBy("ticket_id").agg(F.count("log_id").alias("n")).collect()
     assert {r.ticket_id: r.n for r in got} == {"IT-1": 1000, "IT-2": sum(1 for i in range(3000) if i % 3 and i % 17 and i % 97 == 5),
                                                "IT-3": 0, "IT-4": 0}
+
+
+def test_joins_of_a_hot_key_are_split(spark):
+    """A third of the rows on one key: adaptive execution splits the join (``skew=true``)."""
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+           "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.autoBroadcastJoinThreshold": "-1",
+           "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") % 5000).cast("string")))
+        logs = spark.range(60_000).select(
+            "id", hot.alias("thread_ts"), F.lit("INQUIRY").alias("log_type"), F.col("id").cast("string").alias("message"),
+            F.lit("OPEN").alias("status"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("created_at"),
+            F.lit(None).cast("timestamp_ntz").alias("resolved_at"))
+        fb = logs.where("id % 2 = 0").select(F.col("id").alias("log_id"), "thread_ts", F.lit("resolved").alias("evaluation"),
+                                             F.col("created_at").alias("at"), F.col("id").alias("seq"))
+        frames = {"first_last": T.first_last_in_thread(logs), "feedback": L.apply_feedback_logs(logs, fb),
+                  "near_duplicates": K.near_duplicate_groups(logs, "id", "thread_ts")}
+        for name, df in frames.items():
+            assert len(df.collect()) == 60_000, name
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString(), name
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
