@@ -29,19 +29,33 @@ def q_kpi_stream_daily(spark, d):
     return round_doubles(jobs.kpi_finish(sinks.read_current(spark, base)))
 
 
-@register("conversation_sessions", """
+_SESSIONS_SQL = """
 WITH l AS (SELECT user_id, created_at, log_type,
                   lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, id) AS prev FROM logs),
 m AS (SELECT *, sum(CASE WHEN prev IS NULL OR created_at >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
                  OVER (PARTITION BY user_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS sid FROM l)
 SELECT user_id, min(created_at) AS session_start, max(created_at) + INTERVAL 30 MINUTE AS session_end,
        count(*) AS events, count(*) FILTER (WHERE log_type = 'INQUIRY') AS inquiries
-FROM m GROUP BY user_id, sid""", ("logs",))
+FROM m GROUP BY user_id, sid"""
+
+
+@register("conversation_sessions", _SESSIONS_SQL, ("logs",))
 def q_conversation_sessions(spark, d):
     """T6 (batch form): per-user activity sessions with a 30 minute gap (session_window)."""
     return jobs.conversation_sessions(A.logs(spark, d), "30 minutes")
 
 
+@register("conversation_sessions_stream", _SESSIONS_SQL, ("logs",))
+def q_conversation_sessions_stream(spark, d):
+    """T6 (streaming form): session windows over the event stream in complete mode, so that
+    sessions still open at the end of the catch-up are part of the published table."""
+    base = jobs.scratch(spark, "sessions")
+    rows = jobs.conversation_sessions(A.logs_of(A.events_stream(spark, d)), "30 minutes", delay="1 hour")
+    jobs.run(rows.writeStream.outputMode("complete").foreachBatch(lambda batch, i: sinks.write_version(batch, base, i) and None)
+             .option("checkpointLocation", jobs.checkpoint_of(base, None)))
+    return sinks.read_current(spark, base)
+
+
 @register("urgent_alerts", """
 SELECT ticket_id,
   CASE WHEN source_channel IS NOT NULL AND source_channel <> '' AND source_channel NOT IN ('slack', 'web', 'email')

@@ -23,21 +23,20 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-_READS: dict = {}
+_SCHEMAS: dict = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet read, memoized per session and path (schema discovery runs once).
+    """Parquet read; the schema of a path is discovered once per application.
 
-    The DataFrame is lazy and immutable, so reuse only saves planning time;
-    every action still scans the files.
+    The files are listed anew by every read, so a table that was rewritten is
+    read as it is now.
     """
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    df = _READS.get(key)
-    if df is None:
-        df = _READS[key] = spark.read.parquet(path)
-    return df
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def _case(c: Column, mapping: dict, default=None) -> Column:
