@@ -1,7 +1,7 @@
 """WARC archives: writing with segmentation and chunked framing, reading back
 with segment reassembly.
 
-An archive file is a run of records, each a header block, a blank line, the
+An archive file, gzipped as a whole, is a run of records, each a header block, a blank line, the
 content, and two line ends. Content above ``segment`` bytes is split: the first
 record carries WARC-Segment-Number 1, continuation records carry the first
 one's id as WARC-Segment-Origin-ID and their number, and the last one the
@@ -11,6 +11,7 @@ WARC-Segment-Total-Length. HTTP bodies use chunked transfer framing.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -85,7 +86,9 @@ def page_records(rid: str, url: str, payload: bytes, digest: str, refers: str |
 
 
 def parse(data: bytes):
-    """(fields with lower-case names, content) of each record of an archive file."""
+    """(fields with lower-case names, content) of each record of an archive file, gzipped or not."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     pos = 0
     while pos < len(data):
         end = data.index(b"\r\n\r\n", pos)
@@ -153,7 +156,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     (rows.mapInPandas(records, "value binary")
      .select(F.col("value").cast("string").alias("value"))  # the bytes as they are; the writer adds the closing line ends
-     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
+     .option("compression", "gzip").text(path))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
