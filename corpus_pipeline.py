@@ -32,8 +32,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents whose source, language and topic shares meet their targets."""
-    return mixing.sample(docs, keep=0.8)
+    """A sample of documents whose source, language and topic shares meet their targets: 80 % of the
+    mass, or the most that the targets leave."""
+    return mixing.sample(docs, keep=0.8, targets_first=True)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from fixtures import SCHEMA, awkward, awkward_rows, empty  # noqa: E402
+from fixtures import SCHEMA, awkward, awkward_rows, empty, prose  # noqa: E402
 from ticketflow.llm import mixing, pii, quality, sharding, token_count, toxicity, warc  # noqa: E402
 
 SF1 = "/root/testdata/sf0.1"  # enough labels for each part of the sample
@@ -211,6 +211,53 @@ def test_raking_meets_its_targets(spark, monkeypatch):
     assert all(results[0][k] == pytest.approx(results[1][k], abs=1e-6) for k in results[0])
 
 
+def _misses(rows, margins, key="mass"):
+    """The most by which the expected kept shares miss their targets."""
+    kept = sum(r[key] * r["probability"] for r in rows)
+    return max(abs(sum(r[key] * r["probability"] for r in rows if r[c] == k) / kept - share)
+               for c, shares in margins.items() for k, share in shares.items())
+
+
+def test_kept_shares_meet_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-7)
+    rng = random.Random(2)
+    cells = [(s, lang, t, rng.randint(200, 300) * (40 if s == "hot" else 1) * (6 if lang == "en" else 1))
+             for s in ["hot", "b", "c", None] for lang in ["en", "fr"] for t in range(2)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic int, mass long")
+    margins = {c: mixing.tempered(df, c, p) for c, p in zip(("source", "lang", "topic"), (0.9, 0.9, 0.5))}
+    want = {c: {r[c]: r["share"] for r in m.collect()} for c, m in margins.items()}
+    total = sum(c[3] for c in cells)
+    free = max(r["ratio"] for r in mixing.rake_cells(df, margins, 0.01).collect())
+    assert 0.7 * free > 1  # cells at probability 1
+    for limit in (200_000, 0):  # in numpy, and by joins
+        got = mixing.rake_cells(df, margins, 0.7, limit).collect()
+        assert _misses(got, want) < 1e-5 and all(0 <= r["probability"] <= 1 for r in got)
+        assert sum(r["mass"] * r["probability"] for r in got) == pytest.approx(0.7 * total, rel=1e-5)
+    # shares that no sample of this size has: less is kept, but not less than without a cell at 1
+    margins = {c: mixing.tempered(df, c, 0.5) for c in margins}
+    want = {c: {r[c]: r["share"] for r in m.collect()} for c, m in margins.items()}
+    monkeypatch.setattr(mixing, "HALVINGS", 2)
+    for limit in (200_000, 0):
+        got = mixing.rake_cells(df, margins, 0.7, limit, targets_first=True).collect()
+        assert _misses(got, want) < 1e-5 and all(0 <= r["probability"] <= 1 for r in got)
+        assert 1 / max(r["ratio"] for r in mixing.rake_cells(df, margins, 0.01).collect()) - 1e-6 <= \
+            sum(r["mass"] * r["probability"] for r in got) / total < 0.7
+
+
+def test_documents_of_a_hot_source_meet_their_targets(spark):
+    rows = [(k, prose(random.Random(k), 5 + k % 40), "en" if k % 5 else "fr", "hot" if k % 3 == 0 else f"s{k % 7}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = mixing.mix(df, keep=0.8, targets_first=True).collect()
+    want = {}
+    for c, power in zip(("source", "lang", "topic"), (0.5, 0.7, 0.5)):
+        mass: dict = {}
+        for r in got:
+            mass[r[c]] = mass.get(r[c], 0) + r["n_tokens"]
+        want[c] = {k: m ** power / sum(x ** power for x in mass.values()) for k, m in mass.items()}
+    assert _misses(got, want, "n_tokens") < 1e-5
+    assert mixing.sample(df, keep=0.8, targets_first=True).count() == sum(r["kept"] for r in got)
+
+
 def test_mix_rows(spark):
     df = awkward(spark)
     out = mixing.mix(df)

@@ -22,7 +22,7 @@ def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents"), targets_first=True)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
