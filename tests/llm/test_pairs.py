@@ -195,6 +195,17 @@ def test_nearest_neighbours_against_brute_force(spark):
     assert hnsw.search(few.limit(0)).count() == 0
 
 
+def test_repeated_rows_take_no_place_of_other_ids(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(100, 8))
+    x[50:56] = x[50]  # k + 1 ids of one vector
+    rows = [(k, x[k].tolist()) for k in range(100)]
+    rows += [row for row in rows[50:56]] * 2 + [rows[50]] * 20
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in hnsw.search(df).collect()}
+    assert [got[50, rank] for rank in range(1, 6)] == [51, 52, 53, 54, 55]
+
+
 def test_recall_on_the_embeddings_table(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     t = e.select("vec_id", "embedding").toPandas()

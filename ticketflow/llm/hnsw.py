@@ -142,7 +142,7 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): rows with an id and a finite vector that isn't zero; equal rows once."""
+    """(id, v): rows with an id and a finite vector that isn't zero."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
@@ -153,9 +153,10 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Dat
     """One row per shard: shard, dim, ids (k + 1 least per node, -1 beyond),
     vectors, levels, neighbours (flat arrays), entry."""
     prepare(vectors.sparkSession)
+    # equal rows count once, so that copies don't fill the places of other ids;
     # rows of one vector beyond the k + 1 least ids are cut before the shuffle (partial rank limit)
     least = Window.partitionBy("v").orderBy("id")
-    nodes = cut_lineage(vectors.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1)
+    nodes = cut_lineage(vectors.distinct().withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1)
                         .groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")))
     shards = max(1, math.ceil(nodes.count() / shard_rows))
     width = k + 1
