@@ -61,19 +61,38 @@ class Staged:
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.n}")
 
 
+def _is_plain_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of a file that is read once: nothing
+    but projections and filters over one scan. An explode, a join or a union
+    above the scan gives several rows the same file and row number."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = plan.relation().location().rootPaths()
+    paths = sorted(roots.apply(k).toString().rstrip("/") + "/" for k in range(roots.size()))
+    return not any(b.startswith(a) for a, b in zip(paths, paths[1:]))
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a column that identifies each row, equal in every job that
     reads ``df`` again.
 
-    A Parquet scan gives (hash of the file's path, row number in the file), so
-    nothing is stored. Any other frame is checkpointed with a generated number.
+    Over a plain Parquet scan it is (hash of the file's path, row number in the
+    file), so nothing is stored. Any other frame is checkpointed with a
+    generated number.
     """
-    try:
-        return df.withColumn(name, F.struct(
-            F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
-    except AnalysisException:
-        return cut_lineage(df.withColumn(name, F.struct(
-            F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))))
+    if _is_plain_scan(df):
+        try:
+            return df.withColumn(name, F.struct(
+                F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+        except AnalysisException:  # a format without row numbers
+            pass
+    return cut_lineage(df.withColumn(name, F.struct(
+        F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))))
 
 
 def train_label_rows(labels: DataFrame, label: str, salt: str, max_rows: int) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, hnsw, mixing, pii, quality, sharding, simhash, token_count, toxicity, warc
+from . import (ball_tree, centroids, decontam, hnsw, mixing, packing, pii, quality, sharding, simhash, token_count, toxicity,
+               warc)
 from .common import read, text_bytes
 
 
@@ -61,9 +62,22 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_decontaminate, op3_hnsw, op4_mixing, op5_token_counts, op6_warc, op7_simhash, op8_toxicity, op9_pii,
-    op10_histogram_shards)}
+    op10_histogram_shards, op11_packing, op12_centroids, op13_ball_tree)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -105,6 +119,32 @@ FROM d LEFT JOIN g USING (r)
 """
 
 
+def _clusters_sql(rounds: int = 10) -> str:
+    """One pair of tables per round: assignments (a) and centroids (c)."""
+    near = """a{n} AS MATERIALIZED (SELECT r, min_by(k, (far, k)) AS k, min(far) AS far FROM (
+  SELECT r, k, sum((x - y) * (x - y)) AS far FROM v JOIN c{n} USING (d) GROUP BY r, k) GROUP BY r)"""
+    moved = """c{m} AS MATERIALIZED (SELECT k, d, coalesce(y1, y) AS y FROM c{n} LEFT JOIN (
+  SELECT k, d, (s - ((s % n + n) % n)) // n AS y1 FROM (SELECT k, d, sum(x) AS s, count(*) AS n FROM a{n} JOIN v USING (r) GROUP BY k, d)) USING (k, d))"""
+    steps = []
+    for n in range(rounds):
+        steps += [near.format(n=n), moved.format(n=n, m=n + 1)]
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, unnest(range(64)) AS d, CAST(floor(1024 * CAST(unnest(e) AS DOUBLE)) AS HUGEINT) AS x FROM kept),
+s AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, list_transform(e, lambda x: floor(1024 * CAST(x AS DOUBLE)))) - 1 AS k FROM kept),
+c0 AS MATERIALIZED (SELECT k, d, x AS y FROM s JOIN v USING (r) WHERE k < 8),
+{", ".join(steps)},
+{near.format(n=rounds)},
+sha AS (SELECT k, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INT) AS cluster, CAST(far AS BIGINT) AS distance, CAST(sum(far) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(far) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN sha USING (k)
+"""
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 SQL = {
     "op2_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -135,4 +175,18 @@ SELECT page_id, payload_bytes,
 FROM d
 """,
     "op9_pii": _pii_sql(),
+    "op12_centroids": _clusters_sql(),
+    "op13_ball_tree": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+st AS (SELECT count(*) AS docs, sum(len(w)) AS total FROM d WHERE len(w) > 0),
+i AS (SELECT row_number() OVER () AS i, item_id, w FROM (SELECT DISTINCT item_id, text, {_TERMS} AS w FROM benchmark)),
+q AS (SELECT i, t, count(*) AS times FROM (SELECT i, unnest(w) AS t FROM i) GROUP BY i, t),
+tf AS (SELECT r, n, t, count(*) AS tf FROM (SELECT r, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, n, t),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM tf, st GROUP BY t),
+x AS (SELECT r, t, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))) AS x FROM tf JOIN df USING (t), st),
+s AS (SELECT i, r, sum(times * x) AS score FROM q JOIN x USING (t) GROUP BY i, r HAVING sum(times * x) > 0),
+top AS (SELECT i, r, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN d USING (r))
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM top JOIN i USING (i) JOIN d USING (r) WHERE rank <= 20
+""",
 }
