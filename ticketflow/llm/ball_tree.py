@@ -2,12 +2,15 @@
 
 Documents are sparse vectors of saturated term frequencies, items sparse vectors
 of term counts times weights, and a score is their inner product. Each task cuts
-its documents into trees of bounded size. A node has a centroid c and a radius r
-around it, so no document below it scores more than q.c + |q| r; both vectors are
-scaled by the square root of the weights, which makes rare terms decide the
-radius. A query walks a tree best-first and stops where the bound, rounded up by
-more than floating point can lose, is below its k-th score. Leaves are scored in
-64-bit integers. Items are searched in blocks of a bounded number of terms.
+its documents into trees of bounded size. A node has a centroid c, a radius r
+around it and a radius per term, d: how far any of its documents exceeds the
+centroid in that term. So no document below it scores more than q.c + |q| r, nor
+more than q.c + q.d; texts are sparse, and it is the second that prunes them.
+Both vectors are scaled by the square root of the weights, which makes rare terms
+decide the radius. A query walks a tree best-first and stops where the bound,
+rounded up by more than floating point can lose, is below its k-th score. Leaves
+are scored in 64-bit integers. Items are searched in blocks of a bounded number
+of terms.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from .common import Staged, prepare, text_bytes
 
 BLOCK_TERMS = 400_000     # (item, term) pairs of a block: what a task holds of the items
 TREE_ENTRIES = 1_500_000  # (document, term) pairs of a tree
-LEAF = 48                 # documents of a leaf
+LEAF = 32                 # documents of a leaf
 SLACK = 1e-9              # relative; sums of n terms lose at most about n * 1.2e-16, n below 4 million
 
 # Bytes to what a term keeps of them: digits, lower-case letters and all bytes of other scripts.
@@ -56,7 +59,7 @@ class BallTree:
         self.norm2 = np.add.reduceat(value * value, ptr[:-1]) if len(ptr) > 1 else np.zeros(0)
         self.rows = np.arange(len(ptr) - 1)
         self.width = int(term.max()) + 1 if len(term) else 0
-        self.nodes: list[tuple] = []  # (first, end, left, right, centroid terms, centroid values, radius)
+        self.nodes: list[tuple] = []  # (first, end, left, right, centroid terms, centroid values, radius, radius per term)
         if len(self.rows):
             self._grow(0, len(self.rows))
 
@@ -92,13 +95,16 @@ class BallTree:
             half = first + m // 2
             left, right = self._grow(first, half), self._grow(half, end)
         some = np.nonzero(centre)[0]
-        self.nodes[no] = (first, end, left, right, some, centre[some], radius)
+        most = np.zeros(self.width)
+        np.maximum.at(most, term, value)
+        self.nodes[no] = (first, end, left, right, some, centre[some], radius, most[some] - centre[some])
         return no
 
     def bound(self, no: int, q: np.ndarray, q_norm: float) -> float:
         """No document below the node has a larger inner product with ``q``."""
-        _, _, _, _, term, value, radius = self.nodes[no]
-        return (float(q[term] @ value) + q_norm * radius) * (1 + SLACK) + 1.0
+        term, value, radius, apart = self.nodes[no][4:]
+        own = q[term]
+        return (float(own @ value) + min(q_norm * radius, float(own @ apart))) * (1 + SLACK) + 1.0
 
     def leaves(self, q: np.ndarray, least):
         """Rows of the leaves that may hold a product of ``least()`` or more, best bound first."""
