@@ -217,7 +217,7 @@ def bump_counter(articles: DataFrame, view_events: DataFrame, id_col: str = "id"
     """
     counts = view_events.groupBy(event_key).agg(F.count(F.lit(1)).alias("_new_views"))
     return (articles.join(counts, articles[id_col] == counts[event_key], "left")
-            .withColumn("views", (F.col("views") + F.coalesce("_new_views", F.lit(0))).cast("int"))
+            .withColumn("views", F.col("views").cast("long") + F.coalesce("_new_views", F.lit(0)))
             .drop(event_key, "_new_views"))
 
 

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketflow.functions import text
 from ticketflow.functions.skew import sequence_within
 from ticketflow.functions.timeutil import col_of, lit_ts
 
@@ -177,14 +178,15 @@ def duplicates_to_delete(df: DataFrame, key: str, id_col: str = "id") -> DataFra
 # ---------------------------------------------------------------- W6
 
 def ticket_ordinal(tickets: DataFrame, order: list[str] = ("created_at", "ticket_id"),
-                   prefix: str = "TKT-", date_col: str = "created_at") -> DataFrame:
+                   prefix: str = "TKT-", date_col: str = "created_at", start: int = 0) -> DataFrame:
     """W6: 'TKT-YYYYMMDD-00001' from one global sequence over a total order.
 
     A global ``row_number()`` without partitioning runs in one task; the
     skew-safe sequence range-partitions instead. The number is padded to 5
-    digits and never cut: cut ids would collide beyond 99999 rows.
+    digits and never cut: cut ids would collide beyond 99999 rows. The first
+    number is ``start`` + 1.
     """
-    seq = sequence_within(tickets, [], list(order), "_ordinal")
+    seq = sequence_within(tickets, [], list(order), "_ordinal").withColumn("_ordinal", F.col("_ordinal") + F.lit(start))
     return seq.withColumn("ordinal_id", F.concat(
         F.lit(prefix), F.date_format(date_col, "yyyyMMdd"), F.lit("-"),
         F.lpad(F.col("_ordinal").cast("string"), F.greatest(F.lit(5), F.length(F.col("_ordinal").cast("string"))), F.lit("0")))) \
@@ -231,20 +233,27 @@ def open_tickets(candidates: DataFrame, existing: DataFrame | None, queue_col: s
               .drop("_prefix", "_base_id", "_dup")
 
 
-def create_tickets(requests: DataFrame, ordinal_prefix: str = "TKT-") -> tuple[DataFrame, DataFrame]:
+ACTION_SCHEMA = "ticket_id string, action_type string, action_by string, action_details string, created_at timestamp_ntz"
+
+
+def created_actions(tickets: DataFrame) -> DataFrame:
+    """One CREATED action per ticket, which names the source channel."""
+    return tickets.select("ticket_id", F.lit("CREATED").alias("action_type"), F.lit("SYSTEM").alias("action_by"),
+                          F.concat(F.lit(ACTION_CREATED_TEXT), F.coalesce("source_channel", F.lit(""))).alias("action_details"), "created_at")
+
+
+def create_tickets(requests: DataFrame, ordinal_prefix: str = "TKT-", start: int = 0) -> tuple[DataFrame, DataFrame]:
     """create_ticket routine, batch form: (tickets, actions).
 
-    Tickets get the W6 ordinal id; one CREATED action per ticket names the
-    source channel.
+    Tickets get the W6 ordinal id, numbered from ``start`` + 1; batches that share
+    a table go through ``streaming.upkeep.create_tickets_batch``, which goes on
+    after the last number published.
     """
-    t = ticket_ordinal(requests, ["created_at", "request_id"], ordinal_prefix)
+    t = ticket_ordinal(requests, ["created_at", "request_id"], ordinal_prefix, start=start)
     t = t.withColumn("ticket_id", F.col("ordinal_id")).drop("ordinal_id", "ordinal")
     t = t.withColumn("status", F.coalesce(F.col("status"), F.lit("OPEN"))) if "status" in t.columns \
         else t.withColumn("status", F.lit("OPEN"))
-    actions = t.select("ticket_id", F.lit("CREATED").alias("action_type"), F.lit("SYSTEM").alias("action_by"),
-                       F.concat(F.lit(ACTION_CREATED_TEXT), F.coalesce("source_channel", F.lit("")))
-                       .alias("action_details"), "created_at")
-    return t, actions
+    return t, created_actions(t)
 
 
 def update_ticket_status(tickets: DataFrame, updates: DataFrame, now) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -334,6 +343,22 @@ def apply_feedback_tickets(tickets: DataFrame, feedback: DataFrame) -> DataFrame
             .drop("_ftid", "_f_status", "_f_direct", "_f_resolved_at"))
 
 
+# ---------------------------------------------------------------- F10
+
+def gate_by_article(responses: DataFrame, articles: DataFrame) -> DataFrame:
+    """``responses`` (can_resolve, confidence, matched_kb_id, ...) with a
+    ``decision``, by the matched article's own threshold and requires_escalation.
+
+    A response that matches no article, or one without a threshold, is held to
+    the common one. Articles are gathered under a wrapped key, so that an article
+    that most responses match can be split.
+    """
+    own = (articles.groupBy(F.struct("kb_id").alias("_k")).agg(F.max(F.struct("confidence_threshold", "requires_escalation")).alias("_a"))
+           .select(F.col("_k.kb_id").alias("matched_kb_id"), "_a"))
+    gate = text.confidence_gate("can_resolve", "confidence", F.col("_a.confidence_threshold"), F.col("_a.requires_escalation"))
+    return responses.join(own, "matched_kb_id", "left").withColumn("decision", gate).drop("_a")
+
+
 # ---------------------------------------------------------------- J6
 
 def _violations(df: DataFrame, table: str, rule: str, key: str) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketflow.session import cut_lineage, ship_package
@@ -152,6 +152,60 @@ def tokens(text_col: str = "text", ngram: int = 0):
         F.transform(F.sequence(F.lit(1), F.greatest(n - ngram + 1, F.lit(1))), lambda i: F.substring(s, i, ngram)))
 
 
+def _ranked_postings(qterms: DataFrame, postings: DataFrame, dfreq: DataFrame, n_docs: int, avgdl: float, k: int, schema: str,
+                     k1: float, b: float) -> DataFrame | None:
+    """The k best documents per query of every partition, from postings (d, dl,
+    term, tf) and document frequencies; None where no query term occurs."""
+    spark = postings.sparkSession
+    weights = (qterms.join(dfreq, "term")
+               .withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
+               .select("qid", "term", (F.col("idf") * F.col("qtf")).alias("w")))
+    wpdf = weights.toPandas()  # bounded by the chunk's (query, term) pairs
+    if len(wpdf) == 0:
+        return None
+    # sparse weights: the queries of term t are at qpos[ptr[t]:ptr[t + 1]]
+    qids = sorted(wpdf["qid"].unique().tolist())
+    at = {q: i for i, q in enumerate(qids)}
+    wpdf = wpdf.sort_values(["term", "qid"], kind="stable")
+    terms, first = np.unique(wpdf["term"].to_numpy(dtype=object), return_index=True)
+    sparse = (qids, np.append(first, len(wpdf)), np.array([at[x] for x in wpdf["qid"]], dtype=np.int64), wpdf["w"].to_numpy(dtype=np.float64))
+    bw = spark.sparkContext.broadcast(sparse)
+    tdict = spark.createDataFrame(pd.DataFrame({"term": terms, "t": np.arange(len(terms), dtype=np.int64)}))
+    hint = F.broadcast(tdict) if len(terms) <= MAX_BROADCAST_TERMS else tdict
+    per_doc = (postings.join(hint, "term")
+               .groupBy("d", "dl").agg(F.collect_list(F.struct("t", "tf")).alias("p"))
+               .select("d", "dl", F.transform("p", lambda e: e["t"]).alias("ts"),
+                       F.transform("p", lambda e: e["tf"]).alias("tfs")))
+
+    def score(batches, bw=bw, avgdl=avgdl):
+        ids, ptr, qpos, w = bw.value
+        top = _RunningTop(k)
+        rows_at_once = max(1, 2_000_000 // len(ids))  # cells of the score matrix
+        for pdf in batches:
+            pdf = pdf.sort_values("d", kind="stable")
+            for j in range(0, len(pdf), rows_at_once):
+                some = pdf.iloc[j:j + rows_at_once]
+                lens = some["ts"].map(len).to_numpy()
+                doc = np.repeat(np.arange(len(some)), lens)
+                ts = np.concatenate(some["ts"].to_numpy()).astype(np.int64)
+                tf = np.concatenate(some["tfs"].to_numpy()).astype(np.float64)
+                norm = k1 * (1 - b + b * (some["dl"].to_numpy(dtype=np.float64) / avgdl if avgdl > 0 else 0.0))
+                v = tf * (k1 + 1) / (tf + norm[doc])
+                s = np.zeros(len(some) * len(ids))
+                counts = ptr[ts + 1] - ptr[ts]
+                for p in range(0, len(ts), 20_000):  # a bounded number of (document, term, query) triples at once
+                    c = counts[p:p + 20_000]
+                    ends = np.cumsum(c)
+                    flat = np.arange(ends[-1]) - np.repeat(ends - c, c) + np.repeat(ptr[ts[p:p + 20_000]], c)
+                    np.add.at(s, np.repeat(doc[p:p + 20_000], c) * len(ids) + qpos[flat], w[flat] * np.repeat(v[p:p + 20_000], c))
+                s = np.round(s.reshape(len(some), len(ids)).T, RANK_DECIMALS)
+                s[s <= 0] = -np.inf  # no shared term: the document does not rank for that query
+                top.add_batch(ids, some["d"].to_numpy(dtype=object), s)
+        yield top.frame()
+
+    return per_doc.mapInPandas(score, schema)
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "query_id",
               doc_id: str = "doc_id", text: str = "text", ngram: int = 0, k1: float = BM25_K1,
               b: float = BM25_B, max_pairs: int = MAX_QUERY_TERMS) -> DataFrame:
@@ -196,53 +250,9 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "
         n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
         postings = postings.where(F.col("term").isNotNull())
         dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        weights = (qterms.join(dfreq, "term")
-                   .withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
-                   .select("qid", "term", (F.col("idf") * F.col("qtf")).alias("w")))
-        wpdf = weights.toPandas()  # bounded by the chunk's (query, term) pairs
-        if len(wpdf) == 0:
-            continue
-        # sparse weights: the queries of term t are at qpos[ptr[t]:ptr[t + 1]]
-        qids = sorted(wpdf["qid"].unique().tolist())
-        at = {q: i for i, q in enumerate(qids)}
-        wpdf = wpdf.sort_values(["term", "qid"], kind="stable")
-        terms, first = np.unique(wpdf["term"].to_numpy(dtype=object), return_index=True)
-        sparse = (qids, np.append(first, len(wpdf)), np.array([at[x] for x in wpdf["qid"]], dtype=np.int64), wpdf["w"].to_numpy(dtype=np.float64))
-        bw = spark.sparkContext.broadcast(sparse)
-        tdict = spark.createDataFrame(pd.DataFrame({"term": terms, "t": np.arange(len(terms), dtype=np.int64)}))
-        hint = F.broadcast(tdict) if len(terms) <= MAX_BROADCAST_TERMS else tdict
-        per_doc = (postings.join(hint, "term")
-                   .groupBy("d", "dl").agg(F.collect_list(F.struct("t", "tf")).alias("p"))
-                   .select("d", "dl", F.transform("p", lambda e: e["t"]).alias("ts"),
-                           F.transform("p", lambda e: e["tf"]).alias("tfs")))
-
-        def score(batches, bw=bw, avgdl=avgdl):
-            ids, ptr, qpos, w = bw.value
-            top = _RunningTop(k)
-            rows_at_once = max(1, 2_000_000 // len(ids))  # cells of the score matrix
-            for pdf in batches:
-                pdf = pdf.sort_values("d", kind="stable")
-                for j in range(0, len(pdf), rows_at_once):
-                    some = pdf.iloc[j:j + rows_at_once]
-                    lens = some["ts"].map(len).to_numpy()
-                    doc = np.repeat(np.arange(len(some)), lens)
-                    ts = np.concatenate(some["ts"].to_numpy()).astype(np.int64)
-                    tf = np.concatenate(some["tfs"].to_numpy()).astype(np.float64)
-                    norm = k1 * (1 - b + b * (some["dl"].to_numpy(dtype=np.float64) / avgdl if avgdl > 0 else 0.0))
-                    v = tf * (k1 + 1) / (tf + norm[doc])
-                    s = np.zeros(len(some) * len(ids))
-                    counts = ptr[ts + 1] - ptr[ts]
-                    for p in range(0, len(ts), 20_000):  # a bounded number of (document, term, query) triples at once
-                        c = counts[p:p + 20_000]
-                        ends = np.cumsum(c)
-                        flat = np.arange(ends[-1]) - np.repeat(ends - c, c) + np.repeat(ptr[ts[p:p + 20_000]], c)
-                        np.add.at(s, np.repeat(doc[p:p + 20_000], c) * len(ids) + qpos[flat], w[flat] * np.repeat(v[p:p + 20_000], c))
-                    s = np.round(s.reshape(len(some), len(ids)).T, RANK_DECIMALS)
-                    s[s <= 0] = -np.inf  # no shared term: the document does not rank for that query
-                    top.add_batch(ids, some["d"].to_numpy(dtype=object), s)
-            yield top.frame()
-
-        out.append(per_doc.mapInPandas(score, schema))
+        found = _ranked_postings(qterms, postings, dfreq, n_docs, avgdl, k, schema, k1, b)
+        if found is not None:
+            out.append(found)
     if not out:
         return spark.createDataFrame([], f"{query_id} {kinds[0]}, {doc_id} {kinds[1]}, score double, rank int")
     partial = reduce(lambda a, b_: a.unionByName(b_), out)
@@ -288,20 +298,46 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
 def match_asset(tickets: DataFrame, assets: DataFrame, k: int = 5, by: str = "location") -> DataFrame:
     """Up to k ACTIVE assets of the reporter (assignee = reporter_name and
-    the same ``by`` column), by asset_id.
+    the same ``by`` column: location, or department), by asset_id.
 
     Assets are cut to their first k per (assignee, by) before the join
     (``row_number() <= k`` is planned with a partial group limit), so a
     person owning many assets cannot fan the join out: each ticket meets at
-    most k rows, which are exactly its top k.
+    most k rows, which are exactly its top k. They are then gathered per owner
+    under a wrapped key: the join has exchanges of its own on both sides, and a
+    reporter with a third of all tickets is split.
     """
     a = assets.where(F.col("status") == "ACTIVE").where(F.col("assignee").isNotNull())
     w = Window.partitionBy("assignee", by).orderBy("asset_id")
-    a = a.withColumn("asset_rank", F.row_number().over(w)).where(F.col("asset_rank") <= k) \
-         .select(F.col("assignee").alias("_who"), F.col(by).alias("_by"), "asset_id", "asset_type", "asset_rank")
+    a = a.withColumn("asset_rank", F.row_number().over(w)).where(F.col("asset_rank") <= k)
+    owned = (a.groupBy(F.struct(F.col("assignee").alias("who"), F.col(by).alias("at")).alias("_k"))
+             .agg(F.collect_list(F.struct("asset_id", "asset_type", F.col("asset_rank").cast("int").alias("asset_rank"))).alias("_assets"))
+             .select(F.col("_k.who").alias("_who"), F.col("_k.at").alias("_by"), "_assets"))
     t = tickets.select("ticket_id", "reporter_name", F.col(by).alias("_tby"))
-    return t.join(a, (F.col("reporter_name") == F.col("_who")) & (F.col("_tby") == F.col("_by"))).select(
-        "ticket_id", "asset_id", "asset_type", F.col("asset_rank").cast("int").alias("asset_rank"))
+    return t.join(owned, (F.col("reporter_name") == F.col("_who")) & (F.col("_tby") == F.col("_by"))).select("ticket_id", F.inline("_assets"))
+
+
+def find_asset(tickets: DataFrame, assets: DataFrame, search_text: Column, k: int = 5, by: str = "location") -> DataFrame:
+    """J7 with its fallback: ``match_asset`` where it finds any, else the ``k``
+    active assets whose text (``asset_text`` column) ranks highest for the
+    reporter and the ``by`` value, as the asset search is asked.
+
+    ticket_id, asset_id, asset_type, asset_rank, found_by (owner or text).
+    Unmatched tickets are searched once per different search text, however many
+    share it. A ticket whose text shares no term with an active asset has no row.
+    """
+    owned = cut_lineage(match_asset(tickets, assets, k, by))
+    left = tickets.join(owned.select("ticket_id"), "ticket_id", "left_anti").select("ticket_id", search_text.alias("text"))
+    asked = cut_lineage(left.where(F.col("text").isNotNull()))
+    # a query is named by its text; its tickets come back by a join that can be split
+    queries = asked.select("text").distinct().select(F.col("text").alias("query_id"), "text")
+    active = assets.where(F.col("status") == "ACTIVE").select("asset_id", F.col("asset_text").alias("text"))
+    found = bm25_topk(queries, active, k, doc_id="asset_id")
+    per_text = (found.join(assets.select("asset_id", "asset_type"), "asset_id")
+                .groupBy(F.struct("query_id").alias("_k")).agg(F.collect_list(F.struct("asset_id", "asset_type", F.col("rank").alias("asset_rank"))).alias("_assets"))
+                .select(F.col("_k.query_id").alias("text"), "_assets"))
+    by_text = asked.join(per_text, "text").select("ticket_id", F.inline("_assets"))
+    return owned.withColumn("found_by", F.lit("owner")).unionByName(by_text.withColumn("found_by", F.lit("text")))
 
 
 # ---------------------------------------------------------------- S10

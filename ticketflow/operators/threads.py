@@ -178,9 +178,11 @@ def children_of(parents: DataFrame, children: DataFrame, key: str, order: list,
 
     Semi-joins children to existing parents, then numbers them per parent
     (ascending for comments, newest first for history) with the skew-safe
-    sequence; nothing is collected per parent.
+    sequence; nothing is collected per parent. A semi-join needs no distinct
+    parents; without an aggregate both sides have exchanges of their own, so
+    adaptive execution can split a hot parent.
     """
-    kids = children.join(parents.select(key).distinct(), key, "left_semi")
+    kids = children.join(parents.select(key), key, "left_semi")
     o = [F.col(c).desc() if descending else F.col(c) for c in order]
     return sequence_within(kids, [key], o, name)
 

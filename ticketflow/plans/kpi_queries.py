@@ -254,7 +254,7 @@ def q_queue_stats_by_queue(spark, d):
 
 @register("view_leaderboard", """
 WITH v AS (SELECT article_id, count(*) AS n FROM article_views GROUP BY article_id)
-SELECT k.id, k.category, CAST(k.views + coalesce(v.n, 0) AS INTEGER) AS views
+SELECT k.id, k.category, CAST(k.views AS BIGINT) + coalesce(v.n, 0) AS views
 FROM knowledge k LEFT JOIN v ON k.id = v.article_id
 ORDER BY views DESC, k.id""", ("knowledge", "article_views"))
 def q_view_leaderboard(spark, d):
@@ -264,7 +264,7 @@ def q_view_leaderboard(spark, d):
 
 @register("article_views_bumped", """
 WITH v AS (SELECT article_id, count(*) AS n FROM article_views GROUP BY article_id)
-SELECT k.id, CAST(k.views + coalesce(v.n, 0) AS INTEGER) AS views
+SELECT k.id, CAST(k.views AS BIGINT) + coalesce(v.n, 0) AS views
 FROM knowledge k LEFT JOIN v ON k.id = v.article_id""", ("knowledge", "article_views"))
 def q_article_views_bumped(spark, d):
     """P7 bump_counter over every article."""

@@ -36,12 +36,14 @@ def q_search_wildcard(spark, d):
 
 @register("search_escaped", """
 SELECT ticket_id FROM tickets
-WHERE summary ILIKE '%request\\_from%' ESCAPE '\\' OR location ILIKE '%request\\_from%' ESCAPE '\\'""",
+WHERE replace(summary, ' ', CASE WHEN log_id % 3 = 0 THEN '_' WHEN log_id % 3 = 1 THEN '%' ELSE ' ' END) ILIKE '%request\\_from%' ESCAPE '\\'""",
           ("tickets",))
 def q_search_escaped(spark, d):
-    """F2 with escape=True: '_' is literal, so 'request_from' matches nothing spaced."""
-    t = S.search_any(A.tickets(spark, d), "request_from", ["summary", "location"], escape=True)
-    return t.select("ticket_id")
+    """F2 with escape=True: '_' is literal, so 'request_from' finds the third of the summaries that are
+    written with it, and neither those with spaces nor those with '%'."""
+    mark = F.when(F.col("log_id") % 3 == 0, "_").when(F.col("log_id") % 3 == 1, "%").otherwise(" ")
+    t = A.tickets(spark, d).withColumn("summary", F.replace("summary", F.lit(" "), mark))
+    return S.search_any(t, "request_from", ["summary", "location"], escape=True).select("ticket_id")
 
 
 @register("paginate_tickets", """

@@ -98,7 +98,7 @@ FROM events WHERE event_type = 'view'""",
     "assets": """
 SELECT
   p_partkey AS id,
-  'AST-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS asset_id,
+  'AST-' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(6, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS asset_id,
   p_type AS asset_type, p_name AS name,
   CASE WHEN p_partkey % 4 <> 0 THEN 'Customer#' || lpad(CAST(p_partkey % 97 AS VARCHAR), 9, '0') END AS assignee,
   r_name AS location,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ticketflow.plans.registry import register, round_doubles
 from ticketflow.plans.text_queries import _TRIM, _sql_skip
 from ticketflow.sources import adapters as A
-from ticketflow.streaming import jobs, sinks
+from ticketflow.streaming import jobs, sinks, upkeep
 
 
 @register("kpi_stream_daily", """
@@ -47,13 +47,10 @@ def q_conversation_sessions(spark, d):
 
 @register("conversation_sessions_stream", _SESSIONS_SQL, ("logs",))
 def q_conversation_sessions_stream(spark, d):
-    """T6 (streaming form): session windows over the event stream in complete mode, so that
-    sessions still open at the end of the catch-up are part of the published table."""
+    """T6 (streaming form): sessions that the stream closed, and those still open at the end of the catch-up."""
     base = jobs.scratch(spark, "sessions")
-    rows = jobs.conversation_sessions(A.logs_of(A.events_stream(spark, d)), "30 minutes", delay="1 hour")
-    jobs.run(rows.writeStream.outputMode("complete").foreachBatch(lambda batch, i: sinks.write_version(batch, base, i) and None)
-             .option("checkpointLocation", jobs.checkpoint_of(base, None)))
-    return sinks.read_current(spark, base)
+    jobs.session_stream(spark, A.logs_of(A.events_stream(spark, d)), base)
+    return jobs.closed_sessions(spark, base).unionByName(jobs.open_sessions(spark, base))
 
 
 @register("urgent_alerts", """
@@ -132,7 +129,7 @@ _INTAKE_SCHEMA = ("event_id string, channel_id string, thread_ts string, user_id
 
 
 @register("sla_breach_stream", """
-WITH ev AS (SELECT thread_ts AS ticket_id, priority AS urgency, status, date_trunc('milliseconds', created_at) AS evt, id AS seq FROM logs
+WITH ev AS (SELECT thread_ts AS ticket_id, priority AS urgency, status, created_at AS evt, id AS seq FROM logs
             WHERE thread_ts IS NOT NULL AND log_type IN ('INQUIRY', 'EVALUATION')),
 wm AS (SELECT max(evt) - INTERVAL 10 MINUTE AS t FROM ev),
 closed AS (SELECT ticket_id, max({'evt': evt, 'seq': seq}) AS last FROM ev WHERE status IN ('RESOLVED', 'CLOSED') GROUP BY ticket_id),
@@ -143,8 +140,7 @@ due AS (SELECT ticket_id, urgency, coalesce(CASE urgency WHEN 'HIGH' THEN 2 WHEN
 SELECT ticket_id, 'warning' AS kind, opened + to_hours(h) AS due_at, urgency FROM due, wm WHERE opened + to_minutes(h * 45) <= t
 UNION ALL SELECT ticket_id, 'breach', opened + to_hours(h), urgency FROM due, wm WHERE opened + to_hours(h) <= t""", ("logs",))
 def q_sla_breach_stream(spark, d):
-    """SLA warning/breach notices from the log stream with event-time timers
-    (applyInPandasWithState). A thread opens at its first inquiry with the
+    """SLA warning/breach notices from the log stream, by event time. A thread opens at its first inquiry with the
     priority as urgency; a RESOLVED row closes it. The catch-up takes the events
     as one batch, so a notice is due when its time is at or before the final
     watermark (the last event less 10 minutes) and no closing row came."""
@@ -152,11 +148,9 @@ def q_sla_breach_stream(spark, d):
     ev = logs.where(F.col("thread_ts").isNotNull() & F.col("log_type").isin("INQUIRY", "EVALUATION")).select(
         F.col("thread_ts").alias("ticket_id"), F.col("priority").alias("urgency"), "status",
         F.col("created_at").alias("at"), F.col("id").alias("seq"))
-    out = jobs.scratch(spark, "sla-out")
-    w = (jobs.sla_breach_stream(ev).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", jobs.scratch(spark, "ck-sla")).outputMode("append"))
-    jobs.run(w)
-    return spark.read.schema(jobs.SLA_OUT).parquet(out).withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
+    base = jobs.scratch(spark, "sla")
+    jobs.sla_breach_stream(spark, ev, base)
+    return jobs.sla_notices(spark, base).withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
 
 
 
@@ -177,3 +171,42 @@ def q_intake_rejected(spark, d):
     out = jobs.scratch(spark, "intake-out")
     jobs.intake_stream(spark, src, out)
     return spark.read.schema("reject_reason string, event_id string").parquet(out + "_rejected")
+
+
+@register("daily_stats_upkeep", """
+WITH s AS (SELECT ticket_id, created_at, category,
+  CASE WHEN log_id % 3 = 0 THEN 'HIGH' ELSE priority END AS priority,
+  CASE WHEN log_id % 2 = 0 OR log_id % 3 = 0 THEN status ELSE 'OPEN' END AS status,
+  CASE WHEN log_id % 2 = 0 OR log_id % 3 = 0 THEN resolved_at END AS resolved_at FROM tickets)
+SELECT date_trunc('day', created_at) AS ticket_date, category, priority, count(*) AS ticket_count,
+       count(*) FILTER (WHERE status = 'OPEN') AS open_count, count(*) FILTER (WHERE status = 'RESOLVED') AS resolved_count,
+       round(avg(CASE WHEN resolved_at IS NOT NULL THEN date_diff('minute', created_at, resolved_at) END), 6) AS avg_resolution_minutes
+FROM s GROUP BY 1, 2, 3""", ("tickets",))
+def q_daily_stats_upkeep(spark, d):
+    """A1 kept by S4: every ticket opens; two batches of changes, one of them replayed and one with
+    older rows that must not win, move contributions between and out of the stored days."""
+    t = A.tickets(spark, d).select("ticket_id", "log_id", "created_at", "category", "priority", "status", "resolved_at")
+    at = lambda n: F.lit(n).alias("updated_at")
+    cols = ["ticket_id", "created_at", "category"]
+    opened = t.select(*cols, "priority", F.lit("OPEN").alias("status"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"), at(0))
+    second = t.where("log_id % 2 = 0").select(*cols, "priority", "status", "resolved_at", at(1))
+    third = t.where("log_id % 3 = 0").select(*cols, F.lit("HIGH").alias("priority"), "status", "resolved_at", at(2)).unionByName(
+        t.where("log_id % 5 = 0").select(*cols, F.lit("LOW").alias("priority"), F.lit("CLOSED").alias("status"), "resolved_at", at(-1)))
+    tickets, days = jobs.scratch(spark, "tickets"), jobs.scratch(spark, "days")
+    for batch_id, batch in ((0, opened), (1, second), (1, second), (2, third)):
+        upkeep.keep_daily_stats(batch, batch_id, tickets, days)
+    return round_doubles(upkeep.daily_stats(spark, days))
+
+
+@register("create_tickets_batches", """
+SELECT 'TKT-' || strftime(created_at, '%Y%m%d') || '-' || lpad(CAST(rn AS VARCHAR), CAST(greatest(5, length(CAST(rn AS VARCHAR))) AS INTEGER), '0') AS ticket_id,
+       id AS request_id, created_at
+FROM (SELECT *, row_number() OVER (ORDER BY id % 3, created_at, id) AS rn FROM logs WHERE log_type = 'INQUIRY')""", ("logs",))
+def q_create_tickets_batches(spark, d):
+    """R2 + W6 over three batches of requests, one replayed: numbers go on and never repeat."""
+    req = A.logs(spark, d).where(F.col("log_type") == "INQUIRY").select(
+        F.col("id").alias("request_id"), "created_at", F.col("channel_id").alias("source_channel"))
+    base = jobs.scratch(spark, "numbered")
+    for batch_id in (0, 1, 1, 2):
+        upkeep.create_tickets_batch(req.where(F.col("request_id") % 3 == batch_id), batch_id, base)
+    return sinks.read_current(spark, base).select("ticket_id", "request_id", "created_at")

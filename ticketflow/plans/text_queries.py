@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketflow.functions import agent, text
+from ticketflow.operators import entities
 from ticketflow.plans.registry import register, round_doubles
 from ticketflow.sources import adapters as A
 
@@ -379,3 +380,42 @@ def q_message_snippets(spark, d):
     cv = A.read(spark, d, "conversations")
     return cv.select("conv_id", "turn", text.truncate("text", 100).alias("summary"),
                      text.truncate("text", 2900).alias("reply"), text.escape_json_text("text").alias("escaped"))
+
+
+_NAMED = """
+m AS (SELECT ticket_id, list_filter(regexp_split_to_array(lower(message), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS t FROM (
+  SELECT ticket_id, CASE log_id % 5 WHEN 0 THEN summary WHEN 1 THEN summary || ' / ' || department || ', ' || location
+    WHEN 2 THEN 'printer in ' || location || ' is down' WHEN 3 THEN 'help! ' || reporter_name || ': (' || department || ')' ELSE 'nobody knows' END AS message FROM tickets)),
+grams AS (SELECT ticket_id, n, i, array_to_string(t[i:i + n - 1], ' ') AS gram FROM (
+  SELECT ticket_id, n, t, unnest(range(1, len(t) - n + 2)) AS i FROM m, (SELECT unnest([1, 2, 3]) AS n) WHERE len(t) >= n))"""
+
+
+def _named_sql(column: str, source: str) -> str:
+    return f"""
+{column}_d AS (SELECT array_to_string(list_filter(regexp_split_to_array(lower({source}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), ' ') AS gram, min({source}) AS name
+  FROM employees WHERE {source} IS NOT NULL GROUP BY 1),
+{column}_m AS (SELECT ticket_id, arg_min(name, (-n, i, name)) AS name FROM grams JOIN {column}_d USING (gram) GROUP BY ticket_id)"""
+
+
+@register("triage_names", "WITH " + ",".join([_NAMED.strip(), _named_sql("reporter", "employee_name"), _named_sql("dept", "department"), _named_sql("loc", "location")]) + """
+SELECT m.ticket_id, r.name AS reporter_name, coalesce(dm.name, e.department) AS department, coalesce(lm.name, e.location) AS location
+FROM m LEFT JOIN reporter_m r USING (ticket_id) LEFT JOIN dept_m dm USING (ticket_id) LEFT JOIN loc_m lm USING (ticket_id)
+LEFT JOIN employees e ON r.name = e.employee_name""", ("tickets", "employees"))
+def q_triage_names(spark, d):
+    """Reporter, department and location named in a message, the longest match of each; what a
+    message doesn't name is the reporter's own."""
+    k = F.col("log_id") % 5
+    message = (F.when(k == 0, F.col("summary")).when(k == 1, F.concat("summary", F.lit(" / "), "department", F.lit(", "), "location"))
+               .when(k == 2, F.concat(F.lit("printer in "), "location", F.lit(" is down")))
+               .when(k == 3, F.concat(F.lit("help! "), "reporter_name", F.lit(": ("), "department", F.lit(")"))).otherwise("nobody knows"))
+    return entities.extract_people_and_places(A.tickets(spark, d).select("ticket_id", message.alias("message")), A.employees(spark, d), "ticket_id", "message")
+
+
+@register("triage_learned")
+def q_triage_learned(spark, d):
+    """E16 with a learned category: an article's category from its text, learned without the rows whose
+    crc32(id) mod 4 is 2; tested by the accuracy on these."""
+    k = A.knowledge(spark, d).select("id", "content", "category")
+    held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2
+    predict = entities.learn_category(k.where(~held_out), "id", "content", "category")
+    return predict(k).select("id", held_out.alias("held_out"), "category", "predicted")

@@ -39,6 +39,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
+def _padded(number: Column, digits: int) -> Column:
+    """The number with leading zeros up to ``digits``; a longer one is never cut."""
+    s = number.cast("string")
+    return F.lpad(s, F.greatest(F.lit(digits), F.length(s)), F.lit("0"))
+
+
 def _case(c: Column, mapping: dict, default=None) -> Column:
     out = None
     for k, v in mapping.items():
@@ -209,11 +215,11 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return p.join(r, (F.col("p_size") % 5) == F.col("r_regionkey"), "left").select(
         k.alias("id"),
-        F.concat(F.lit("AST-"), F.lpad(k.cast("string"), 6, "0")).alias("asset_id"),
+        F.concat(F.lit("AST-"), _padded(k, 6)).alias("asset_id"),
         F.col("p_type").alias("asset_type"),
         F.col("p_name").alias("name"),
         F.when(k % 4 != 0, F.concat(F.lit("Customer#"),
-                                    F.lpad((k % 97).cast("string"), 9, "0"))).alias("assignee"),
+                                    _padded(k % 97, 9))).alias("assignee"),
         F.col("r_name").alias("location"),
         F.when(F.col("p_size") % 10 == 0, "MAINTENANCE").when(F.col("p_size") % 10 == 1, "RETIRED")
          .otherwise("ACTIVE").alias("status"),

@@ -14,17 +14,16 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ticketflow import schemas
 from ticketflow.functions import sla, text
 from ticketflow.operators import kpi, lifecycle
 from ticketflow.functions.skew import running_sum_within, sequence_within
-from ticketflow.session import checkpoint_dir, ship_package
+from ticketflow.session import checkpoint_dir, cut_lineage
 from ticketflow.streaming import sinks
+from ticketflow.streaming.state_table import StateTable
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -131,13 +130,15 @@ def intake_stream(spark: SparkSession, source: str, sink: str, checkpoint: str |
 
 def open_tickets_stream(spark: SparkSession, candidates: DataFrame, tickets_base: str,
                         checkpoint: str | None = None, available_now: bool = True):
-    """Each micro-batch opens tickets for threads without one (J4) and
-    publishes tickets = previous version + new tickets."""
+    """Each micro-batch opens tickets for threads without one (J4) and adds
+    them to the ticket table; of the tickets there it reads thread and id only."""
     def each(batch: DataFrame, batch_id: int):
-        existing = sinks.read_current(batch.sparkSession, tickets_base)
-        new = lifecycle.open_tickets(batch, existing)
-        out = new if existing is None else existing.unionByName(new, allowMissingColumns=True)
-        sinks.write_version(out, tickets_base, batch_id)
+        if sinks.committed(batch.sparkSession, tickets_base, batch_id):
+            return
+        table = StateTable(batch.sparkSession, tickets_base, ["ticket_id"])
+        existing = table.read()
+        new = lifecycle.open_tickets(batch, None if existing is None else existing.select("thread_ts", "ticket_id"))
+        table.upsert(cut_lineage(new), batch_id)
     w = candidates.writeStream.foreachBatch(each).option(
         "checkpointLocation", checkpoint_of(tickets_base, checkpoint))
     return run(w, available_now)
@@ -149,11 +150,21 @@ def apply_feedback_stream(spark: SparkSession, feedback: DataFrame, logs_base: s
                           checkpoint: str | None = None, available_now: bool = True):
     """T4: fold each micro-batch of feedback events into the log state table.
 
-    The fold is deterministic in (at, seq), so a replayed batch produces the
-    same version."""
+    Of the table's rows the batch reads id and thread, then whole rows of the ids
+    it touches, and writes the rows that change. The fold is deterministic in
+    (at, seq), so a replayed batch produces the same version."""
     def each(batch: DataFrame, batch_id: int):
-        cur = sinks.read_current(batch.sparkSession, logs_base)
-        sinks.write_version(lifecycle.apply_feedback_logs(cur, batch), logs_base, batch_id)
+        if sinks.committed(batch.sparkSession, logs_base, batch_id):
+            return
+        table = StateTable(batch.sparkSession, logs_base, ["id"])
+        events = cut_lineage(batch)
+        narrow = table.read().select("id", "thread_ts")
+        threads = events.where(F.col("thread_ts").isNotNull() & (F.col("thread_ts") != "")).select("thread_ts").distinct()
+        named = events.select(F.col("log_id").alias("id")).distinct()
+        touched = cut_lineage(narrow.join(threads, "thread_ts", "left_semi").select("id").union(narrow.join(named, "id", "left_semi").select("id")))
+        before = F.struct("status", "resolved_at")
+        folded = lifecycle.apply_feedback_logs(table.read_keys(touched).withColumn("_before", before), events)
+        table.upsert(cut_lineage(folded.where(~F.col("_before").eqNullSafe(before)).drop("_before")), batch_id)
     w = feedback.writeStream.foreachBatch(each).option(
         "checkpointLocation", checkpoint_of(logs_base, checkpoint))
     return run(w, available_now)
@@ -198,27 +209,14 @@ def kpi_finish(windows: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- T6 sessions
 
-def conversation_sessions(logs: DataFrame, gap: str = "30 minutes", user_col: str = "user_id",
-                          delay: str | None = None) -> DataFrame:
+def conversation_sessions(logs: DataFrame, gap: str = "30 minutes", user_col: str = "user_id") -> DataFrame:
     """Activity sessions per user (start, end = last event + gap, counts).
 
     A new session starts when an event comes ``gap`` or more after the
-    previous one (``session_window`` semantics). A streaming frame uses
-    ``session_window`` with a watermark (``delay``), so state stays bounded.
-    A batch frame uses the skew-safe form: positions per user, the previous
-    event by a join on (user, position - 1), session numbers as a running sum
-    of session starts; one user holding a third of all events is spread over
-    many tasks instead of one.
+    previous one. Positions per user, the previous event by a join on (user,
+    position - 1), session numbers as a running sum of session starts; one user
+    holding a third of all events is spread over many tasks instead of one.
     """
-    if logs.isStreaming:
-        t = logs.withColumn("event_time", F.col("created_at").cast("timestamp"))
-        if delay:
-            t = t.withWatermark("event_time", delay)
-        return (t.groupBy(user_col, F.session_window("event_time", gap).alias("s"))
-                .agg(F.count(F.lit(1)).alias("events"),
-                     F.count_if(F.col("log_type") == "INQUIRY").alias("inquiries"))
-                .select(user_col, F.col("s.start").cast("timestamp_ntz").alias("session_start"),
-                        F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events", "inquiries"))
     minutes = _gap_minutes(gap)
     ev = logs.where(F.col("created_at").isNotNull()).select(user_col, "created_at", "id", "log_type")
     seq = sequence_within(ev, [user_col], ["created_at", "id"], "_pos")
@@ -236,6 +234,69 @@ def conversation_sessions(logs: DataFrame, gap: str = "30 minutes", user_col: st
             .drop("_session"))
 
 
+SESSION = "session_start timestamp_ntz, session_end timestamp_ntz, events long, inquiries long"
+
+
+def session_stream(spark: SparkSession, logs: DataFrame, base: str, gap: str = "30 minutes", delay: str = "1 hour",
+                   checkpoint: str | None = None, available_now: bool = True):
+    """T6 over a stream: a session is published as closed, once, when the latest
+    event time less ``delay`` has reached its end; open ones are published apart.
+
+    State is the open sessions only. A micro-batch is cut into sessions by the
+    batch form first, so a busy user reaches the merge as a few intervals. An
+    event older than the mark of the batches before it is late and left out;
+    ``closed_sessions`` and ``open_sessions`` read the results.
+    """
+    def each(batch: DataFrame, batch_id: int):
+        session = batch.sparkSession
+        if sinks.committed(session, base, batch_id):
+            return
+        table = StateTable(session, base, ["user_id"])
+        at = F.unix_micros(F.col("created_at").cast("timestamp"))
+        before = table.extra().get("watermark_us")
+        events = cut_lineage(batch.select("id", "user_id", "created_at", "log_type").where(F.col("created_at").isNotNull())
+                             .where(F.lit(True) if before is None else at >= F.lit(before)))
+        newest = events.agg(F.max(at)).first()[0]
+        waits = F.expr(f"interval {delay}")
+        if newest is not None:
+            newest = session.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(newest)) - waits)).first()[0]
+        mark = max((x for x in (before, newest) if x is not None), default=None)
+        new = conversation_sessions(events, gap)
+        state = table.read()
+        held = None if state is None else state.where(F.size("open") > 0).select("user_id", F.inline("open"))
+        both = new if held is None else new.unionByName(held)
+        merged = cut_lineage(merge_sessions(both).withColumn("closed", F.unix_micros(F.col("session_end").cast("timestamp")) <= F.lit(mark).cast("long")))
+        sinks.write_part(merged.where("closed").drop("closed"), base.rstrip("/") + "_closed", batch_id)
+        still = (merged.groupBy("user_id").agg(F.array_sort(F.collect_list(F.when(~F.col("closed"), F.struct(
+            "session_start", "session_end", "events", "inquiries")))).alias("open")))
+        table.upsert(still, batch_id, extra={"watermark_us": mark})
+    w = logs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_of(base, checkpoint))
+    return run(w, available_now)
+
+
+def merge_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions of a user that overlap become one. The rows of a user are the
+    intervals of one batch and the open ones, at least a gap apart in each."""
+    order = Window.partitionBy("user_id").orderBy("session_start", "session_end")
+    reach = F.max("session_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = sessions.withColumn("_starts", F.when(reach.isNull() | (F.col("session_start") >= reach), 1).otherwise(0))
+    numbered = marked.withColumn("_no", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("user_id", "_no").agg(
+        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"), F.sum("events").alias("events"),
+        F.sum("inquiries").alias("inquiries")).drop("_no")
+
+
+def closed_sessions(spark: SparkSession, base: str) -> DataFrame:
+    return sinks.read_parts(spark, base.rstrip("/") + "_closed", sinks.current_version(spark, base), "user_id string, " + SESSION)
+
+
+def open_sessions(spark: SparkSession, base: str) -> DataFrame:
+    state = sinks.read_current(spark, base)
+    if state is None:
+        return spark.createDataFrame([], "user_id string, " + SESSION)
+    return state.select("user_id", F.inline("open"))
+
+
 def _gap_minutes(gap: str) -> int:
     num, unit = gap.split()
     return int(num) * {"minute": 1, "minutes": 1, "hour": 60, "hours": 60}[unit.lower()]
@@ -244,72 +305,81 @@ def _gap_minutes(gap: str) -> int:
 # ---------------------------------------------------------------- T7 SLA timers
 
 SLA_OUT = "ticket_id string, kind string, due_at timestamp, urgency string"
-DONE_KEPT_MS = 90 * 24 * sla.HOUR_MS  # how long a breached ticket that nobody closes is remembered
-SLA_STATE = "deadline_ms long, warn_ms long, urgency string, stage string"
-
-
-def _sla_timer(key, batches, state):
-    """Per ticket: arm a warning timer at 75% of the SLA and a breach timer at
-    the deadline, both from the first open event; a RESOLVED/CLOSED event
-    disarms both and lets a later open event start anew. A breach is reported
-    once: until it is closed, the ticket stays done. A timer already
-    behind the watermark (late data, or the watermark jumped) fires at once."""
-    (ticket_id,) = key
-    wm = state.getCurrentWatermarkMs()
-    out = []
-
-    def note(kind, due, urgency):
-        out.append((ticket_id, kind, pd.Timestamp(due, unit="ms"), urgency))
-
-    def advance(deadline, warn, urgency, stage):
-        if stage == "armed" and warn <= wm:
-            note("warning", deadline, urgency)
-            stage = "warned"
-        if stage == "warned" and deadline <= wm:
-            note("breach", deadline, urgency)
-            stage = "done"  # kept: a later open event of the ticket must not arm it again
-        state.update((deadline, warn, urgency, stage))
-        state.setTimeoutTimestamp(max(wm + 1, {"armed": warn, "warned": deadline}.get(stage, deadline + DONE_KEPT_MS)))
-
-    if state.hasTimedOut and not state.exists:
-        return  # disarmed after its timer was set
-    if state.hasTimedOut:
-        deadline, warn, urgency, stage = state.get
-        if stage == "done":
-            state.remove()
-            return
-        if stage == "armed":
-            note("warning", deadline, urgency)
-            stage = "warned"
-        advance(deadline, warn, urgency, stage)
-    else:
-        events = pd.concat(list(batches)).sort_values(["event_ms", "seq"])
-        for row in events.itertuples(index=False):
-            if row.status in ("RESOLVED", "CLOSED"):
-                if state.exists:
-                    state.remove()
-                continue
-            if not state.exists:
-                hours = sla.SLA_HOURS.get(row.urgency, sla.DEFAULT_SLA_HOURS)
-                total = hours * sla.HOUR_MS
-                deadline = int(row.event_ms) + total
-                advance(deadline, deadline - int(total * sla.WARNING_SHARE), row.urgency, "armed")
-    if out:
-        yield pd.DataFrame(out, columns=["ticket_id", "kind", "due_at", "urgency"])
-
-
-def sla_breach_stream(ticket_events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Warning and breach notices from ticket events with event-time timers.
-
-    ``ticket_events``: ticket_id, urgency, status, at (timestamp_ntz), seq.
-    Timers fire when the watermark passes them, so a breach is reported
-    once the stream has seen time beyond the deadline.
+SLA_STATE = "ticket_id string, opened timestamp, urgency string, stage string"
+DONE_KEPT = "90 days"  # how long a breached ticket that nobody closes is remembered
+
+
+def sla_notices(spark: SparkSession, base: str) -> DataFrame:
+    """The warning and breach notices published so far."""
+    return sinks.read_parts(spark, base.rstrip("/") + "_notices", sinks.current_version(spark, base), SLA_OUT)
+
+
+def reduced_events(events: DataFrame) -> DataFrame:
+    """(ticket_id, closed, opened, urgency) per ticket: whether the batch closes
+    it, and its first open event after the last closing one.
+
+    Two partial aggregates and a join on a wrapped key, so a ticket that holds
+    a third of the rows is combined before the exchange or split.
+    """
+    at = F.struct("event_time", "seq")
+    done = F.col("status").isin("RESOLVED", "CLOSED")
+    last = (events.where(done).groupBy(F.struct("ticket_id").alias("k")).agg(F.max(at).alias("last"))
+            .select(F.col("k.ticket_id").alias("ticket_id"), "last"))
+    opened = (events.where(~F.coalesce(done, F.lit(False))).join(last, "ticket_id", "left").where(F.col("last").isNull() | (at > F.col("last")))
+              .groupBy("ticket_id").agg(F.min("event_time").alias("opened"), F.min_by("urgency", at).alias("urgency")))
+    return last.select("ticket_id", F.lit(True).alias("closed")).join(opened, "ticket_id", "full").select(
+        "ticket_id", F.coalesce("closed", F.lit(False)).alias("closed"), "opened", "urgency")
+
+
+def sla_breach_stream(spark: SparkSession, ticket_events: DataFrame, base: str, delay: str = "10 minutes", done_kept: str = DONE_KEPT,
+                      checkpoint: str | None = None, available_now: bool = True):
+    """Warning and breach notices from ticket events, by event time.
+
+    ``ticket_events``: ticket_id, urgency, status, at (timestamp_ntz), seq. A
+    ticket's first open event arms a warning at 75 % of its SLA and a breach at
+    the deadline; a RESOLVED or CLOSED event disarms both and lets a later open
+    event start anew. A notice is given once, when the latest event time less
+    ``delay`` has reached its time. A ticket that was breached stays so until it
+    is closed, or for ``done_kept`` after its deadline.
+
+    The tickets' stages are a state table, updated by joins: no ticket's events
+    pass through one task's memory. Rows without ticket or time take no part.
     """
-    ship_package(ticket_events.sparkSession)
-    ev = ticket_events.withColumn("event_time", F.col("at").cast("timestamp")).withWatermark("event_time", delay)
-    ev = ev.withColumn("event_ms", F.unix_millis("event_time"))
-    return ev.groupBy("ticket_id").applyInPandasWithState(
-        _sla_timer, SLA_OUT, SLA_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def each(batch: DataFrame, batch_id: int):
+        session = batch.sparkSession
+        if sinks.committed(session, base, batch_id):
+            return
+        table = StateTable(session, base, ["ticket_id"])
+        events = cut_lineage(batch.withColumn("event_time", F.col("at").cast("timestamp")).where(F.col("ticket_id").isNotNull() & F.col("event_time").isNotNull())
+                             .select("ticket_id", "urgency", "status", "event_time", "seq"))
+        before = table.extra().get("watermark_us")
+        newest = events.agg(F.unix_micros(F.max("event_time") - F.expr(f"interval {delay}"))).first()[0]
+        mark = max((x for x in (before, newest) if x is not None), default=None)
+        state = table.read()
+        state = session.createDataFrame([], SLA_STATE) if state is None else state
+        old = state.select("ticket_id", F.col("opened").alias("o_opened"), F.col("urgency").alias("o_urgency"), F.col("stage").alias("o_stage"))
+        both = old.join(reduced_events(events), "ticket_id", "full")
+        kept = F.col("o_stage").isNotNull() & (F.col("o_stage") != "closed") & ~F.coalesce("closed", F.lit(False))
+        hours = F.coalesce(*[F.when(F.col("urgency") == u, h) for u, h in sla.SLA_HOURS.items()], F.lit(sla.DEFAULT_SLA_HOURS))
+        due = F.timestamp_micros(F.unix_micros("opened") + hours.cast("long") * F.lit(sla.HOUR_MS * 1000))
+        warn = F.timestamp_micros(F.unix_micros("opened") + (hours * F.lit(sla.HOUR_MS * 1000) * F.lit(sla.WARNING_SHARE)).cast("long"))
+        now = F.timestamp_micros(F.lit(mark).cast("long"))
+        armed = (both.select("ticket_id", F.when(kept, F.col("o_opened")).otherwise(F.col("opened")).alias("opened"),
+                             F.when(kept, F.col("o_urgency")).otherwise(F.col("urgency")).alias("urgency"),
+                             F.when(kept, F.col("o_stage")).when(F.col("opened").isNotNull(), "armed").otherwise("closed").alias("was"),
+                             "o_opened", "o_urgency", "o_stage")
+                 .withColumn("due_at", due).withColumn("warn_at", warn))
+        stage = (F.when(F.col("was").isin("armed", "warned") & (F.col("due_at") <= now), "done")
+                 .when((F.col("was") == "armed") & (F.col("warn_at") <= now), "warned")
+                 .when((F.col("was") == "done") & (F.col("due_at") + F.expr(f"interval {done_kept}") <= now), "closed").otherwise(F.col("was")))
+        moved = cut_lineage(armed.withColumn("stage", stage))
+        told = [moved.where((F.col("was") == "armed") & F.col("stage").isin("warned", "done")).withColumn("kind", F.lit("warning")),
+                moved.where(F.col("was").isin("armed", "warned") & (F.col("stage") == "done")).withColumn("kind", F.lit("breach"))]
+        sinks.write_part(told[0].union(told[1]).select("ticket_id", "kind", "due_at", "urgency"), base.rstrip("/") + "_notices", batch_id)
+        changed = moved.where(~F.struct("opened", "urgency", "stage").eqNullSafe(F.struct("o_opened", "o_urgency", "o_stage")))
+        table.upsert(changed.select("ticket_id", "opened", "urgency", "stage"), batch_id, extra={"watermark_us": mark})
+    w = ticket_events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_of(base, checkpoint))
+    return run(w, available_now)
 
 
 # ---------------------------------------------------------------- T8 urgent alerts
@@ -333,6 +403,6 @@ def export_incremental(spark: SparkSession, source: DataFrame, base: str, keys:
     """Scheduled incremental export; each run (availableNow) upserts the
     rows that arrived since the last run into the snapshot table."""
     def each(batch: DataFrame, batch_id: int):
-        sinks.upsert_batch(batch, batch_id, base, keys, order_col)
+        StateTable(batch.sparkSession, base, keys, order_col).upsert(batch, batch_id)
     w = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_of(base, checkpoint))
     return run(w, available_now)

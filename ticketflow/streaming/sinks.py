@@ -1,11 +1,12 @@
 """Replay-safe sinks for ``foreachBatch``.
 
-A state table lives in versioned folders ``<base>/v<batch id + 1>`` with a
+A small table (KPI windows, snapshots) lives in versioned folders ``<base>/v<batch id + 1>`` with a
 ``_CURRENT`` pointer written last: a rename that overwrites in one call, so a
 reader finds the old pointer or the new one, never none.
 A batch that is replayed after a failure rewrites the same version from the
 same inputs, so the sink is idempotent; readers never see a half-written
-version.
+version. Tables that grow with the data are ``state_table.StateTable``s, in which
+a batch writes its own rows only; ``read_current`` reads both.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ def read_current(spark: SparkSession, base: str, schema=None) -> DataFrame | Non
     v = current_version(spark, base)
     if v is None:
         return None if schema is None else spark.createDataFrame([], schema)
-    return spark.read.parquet(v)
+    from ticketflow.streaming.state_table import manifest_of, read_manifest  # that module uses this one
+    m = manifest_of(spark, v)
+    return spark.read.parquet(v) if m is None else read_manifest(spark, base.rstrip("/"), m)
 
 
 def publish(spark: SparkSession, base: str, version: str) -> None:
@@ -98,6 +101,21 @@ def write_version(df: DataFrame, base: str, batch_id: int, keep: int = 3) -> str
     return base + "/" + name
 
 
+def write_part(df: DataFrame, base: str, batch_id: int) -> None:
+    """The rows a batch appends, in a folder of its own: a replay rewrites it. It
+    counts once the batch is published elsewhere (see ``read_parts``)."""
+    df.write.mode("overwrite").parquet(f"{base.rstrip('/')}/v{batch_id + 1:012d}")
+
+
+def read_parts(spark: SparkSession, base: str, published: str | None, schema) -> DataFrame:
+    """The rows appended by batches up to the published version of the table they belong to."""
+    done = _number(published)
+    fs, root, _ = _fs(spark, base)
+    names = [str(x.getPath().getName()) for x in fs.listStatus(root)] if fs.exists(root) else []
+    paths = [f"{base.rstrip('/')}/{n}" for n in sorted(names) if 0 <= _number(n) <= done]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def upsert_batch(batch: DataFrame, batch_id: int, base: str, keys: list[str],
                  order_col: str | None = None) -> None:
     """Merge a micro-batch into the state table: the newest row per key wins,
