@@ -158,6 +158,10 @@ def test_remove_benchmark(spark):
     rows = [(k, t, "en", "a", len(t or ""), *["x"] * 9) for k, t in enumerate(texts)]
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontam.remove_benchmark(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    # over several blocks: other items before and after, and cut pieces of one long item
+    more = bench.union(spark.createDataFrame([(2, " ".join(f"z{k}" for k in range(90))), (3, "y1 y2 y3")], bench.schema))
+    parts = {r["doc_id"]: r for r in decontam.remove_benchmark(spark.createDataFrame(rows, SCHEMA), more, block_words=20).collect()}
+    assert parts == got
     assert sorted(got) == [0, 1, 2, 4, 5]  # the document that is the item goes
     assert got[0]["text"] == filler and got[5]["text"] is None and got[0]["_clean"] == "x"
     for k in (1, 2):

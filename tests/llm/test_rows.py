@@ -262,7 +262,7 @@ def test_mix_rows(spark):
     df = awkward(spark)
     out = mixing.mix(df)
     got = out.collect()
-    assert len(got) == len(awkward_rows()) and out.columns == ["doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept"]
+    assert len(got) == len(awkward_rows()) and out.columns == ["doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept", "target_miss"]
     words = sorted((repr(r[0]), len((r[1] or "").encode().split()) + 1) for r in awkward_rows())
     assert sorted((repr(r["doc_id"]), r["n_tokens"]) for r in got) == words
     assert sum(r["n_tokens"] * r["probability"] for r in got) == pytest.approx(0.6 * sum(r["n_tokens"] for r in got), rel=1e-6)

@@ -114,6 +114,15 @@ def train_label_rows(labels: DataFrame, label: str, salt: str, max_rows: int) ->
             .select("doc_id", "label", F.pmod(F.xxhash64(F.lit(salt + "/part"), F.col("doc_id")), F.lit(10)).cast("int").alias("part")))
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """The sample's rows (doc_id, ...) with a column ``text``. An id that several
+    documents have gives one row, that of the least text by hash, so the sample's
+    bound holds for the texts too."""
+    rest = [c for c in sample.columns if c != "doc_id"]
+    return (docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id")
+            .agg(F.min_by(F.struct("text", *rest), F.struct(F.xxhash64("text"), "text")).alias("_r")).select("_r.*"))
+
+
 def held_out(col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

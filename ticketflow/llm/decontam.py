@@ -9,15 +9,18 @@ consecutive words of an item, or the whole of a shorter item.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, prepare, text_bytes
+from ticketflow.functions.skew import running_sum_within
+from ticketflow.session import cut_lineage
+from .common import fresh, prepare, text_bytes, with_row_id
 
 WINDOW = 10
-# Words of test items in one automaton; more make further blocks, which each
-# batch of documents meets one after the other.
+# Words of test items in one automaton; more make further blocks, each of which
+# all documents meet before the next.
 BLOCK_WORDS = 100_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -171,36 +174,46 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
-    """Lists of (item id as text, words), each of at most ``block_words`` words
-    (one piece at least). Longer items are cut into pieces that share
-    ``window - 1`` words, so no window is lost."""
-    block, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), text_bytes(text_col).alias("t")).toLocalIterator()
-    for r in rows:
-        ws = words_of(bytes(r["t"]))
-        step = max(block_words, 2 * window)
-        for k in range(0, max(1, len(ws) - window + 1), step - window + 1):
-            piece = ws[k:k + step]
-            if not piece:
-                continue
-            if size and size + len(piece) > block_words:
-                yield block
-                block, size = [], 0
-            block.append((r["i"], piece))
-            size += len(piece)
-    if block:
-        yield block
+def _pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> DataFrame:
+    """(i, words, n, block): the items' words, as pieces of at most ``block_words``
+    words, and the block of each. Longer items are cut into pieces that share
+    ``window - 1`` words, so no window is lost. A piece begins in the block that
+    the words before it fill, so a block holds that number and one piece at most."""
+    step = max(block_words, 2 * window)
+
+    def cut(batches):
+        for pdf in batches:
+            for i, data in zip(pdf["i"], pdf["data"]):
+                ws = words_of(bytes(data))
+                for k in range(0, max(1, len(ws) - window + 1), step - window + 1):
+                    if ws[k:k + step]:
+                        yield pd.DataFrame([(i, ws[k:k + step], len(ws[k:k + step]))], columns=["i", "words", "n"])
+
+    pieces = (benchmark.select(F.col(id_col).cast("string").alias("i"), text_bytes(text_col).alias("data"))
+              .mapInPandas(cut, "i string, words array<binary>, n long"))
+    pieces = cut_lineage(pieces.withColumn("no", F.monotonically_increasing_id()))
+    if (pieces.agg(F.sum("n")).first()[0] or 0) <= block_words:
+        return pieces.withColumn("block", F.lit(0).cast("long"))
+    upto = running_sum_within(pieces.select("no", "n"), [], ["no"], "n", "upto")
+    place = upto.select("no", ((F.col("upto") - F.col("n")) / F.lit(block_words)).cast("long").alias("block"))
+    return cut_lineage(pieces.join(place, "no"))
 
 
 class Benchmark:
-    """Test items, cut into broadcast blocks of bounded size."""
+    """Test items in blocks of bounded size. The driver and a task hold one block
+    at a time: documents meet the blocks one after the other."""
 
-    def __init__(self, spark: SparkSession, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
+    def __init__(self, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
                  window: int = WINDOW, block_words: int = BLOCK_WORDS):
-        prepare(spark)
-        self.window = window
-        self.blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, id_col, text_col, window, block_words)]
+        self.spark, self.window = benchmark.sparkSession, window
+        prepare(self.spark)
+        self.pieces = _pieces(benchmark, id_col, text_col, window, block_words)
+        self.blocks = 1 + (self.pieces.agg(F.max("block")).first()[0] or 0)
+
+    def block(self, no: int):
+        """One block as a broadcast list of (item id as text, words)."""
+        rows = self.pieces.where(F.col("block") == no).select("i", "words").collect()
+        return self.spark.sparkContext.broadcast([(r["i"], [bytes(w) for w in r["words"]]) for r in rows])
 
 
 _BUILT: dict = {}  # in a Python worker: the automaton of the block used last
@@ -214,30 +227,46 @@ def _automaton(block, window: int) -> Automaton:
     return _BUILT[key]
 
 
-def scan(datas: list[bytes], blocks: list, window: int) -> list[tuple[int, list[tuple[int, int]], list]]:
-    """(words, hit word spans, item ids) of each text, over all blocks."""
-    texts = [words_of(d) for d in datas]
-    spans: list[list] = [[] for _ in texts]
-    items: list[set] = [set() for _ in texts]
-    for block in blocks:
-        a = _automaton(block, window)
-        for k, ws in enumerate(texts):
-            for first, end, found in a.hits(ws):
-                spans[k].append((first, end))
-                items[k] |= found
-    return [(len(ws), merged(sp), sorted(x for x in it if x is not None)) for ws, sp, it in zip(texts, spans, items)]
+def scan(datas: list[bytes], block, window: int) -> list[tuple[int, list[tuple[int, int]], list]]:
+    """(words, hit word spans, item ids) of each text against one block."""
+    a, out = _automaton(block, window), []
+    for data in datas:
+        ws, spans, items = words_of(data), [], set()
+        for first, end, found in a.hits(ws):
+            spans.append((first, end))
+            items |= found
+        out.append((len(ws), merged(spans), sorted(x for x in items if x is not None)))
+    return out
 
 
-def contamination_column(data: Column, bench: Benchmark) -> Column:
-    """struct(n_words, spans of hit words, items as sorted text) of a binary column."""
-    blocks, window = bench.blocks, bench.window
+_SPANS = "array<struct<first:long,end:long>>"
+
 
-    @F.pandas_udf("n_words long, spans array<struct<first:long,end:long>>, items array<string>")
+def contamination_column(data: Column, block, window: int) -> Column:
+    """struct(n_words, spans of hit words, items as sorted text) of a binary column."""
+    @F.pandas_udf(f"n_words long, spans {_SPANS}, items array<string>")
     def of(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(scan(list(s), blocks, window), columns=["n_words", "spans", "items"])
+        return pd.DataFrame(scan(list(s), block, window), columns=["n_words", "spans", "items"])
     return of(data)
 
 
+def _hits(texts: DataFrame, bench: Benchmark) -> DataFrame:
+    """(rid, spans, items) of the texts (rid, data) that any block hits. Each
+    block's hits are stored; of a text with several they are put together."""
+    c, parts = F.col("_c"), []
+    for no in range(bench.blocks):
+        own = texts.select("rid", contamination_column(F.col("data"), bench.block(no), bench.window).alias("_c"))
+        parts.append(cut_lineage(own.where(F.size(c["spans"]) > 0).select("rid", c["spans"].alias("spans"), c["items"].alias("items"))))
+
+    @F.pandas_udf(_SPANS)
+    def union(s: pd.Series) -> pd.Series:
+        return pd.Series([merged([(x["first"], x["end"]) for x in spans]) for spans in s])
+
+    return (reduce(DataFrame.unionAll, parts).groupBy("rid")
+            .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+            .select("rid", union("spans").alias("spans"), "items"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: id, n_words, n_hit (words inside a window), n_items,
@@ -249,14 +278,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     share an id count once. An empty benchmark hits nothing, an empty table
     gives no rows, and repeated rows give a row each.
     """
-    bench = Benchmark(docs.sparkSession, benchmark, window=window, block_words=block_words)
-    c = F.col("_c")
-    n_hit = F.aggregate(c["spans"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
-    return (docs.select(F.col(id_col), contamination_column(text_bytes(text_col), bench).alias("_c"))
-            .select(F.col(id_col), c["n_words"].alias("n_words"), n_hit.alias("n_hit"),
-                    F.size(c["items"]).cast("long").alias("n_items"),
-                    F.sha2(F.concat_ws(",", c["items"]).cast("binary"), 256).alias("items_sha256"),
-                    (F.size(c["spans"]) > 0).alias("contaminated"), c["spans"].alias("spans")))
+    bench = Benchmark(benchmark, window=window, block_words=block_words)
+    own = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("data"))
+    if bench.blocks == 1:
+        c = F.col("_c")
+        found = own.select("id", contamination_column(F.col("data"), bench.block(0), window).alias("_c")).select(
+            "id", c["n_words"].alias("n_words"), c["spans"].alias("spans"), c["items"].alias("items"))
+    else:
+        @F.pandas_udf("long")
+        def words(s: pd.Series) -> pd.Series:
+            return pd.Series([len(words_of(bytes(x))) for x in s], dtype="int64")
+
+        named = with_row_id(own, "rid")
+        none = F.array().cast(_SPANS), F.array().cast("array<string>")
+        found = named.select("rid", "id", words("data").alias("n_words")).join(_hits(named.select("rid", "data"), bench), "rid", "left").select(
+            "id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"), "spans")
 
 
 def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -269,38 +309,65 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + data[pos:]
 
 
-def clean(datas: list[bytes], blocks: list, window: int) -> list[tuple[bytes, int, int]]:
+def clean(datas: list[bytes], block, window: int) -> list[tuple[bytes, int, int]]:
     """(text without hit spans, words, words hit) of each text. Where a cut
     brings a new window together, it is cut too."""
     out = []
-    first = scan(datas, blocks, window)
-    for data, (n, spans, _) in zip(datas, first):
+    for data, (n, spans, _) in zip(datas, scan(datas, block, window)):
+        hit = sum(b - a for a, b in spans)
         while spans:
             data = _cut(data, spans)
-            spans = scan([data], blocks, window)[0][1]
-        out.append((data, n, sum(b - a for a, b in first[len(out)][1])))
+            spans = scan([data], block, window)[0][1]
+        out.append((data, n, hit))
     return out
 
 
+def _clean_by_blocks(texts: DataFrame, bench: Benchmark) -> DataFrame:
+    """(rid, data, n, hit) of the texts (rid, data) that any block hits, as
+    ``clean`` gives them: rounds over the texts that the round before has cut."""
+    @F.pandas_udf("data binary, n long, hit long")
+    def cut(s: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        own = [[(x["first"], x["end"]) for x in sp] for sp in spans]
+        return pd.DataFrame([(_cut(bytes(x), sp), len(words_of(bytes(x))), sum(b - a for a, b in sp)) for x, sp in zip(s, own)], columns=["data", "n", "hit"])
+
+    out, todo = None, texts
+    while True:
+        now = cut_lineage(todo.join(_hits(todo, bench), "rid").select("rid", cut("data", "spans").alias("c")).select("rid", "c.*"))
+        if not now.head(1):
+            return now if out is None else out
+        if out is None:
+            out = now
+        else:  # a later round's text, with the counts of the first
+            later = now.select("rid", F.col("data").alias("_later"))
+            out = cut_lineage(out.join(later, "rid", "left").select("rid", F.coalesce("_later", "data").alias("data"), "n", "hit"))
+        todo = now.select("rid", "data")
+
+
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
                      max_coverage: float = 0.5, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut out of the text,
     documents with more than ``max_coverage`` of their words hit go. Untouched
     texts stay as they are; ``chars_col``, if there, follows the text."""
-    bench = Benchmark(docs.sparkSession, benchmark, window=window, block_words=block_words)
-    blocks, win = bench.blocks, bench.window
-
-    @F.pandas_udf("data binary, n long, hit long")
-    def of(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(clean(list(s), blocks, win), columns=["data", "n", "hit"])
-
-    of = of.asNondeterministic()  # else the filter below would run it a second time
+    bench = Benchmark(benchmark, window=window, block_words=block_words)
     name = fresh(docs, "_clean")
     c = F.col(name)
-    changed = c["hit"] > 0
-    new = {text_col: F.when(changed, c["data"].cast("string")).otherwise(F.col(text_col))}
+    if bench.blocks == 1:
+        block = bench.block(0)
+
+        @F.pandas_udf("data binary, n long, hit long")
+        def of(s: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame(clean(list(s), block, window), columns=["data", "n", "hit"])
+
+        # nondeterministic, else the filter below would run it a second time
+        cleaned = docs.withColumn(name, of.asNondeterministic()(text_bytes(text_col)))
+    else:
+        rid = fresh(docs, "_rid")
+        named = with_row_id(docs, rid)
+        cut = _clean_by_blocks(named.select(F.col(rid).alias("rid"), text_bytes(text_col).alias("data")), bench)
+        cleaned = named.join(cut.select(F.col("rid").alias(rid), F.struct("data", "n", "hit").alias(name)), rid, "left")
+    hit = F.coalesce(c["hit"], F.lit(0))
+    new = {text_col: F.when(hit > 0, c["data"].cast("string")).otherwise(F.col(text_col))}
     if chars_col in docs.columns:
-        new[chars_col] = F.when(changed, F.length(c["data"].cast("string")).cast("long")).otherwise(F.col(chars_col))
-    return (docs.withColumn(name, of(text_bytes(text_col)))
-            .where(c["hit"] <= F.lit(max_coverage) * F.greatest(c["n"], F.lit(1)))
+        new[chars_col] = F.when(hit > 0, F.length(c["data"].cast("string")).cast("long")).otherwise(F.col(chars_col))
+    return (cleaned.where(hit <= F.lit(max_coverage) * F.greatest(F.coalesce(c["n"], F.lit(1)), F.lit(1)))
             .select(*[new[x].cast(docs.schema[x].dataType).alias(x) if x in new else F.col(f"`{x}`") for x in docs.columns]))

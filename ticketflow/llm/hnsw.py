@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ticketflow.session import cut_lineage
 from .common import prepare
 
-SHARD_ROWS = 2_048   # nodes of a graph
-QUERY_BLOCK = 512    # queries that meet one graph in one call
-M = 16               # neighbours a node keeps on upper levels; twice as many on the lowest
-EF_BUILD = 100
+SHARD_ROWS = 16_384   # nodes of a graph: some tens of megabytes with 64 dimensions
+QUERY_BLOCK = 16_384  # queries that meet one graph in one call, about as large as the graph
+M = 16                # neighbours a node chooses and keeps on upper levels; it keeps twice as many on the lowest
+EF_BUILD = 64         # candidates a node chooses from
 EF_SEARCH = 128
+BLOCK_CELLS = 1 << 23  # similarities held at once while a graph is built
 
 
 class Graph:
@@ -101,43 +102,102 @@ def _spread(unit: np.ndarray, found: list[tuple[float, int]], m: int) -> list[in
     return [int(nodes[k]) for k in chosen]
 
 
+def _nearest_among(unit: np.ndarray, nodes: np.ndarray, k: int) -> np.ndarray:
+    """Each node's k most similar others among ``nodes``, most similar first, by
+    blocks of a bounded number of similarities."""
+    x = unit[nodes].astype(np.float32)
+    k = min(k, len(nodes) - 1)
+    out = np.zeros((len(nodes), k), dtype=np.int64)
+    step = max(1, BLOCK_CELLS // len(nodes))
+    for a in range(0, len(nodes), step):
+        s = x[a:a + step] @ x.T
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
+        some = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        order = np.argsort(-np.take_along_axis(s, some, axis=1), axis=1, kind="stable")
+        out[a:a + step] = np.take_along_axis(some, order, axis=1)
+    return nodes[out]
+
+
+def _link(unit: np.ndarray, nodes: np.ndarray, table: np.ndarray) -> None:
+    """Fill a level's neighbour lists: of its candidates each node chooses up to M,
+    which link back; a list that gets too long keeps a spread choice."""
+    width = table.shape[1]
+    if len(nodes) < 2:
+        return
+    wanted: dict[int, list[int]] = {int(x): [] for x in nodes}
+    for x, near in zip(nodes.tolist(), _nearest_among(unit, nodes, EF_BUILD)):
+        chosen = _spread(unit, list(zip((unit[near] @ unit[x]).tolist(), near.tolist())), M)
+        wanted[x] += chosen
+        for y in chosen:
+            wanted[y].append(x)
+    for x, some in wanted.items():
+        some = list(dict.fromkeys(some))
+        if len(some) > width:
+            some = _spread(unit, list(zip((unit[some] @ unit[x]).tolist(), some)), width)
+        table[x, :len(some)] = some
+
+
+def _reached(table: np.ndarray, entry: int) -> np.ndarray:
+    seen = np.zeros(len(table), dtype=bool)
+    seen[entry] = True
+    front = np.array([entry])
+    while len(front):
+        near = np.unique(table[front])
+        near = near[near >= 0]
+        front = near[~seen[near]]
+        seen[front] = True
+    return seen
+
+
+def _connect(unit: np.ndarray, nodes: np.ndarray, table: np.ndarray, entry: int) -> None:
+    """Link what the entry doesn't reach, island by island, to its nearest node
+    that the entry reaches and that has room or a link to spare: no node of the
+    level stays out of a search's way."""
+    pinned: set[tuple[int, int]] = set()  # links made here, which stay
+    while True:
+        seen = _reached(table, entry)
+        out = nodes[~seen[nodes]]
+        if not len(out):
+            return
+        x, inside = int(out[0]), nodes[seen[nodes]]
+        for y in inside[np.argsort(-(unit[inside] @ unit[x]), kind="stable")].tolist():
+            places = [k for k in range(table.shape[1]) if table[y, k] < 0 or (y, int(table[y, k])) not in pinned]
+            if places:
+                break
+        free = [k for k in places if table[y, k] < 0]
+        table[y, free[0] if free else places[-1]] = x
+        pinned.add((y, x))
+
+
 def build(vectors: np.ndarray, seed: int = 42) -> Graph:
-    """The graph over the rows of ``vectors`` (no zero rows)."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """The graph over the rows of ``vectors`` (no zero rows).
+
+    All nodes are known, so a level's candidates are its exact nearest nodes,
+    found by blocks of one matrix product, instead of those that an insertion
+    one by one would meet.
+    """
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+    unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
     n = len(unit)
     rng = np.random.default_rng(seed)
     levels = np.minimum((-np.log(1.0 - rng.random(n)) / math.log(M)).astype(np.int64), 8)
     links = [np.full((n, 2 * M if level == 0 else M), -1, dtype=np.int32) for level in range(int(levels.max()) + 1)]
-    g = Graph(unit, levels, links, 0)
-    top = int(levels[0])
-    for x in range(1, n):
-        q, own, at = unit[x], int(levels[x]), [g.entry]
-        for level in range(top, own, -1):
-            at = [max(g.search(q, at, 1, level))[1]]
-        for level in range(min(top, own), -1, -1):
-            found = g.search(q, at, EF_BUILD, level)
-            at = [e for _, e in found]
-            chosen = _spread(unit, found, M)
-            table = links[level]
-            table[x, :len(chosen)] = chosen
-            for y in chosen:
-                row = table[y]
-                free = np.nonzero(row < 0)[0]
-                if len(free):
-                    row[free[0]] = x
-                else:
-                    other = np.append(row, x)
-                    kept = _spread(unit, list(zip((unit[other] @ unit[y]).tolist(), other.tolist())), len(row))
-                    row[:] = -1
-                    row[:len(kept)] = kept
-        if own > top:
-            top, g.entry = own, x
-    return g
+    entry = int(np.nonzero(levels == levels.max())[0][0])
+    for level, table in enumerate(links):
+        nodes = np.nonzero(levels >= level)[0]
+        _link(unit, nodes, table)
+        _connect(unit, nodes, table, entry)
+    return Graph(unit, levels, links, entry)
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of one vector with the rows of another array, in double precision."""
+    """Cosines of one vector with the rows of another array, in double precision.
+    Vectors whose squares would leave its range are scaled by a power of two first."""
     a, b = a.astype(np.float64), b.astype(np.float64)
+    most, least = np.abs(b).max(initial=0.0), np.abs(b).max(axis=1, initial=0.0).min(initial=1.0)
+    if not (1e-100 < min(least, np.abs(a).max()) and max(most, np.abs(a).max()) < 1e100):
+        a = a / 2.0 ** np.floor(np.log2(np.abs(a).max()))
+        b = b / 2.0 ** np.floor(np.log2(np.abs(b).max(axis=1, keepdims=True)))
     return (b * a).sum(axis=1) / (np.sqrt((b * b).sum(axis=1)) * np.sqrt((a * a).sum()))
 
 
@@ -175,7 +235,7 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Dat
         return pd.DataFrame(out)
 
     return cut_lineage(nodes.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), "v", "ids")
-                       .groupBy("shard").applyInPandas(
+                       .repartition(shards, "shard").groupBy("shard").applyInPandas(
         index, "shard int, dim int, n int, ids array<long>, vectors array<double>, levels array<int>, neighbours array<int>, entry int"))
 
 
@@ -197,24 +257,28 @@ def search(embeddings: DataFrame, every: int = 50, k: int = 5, id_col: str = "ve
     index = build_index(vectors, k, shard_rows)
     queries = cut_lineage(vectors.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
                           .select("id", "v", F.size("v").alias("dim")))
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    # a block is one row of at most a few hundred vectors, met by every shard's index row
+    # a block is one row of queries, met by every shard's index row; few shards meet more, smaller blocks
+    asked, shards = queries.count(), index.count()
+    spread = min(math.ceil(asked / 64), math.ceil(spark.sparkContext.defaultParallelism / max(1, shards)))
+    blocks = max(1, math.ceil(asked / QUERY_BLOCK), spread)
     blocked = (queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
                .groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries")))
     pairs = (index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(blocked, ["dim", "block"])
-             .repartition("shard", "block"))
+             .repartition(max(1, min(shards * blocks, 1 << 15)), "shard", "block"))
 
     def find(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 x = np.asarray(r.vectors).reshape(r.n, r.dim)
                 ids = np.asarray(r.ids).reshape(r.n, k + 1)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                scaled = x / np.abs(x).max(axis=1, keepdims=True)
+                unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
                 g = Graph.of_flat(unit, np.asarray(r.levels), np.asarray(r.neighbours), r.entry)
                 out = []
                 for one in r.queries:
                     qid, q = one["id"], np.asarray(one["v"], dtype=np.float64)
-                    nodes = np.array(sorted(e for _, e in g.nearest(q / np.linalg.norm(q), ef)))
+                    direction = q / np.abs(q).max()
+                    nodes = np.array(sorted(e for _, e in g.nearest(direction / np.linalg.norm(direction), ef)))
                     scores = exact_cosine(q, x[nodes])
                     mine = [(-s, int(i), qid) for s, row in zip(scores.tolist(), ids[nodes]) for i in row if i >= 0 and i != qid]
                     out += heapq.nsmallest(k, mine)

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh, prepare, with_row_id
+from .common import prepare, with_row_id
 from .encoding import encoder
 
 CAPACITY = 1024
@@ -109,7 +109,6 @@ def pack(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
         file = spark.sparkContext.broadcast(f.read())  # a vocabulary of fixed size
     groups = max(1, math.ceil(docs.count() / group_rows))
     kind = docs.schema[id_col].dataType
-    rid = fresh(docs, "_rid")
     narrow = max(encoder(file).tokenizer.get_vocab().values()) < 1 << 16 and end_id < 1 << 16
     wire = "<u2" if narrow else "<u4"  # what the tails are exchanged as
 
@@ -148,10 +147,9 @@ def pack(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
         out["sequence_id"] = out["sequence_id"] * groups + group
         return out
 
-    named = with_row_id(docs.select(id_col, text_col), rid)
-    tokens = named.select(F.col(id_col).cast("string").alias("id"), F.col(f"{rid}.file").alias("file"), F.col(f"{rid}.row").alias("row"),
-                          cut(F.col(text_col)).alias("t"))
+    named = with_row_id(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")), "rid")
+    tokens = named.select("id", F.col("rid.file").alias("file"), F.col("rid.row").alias("row"), cut("text").alias("t"))
     dealt = tokens.select("id", "file", "row", "t.*", F.pmod(F.xxhash64(F.lit(seed), "file", "row"), F.lit(groups)).alias("grp"))
     return (dealt.groupBy("grp").applyInPandas(pack_group, "id string, start long, length long, ids_crc32 long, doc_tokens long, "
                                                            "sequence_id long, offset long")
-            .withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col))
+            .select(F.col("id").cast(kind).alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))

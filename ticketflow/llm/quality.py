@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ticketflow.session import cut_lineage
-from .common import fresh, held_out, prepare, text_bytes, train_label_rows
+from .common import fresh, held_out, prepare, sampled_texts, text_bytes, train_label_rows
 
 # Labelled rows the model is fitted on, at most (those of smallest id hash).
 MAX_TRAIN_ROWS = 20_000
@@ -125,11 +125,10 @@ def _prior(positive: int, n: int) -> float:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
         max_rows: int = MAX_TRAIN_ROWS) -> RuleModel:
     """Fit on at most ``max_rows`` labelled rows, held-out ids left aside.
-    Without rows of both labels the model is the smoothed share of label 1."""
+    Documents that share an id count once. Without rows of both labels the model is the smoothed share of label 1."""
     prepare(docs.sparkSession)
-    sample = train_label_rows(labels, label, "quality", max_rows).select(F.col("doc_id").alias("_id"), "label")
-    rows = cut_lineage(docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_t"))
-                       .join(F.broadcast(sample), "_id").select("label", statistics_column(F.col("_t")).alias("stats")))
+    sample = train_label_rows(labels, label, "quality", max_rows).select("doc_id", "label")
+    rows = cut_lineage(sampled_texts(docs, sample, id_col, text_bytes(text_col)).select("label", statistics_column(F.col("text")).alias("stats")))
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if positive in (0, n):
         return RuleModel([], [], _prior(positive, n))

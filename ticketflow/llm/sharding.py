@@ -18,6 +18,7 @@ from ticketflow.session import cut_lineage
 from .common import fresh, prepare, text_bytes, with_row_id
 
 PROBES = 32  # candidates per splitter and round
+MAX_RANGES = 1 << 16  # key ranges of all shards; their bounds and row counts are held by the driver and every task
 
 
 def _histogram(keyed: DataFrame, bounds: list[int]) -> list[tuple[int, int]]:
@@ -87,7 +88,8 @@ def histogram_shards(df: DataFrame, id_col: str, text_col: str, shards: int = 16
     shuffled, repeated rows and null ids spread like any others, and a group of
     copies of any size can be split. Null and empty texts have size 1. An empty
     table gives no rows. Each shard is exchanged as several key ranges of about
-    ``part_bytes``, one task each, so no task holds a shard.
+    ``part_bytes``, or of more where that made over 65,536 of them, one task each,
+    so no task holds a shard.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -98,7 +100,7 @@ def histogram_shards(df: DataFrame, id_col: str, text_col: str, shards: int = 16
     keyed = cut_lineage(named.select(key.alias("key"), size.alias("size")))
     splitters, total = find_splitters(keyed, shards, tolerance)
     # each shard's key interval, cut into ranges of about part_bytes
-    cuts = max(1, math.ceil(total / shards / part_bytes))
+    cuts = max(1, min(math.ceil(total / shards / part_bytes), MAX_RANGES // shards))
     ends = [-(1 << 63), *splitters, 1 << 63]
     starts = [lo + (hi - lo) * k // cuts for lo, hi in zip(ends, ends[1:]) for k in range(cuts)]
     shard_of = [j for j in range(len(ends) - 1) for _ in range(cuts)]

@@ -13,90 +13,17 @@ overlaps, in the end as one chunk.
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ticketflow.session import cut_lineage
 from .common import prepare, with_row_id
+from .encoding import encoder
 
 CHUNK = 32_768  # characters a chunk advances by
 OVERLAP = 256
 WIDEN = 8
 
-_LOADED: dict = {}  # in a Python worker: the tokenizer built from a broadcast file
-
-
-def _tokenizer(file):
-    import os
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-    from tokenizers import Tokenizer
-    key = getattr(file, "_path", None) or id(file)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Tokenizer.from_buffer(file.value)
-    return _LOADED[key]
-
-
-# White space next to a space, or a line end at either end or next to white space.
-_ODD = re.compile(r"\s | \s|\s\n|\n\s|\A[ \n]|[ \n]\Z")
-REMEMBERED = 500_000  # pieces a worker remembers the counts of
-
-
-class PieceCounter:
-    """Token counts of whole texts from the counts of their pieces.
-
-    A text without runs of white space is cut before each space and around each
-    line end. These are boundaries of pre-tokens: every alternative of the
-    byte-level pattern that matches a space has it first, a lone line end is a
-    pre-token of its own, and no added token holds white space. So the pieces'
-    counts add up to the text's, and a piece seen before isn't encoded again.
-    Other texts are encoded whole.
-    """
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
-        added = tokenizer.get_added_tokens_decoder().values()
-        self.apart = not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
-
-    def _encode(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def count(self, texts: list[str]) -> list[int]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out, cut = [0] * len(texts), []
-        whole = [k for k, t in enumerate(texts) if not self.apart or _ODD.search(t)]
-        for k, n in zip(whole, self._encode([texts[k] for k in whole])):
-            out[k] = n
-        odd = set(whole)
-        for k, t in enumerate(texts):
-            if t and k not in odd:
-                # a mark before each word after a space: such pieces begin with one
-                pieces = t.replace("\n", " \n ").replace(" ", "\x00 ").replace("\x00 \n\x00 ", "\x00\n\x00").split("\x00") if "\x00" not in t else None
-                if pieces is None:
-                    out[k] = self._encode([t])[0]
-                else:
-                    cut.append((k, pieces))
-        new = list({p for _, pieces in cut for p in pieces if p not in known})
-        known.update(zip(new, self._encode(new)))
-        for k, pieces in cut:
-            out[k] = sum(map(known.__getitem__, pieces))
-        return out
-
-
-_COUNTERS: dict = {}  # in a Python worker: the counter of the tokenizer used last
-
-
-def _counter(file) -> PieceCounter:
-    t = _tokenizer(file)
-    if _COUNTERS.get("of") is not t:
-        _COUNTERS.update(of=t, counter=PieceCounter(t))
-    return _COUNTERS["counter"]
-
-
 def vocabulary(spark: SparkSession, path: str):
     """The tokenizer file as a broadcast (a vocabulary of fixed size)."""
     prepare(spark)
@@ -155,7 +82,7 @@ def _encode_huge(docs: DataFrame, file, chunk: int, overlap: int) -> DataFrame:
 
     @F.pandas_udf(f"tokens long, head {_SEAMS}, tail {_SEAMS}")
     def encode(start: pd.Series, last: pd.Series, piece: pd.Series) -> pd.DataFrame:
-        t = _tokenizer(file)
+        t = encoder(file).tokenizer
         margin = seam_margin(t)
         return pd.DataFrame([encode_chunk(t, p, s, chunk, overlap, margin, z) for s, z, p in zip(start, last, piece)],
                             columns=["tokens", "head", "tail"])
@@ -189,18 +116,14 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     file = vocabulary(spark, vocab_path)
-    t = _tokenizer(file)
-    if t.normalizer is not None or type(t.pre_tokenizer).__name__ != "ByteLevel":
-        raise ValueError("splicing is proven for byte-level pre-tokenizers without normalizer only")
+    encoder(file)  # raises for other kinds of tokenizers, for which splicing isn't proven
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = with_row_id(docs.select(id_col, text_col), "rid") if id_col != "rid" else None
-    if named is None:
-        raise ValueError("the id column may not be called rid")
-    named = named.select(F.col(id_col).alias("id"), "rid", text.alias("text"))
+    # the operator's own names from the start, so that no column name of the caller's matters
+    named = with_row_id(docs.select(F.col(id_col).alias("id"), text.alias("text")), "rid")
 
     @F.pandas_udf("long")
     def whole(s: pd.Series) -> pd.Series:
-        return pd.Series(_counter(file).count(list(s)), dtype="int64")
+        return pd.Series([encoder(file).count(x) for x in s], dtype="int64")
 
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
     huge = F.length("text") > chunk + overlap
@@ -213,6 +136,6 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
         out = out.union(ids.join(done.where("n_tokens is not null"), ["file", "row"]).select("id", "n_bytes", "n_tokens"))
         failed = done.where("n_tokens is null").select(F.struct("file", "row").alias("rid"))
         if not failed.head(1):
-            return out.withColumnRenamed("id", id_col)
+            return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
         overlap *= WIDEN
         todo = left.join(failed, "rid", "left_semi").select("rid", "text")

@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ticketflow.session import cut_lineage
-from .common import held_out, prepare, text_bytes, train_label_rows
+from .common import held_out, prepare, sampled_texts, text_bytes, train_label_rows
 
 # Labelled rows the model is fitted on, at most (those of smallest id hash).
 MAX_TRAIN_ROWS = 12_000
@@ -155,13 +155,12 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
         max_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows, held-out ids left aside.
-    Without rows of both labels in a part, the score is the smoothed share of
+    Documents that share an id count once. Without rows of both labels in a part, the score is the smoothed share of
     label 1."""
     prepare(docs.sparkSession)
-    sample = train_label_rows(labels, label, "toxic", max_rows).withColumnRenamed("doc_id", "_id")
+    sample = train_label_rows(labels, label, "toxic", max_rows)
     # the sample's texts, bounded by max_rows documents, are read once
-    rows = cut_lineage(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-                       .join(F.broadcast(sample), "_id").select("label", "part", "text"))
+    rows = cut_lineage(sampled_texts(docs, sample, id_col, F.coalesce(F.col(text_col), F.lit(""))).select("label", "part", "text"))
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     model = ToxicityModel({}, None, None, (positive + 1) / (n + 2))
     halves = [(F.col("part") < 4), F.col("part").between(4, 7)]
