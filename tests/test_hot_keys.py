@@ -87,9 +87,19 @@ def test_joins_of_a_hot_key_are_split(spark):
                                              F.col("created_at").alias("at"), F.col("id").alias("seq"))
         frames = {"first_last": T.first_last_in_thread(logs), "feedback": L.apply_feedback_logs(logs, fb),
                   "near_duplicates": K.near_duplicate_groups(logs, "id", "thread_ts")}
+        tickets = logs.select(F.col("id").cast("string").alias("ticket_id"), F.col("thread_ts").alias("reporter_name"), F.lit("here").alias("location"))
+        owners = logs.select(F.col("thread_ts").alias("assignee"), F.lit("here").alias("location"), F.concat(F.lit("A"), "thread_ts").alias("asset_id"),
+                             F.lit("PC").alias("asset_type"), F.lit("ACTIVE").alias("status")).distinct()
+        frames["match_asset"] = K.match_asset(tickets, owners)
         for name, df in frames.items():
             assert len(df.collect()) == 60_000, name
             assert "skew=true" in df._jdf.queryExecution().executedPlan().toString(), name
+        # children of a parent: the join that comes before their numbering
+        kids = logs.select(F.col("thread_ts").alias("ticket_id"), "id", "message")
+        joined = kids.join(logs.select(F.col("thread_ts").alias("ticket_id")), "ticket_id", "left_semi")
+        assert joined.count() == T.children_of(logs.select(F.col("thread_ts").alias("ticket_id")), kids, "ticket_id", ["id"]).count() == 60_000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

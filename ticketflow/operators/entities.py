@@ -28,11 +28,15 @@ def find_names(messages: DataFrame, names: DataFrame, id_col: str, text_col: str
                              .groupBy(F.array_join("t", " ").alias("gram"), F.size("t").alias("n")).agg(F.min("name").alias("name")))
     lengths = sorted(r[0] for r in dictionary.select("n").distinct().collect())  # the few token counts that names have
     words = messages.select(F.col(id_col).alias("id"), tokens(text_col).alias("t"))
-    grams = F.array().cast("array<struct<n:int,at:int,gram:string>>")
-    for n in lengths:
-        grams = F.concat(grams, F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - F.lit(n - 1)), lambda i, n=n: F.struct(
-            F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("t", i, n), " ").alias("gram")))).otherwise(F.array().cast("array<struct<n:int,at:int,gram:string>>")))
-    first = words.select("id", F.inline(grams)).groupBy("id", "n", "gram").agg(F.min("at").alias("at"))
+    none = F.array().cast("array<struct<n:int,at:int,gram:string>>")
+
+    def grams(n: int):
+        """The n-grams of a message's tokens, with their places."""
+        made = F.transform(F.sequence(F.lit(1), F.size("t") - F.lit(n - 1)), lambda i: F.struct(
+            F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("t", i, n), " ").alias("gram")))
+        return F.when(F.size("t") >= n, made).otherwise(none)
+
+    first = words.select("id", F.inline(F.concat(none, *[grams(n) for n in lengths]))).groupBy("id", "n", "gram").agg(F.min("at").alias("at"))
     best = (first.join(dictionary, ["n", "gram"]).groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "at", "name")).alias("m"))
             .select("id", F.col("m.name").alias("name")))
     return messages.select(F.col(id_col).alias("id")).join(best, "id", "left").select(F.col("id").alias(id_col), "name")

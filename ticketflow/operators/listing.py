@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.functions.timeutil import col_of
+from ticketflow.session import cut_lineage
 
 ACTIVE = ("OPEN", "IN_PROGRESS", "HUMAN_REQUESTED")
 
@@ -45,6 +46,44 @@ def search_any(df: DataFrame, q: str | None, columns: list[str], escape: bool =
     return df.where(pred)
 
 
+def search_many(df: DataFrame, terms: DataFrame, columns: list[str], id_col: str, term_id: str = "term_id", term: str = "term",
+                scan_at_once: int = 200) -> DataFrame:
+    """F2 for a batch of search terms: (term_id, id) of every record that
+    ``search_any`` finds for the term.
+
+    A term of three characters or more without wildcards needs all its trigrams
+    in a value; the rarest of them, by the records that have it, names the
+    candidates, which are checked exactly. Other terms are scanned for, at most
+    ``scan_at_once`` of them in one pass over the records. Null and empty terms
+    find nothing. Ids of records and of terms are unique.
+    """
+    asked = cut_lineage(terms.select(F.col(term_id).alias("term_id"), F.lower(term).alias("term")).where(F.length("term") > 0))
+    plain = (F.length("term") >= 3) & ~F.col("term").rlike(r"[%_\\]")
+
+    def trigrams(value: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.length(value) - 2), lambda i: F.substring(value, i, 3))
+        return F.when(F.length(value) >= 3, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+
+    values = df.select(F.col(id_col).alias("id"), F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in columns]).alias("values"))
+    grams = cut_lineage(asked.where(plain).select("term_id", "term", F.explode(trigrams(F.col("term"))).alias("gram")))
+    every = values.select("id", F.explode(F.array_distinct(F.flatten(F.transform("values", trigrams)))).alias("gram"))
+    postings = cut_lineage(every.join(grams.select("gram").distinct(), "gram", "left_semi"))
+    counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = (grams.join(counts, "gram", "left").groupBy("term_id", "term").agg(F.count("*").alias("need"), F.count("n").alias("have"), F.min_by("gram", "n").alias("gram"))
+              .where(F.col("need") == F.col("have")).select("term_id", "term", "gram"))
+    candidates = rarest.join(postings, "gram").select("term_id", "term", "id")
+    out = candidates.join(values, "id").where(F.exists("values", lambda v: v.contains(F.col("term")))).select("term_id", "id")
+    others = asked.where(~plain)
+    passes = -(-others.count() // scan_at_once)
+    for part in range(passes):
+        some = others.where(F.pmod(F.xxhash64("term_id"), F.lit(passes)) == part).collect()
+        if some:
+            listed = F.array(*[F.struct(F.lit(r["term_id"]).alias("term_id"), F.lit(r["term"]).alias("term")) for r in some])
+            found = "inline(filter(listed, t -> exists(values, v -> v LIKE concat('%', t.term, '%'))))"
+            out = out.unionByName(values.withColumn("listed", listed).select("id", F.expr(found)).select("term_id", "id"))
+    return out.select(F.col("term_id").alias(term_id), F.col("id").alias(id_col))
+
+
 def filter_thread(df: DataFrame, thread_ts: str | None = None, ticket_id: str | None = None) -> DataFrame:
     """thread equality wins; else ``thread_ts LIKE '%ticket_id%'`` (wildcards kept)."""
     if thread_ts:

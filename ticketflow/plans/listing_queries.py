@@ -174,3 +174,22 @@ def q_client_search(spark, d):
     docs = A.read(spark, d, "documents").select("doc_id", F.col("source").alias("title"),
                                                 F.col("text").alias("description"))
     return S.client_search(docs, "RC1").select("doc_id")
+
+
+_TERM = """CASE item_id % 10 WHEN 0 THEN substr(w, 1, 2) || '_' || substr(w, 4) WHEN 1 THEN substr(w, 1, 2) WHEN 2 THEN substr(w, 1, 3) || '%' || right(w, 2) ELSE w END"""
+
+
+@register("search_many_terms", f"""
+WITH t AS (SELECT item_id, {_TERM} AS term FROM (
+  SELECT item_id, list_reduce(regexp_split_to_array(text, '[^A-Za-z]+'), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS w FROM benchmark) WHERE w <> '')
+SELECT item_id, doc_id FROM t, documents WHERE term <> '' AND (text ILIKE '%' || term || '%' OR source ILIKE '%' || term || '%')""")
+def q_search_many_terms(spark, d):
+    """F2 for a batch of terms: the longest word of every benchmark item, some cut to two letters or with
+    wildcards, searched in every document."""
+    words = F.split("text", "[^A-Za-z]+")
+    longest = F.aggregate(words, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
+    k, w = F.col("item_id") % 10, F.col("w")
+    term = (F.when(k == 0, F.concat(F.substring(w, 1, 2), F.lit("_"), w.substr(F.lit(4), F.length(w)))).when(k == 1, F.substring(w, 1, 2))
+            .when(k == 2, F.concat(F.substring(w, 1, 3), F.lit("%"), F.right(w, F.lit(2)))).otherwise(w))
+    terms = A.read(spark, d, "benchmark").select("item_id", longest.alias("w")).where("w <> ''").select("item_id", term.alias("term"))
+    return S.search_many(A.read(spark, d, "documents"), terms, ["text", "source"], "doc_id", "item_id")

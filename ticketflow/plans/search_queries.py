@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketflow.functions import text
 from ticketflow.operators import lifecycle as L
-from ticketflow.operators import near
+from ticketflow.operators import lsh, near
 from ticketflow.operators import search as K
 from ticketflow.plans.registry import register, round_doubles
 from ticketflow.sources import adapters as A
@@ -51,6 +51,14 @@ _FLAT = "regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+', ' ',
 _BIGRAMS = f"CASE WHEN length({_FLAT}) < 2 THEN [{_FLAT}] ELSE list_transform(range(1, length({_FLAT})), lambda i: substr({_FLAT}, i, 2)) END"
 
 
+@register("similar_vectors_hashed", _COS.format(extra=""), ("vectors",))
+def q_similar_vectors_hashed(spark, d):
+    """K1 by random projection hashing; on vectors without near neighbours, as these, the exact search answers."""
+    v = A.vectors(spark, d)
+    top = lsh.similar_vectors(_asked(v), v, k=5, exclude_self=True)
+    return round_doubles(top.withColumn("similarity_pct", text.similarity_pct("similarity")))
+
+
 def _bm25_sql(b: float, k: int = 5, tok: str = _WORDS, docs: str = "documents", queries: str = "benchmark") -> str:
     """``docs`` (doc_id, text) and ``queries`` (item_id, text) are tables or subqueries."""
     return f"""

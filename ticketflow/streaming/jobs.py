@@ -314,6 +314,12 @@ def sla_notices(spark: SparkSession, base: str) -> DataFrame:
     return sinks.read_parts(spark, base.rstrip("/") + "_notices", sinks.current_version(spark, base), SLA_OUT)
 
 
+def sla_time(opened: str, urgency: str, share: float) -> Column:
+    """When ``share`` of the SLA of a ticket opened then has passed."""
+    hours = F.coalesce(*[F.when(F.col(urgency) == u, h) for u, h in sla.SLA_HOURS.items()], F.lit(sla.DEFAULT_SLA_HOURS))
+    return F.timestamp_micros(F.unix_micros(opened) + (hours * F.lit(sla.HOUR_MS * 1000) * F.lit(share)).cast("long"))
+
+
 def reduced_events(events: DataFrame) -> DataFrame:
     """(ticket_id, closed, opened, urgency) per ticket: whether the batch closes
     it, and its first open event after the last closing one.
@@ -359,19 +365,16 @@ def sla_breach_stream(spark: SparkSession, ticket_events: DataFrame, base: str,
         state = session.createDataFrame([], SLA_STATE) if state is None else state
         old = state.select("ticket_id", F.col("opened").alias("o_opened"), F.col("urgency").alias("o_urgency"), F.col("stage").alias("o_stage"))
         both = old.join(reduced_events(events), "ticket_id", "full")
-        kept = F.col("o_stage").isNotNull() & (F.col("o_stage") != "closed") & ~F.coalesce("closed", F.lit(False))
-        hours = F.coalesce(*[F.when(F.col("urgency") == u, h) for u, h in sla.SLA_HOURS.items()], F.lit(sla.DEFAULT_SLA_HOURS))
-        due = F.timestamp_micros(F.unix_micros("opened") + hours.cast("long") * F.lit(sla.HOUR_MS * 1000))
-        warn = F.timestamp_micros(F.unix_micros("opened") + (hours * F.lit(sla.HOUR_MS * 1000) * F.lit(sla.WARNING_SHARE)).cast("long"))
-        now = F.timestamp_micros(F.lit(mark).cast("long"))
+        now, was_now = (F.timestamp_micros(F.lit(x).cast("long")) for x in (mark, before))
+        forgotten = (F.col("o_stage") == "done") & (sla_time("o_opened", "o_urgency", 1.0) + F.expr(f"interval {done_kept}") <= was_now)
+        kept = F.col("o_stage").isNotNull() & (F.col("o_stage") != "closed") & ~F.coalesce("closed", F.lit(False)) & ~F.coalesce(forgotten, F.lit(False))
         armed = (both.select("ticket_id", F.when(kept, F.col("o_opened")).otherwise(F.col("opened")).alias("opened"),
                              F.when(kept, F.col("o_urgency")).otherwise(F.col("urgency")).alias("urgency"),
                              F.when(kept, F.col("o_stage")).when(F.col("opened").isNotNull(), "armed").otherwise("closed").alias("was"),
                              "o_opened", "o_urgency", "o_stage")
-                 .withColumn("due_at", due).withColumn("warn_at", warn))
+                 .withColumn("due_at", sla_time("opened", "urgency", 1.0)).withColumn("warn_at", sla_time("opened", "urgency", 1 - sla.WARNING_SHARE)))
         stage = (F.when(F.col("was").isin("armed", "warned") & (F.col("due_at") <= now), "done")
-                 .when((F.col("was") == "armed") & (F.col("warn_at") <= now), "warned")
-                 .when((F.col("was") == "done") & (F.col("due_at") + F.expr(f"interval {done_kept}") <= now), "closed").otherwise(F.col("was")))
+                 .when((F.col("was") == "armed") & (F.col("warn_at") <= now), "warned").otherwise(F.col("was")))
         moved = cut_lineage(armed.withColumn("stage", stage))
         told = [moved.where((F.col("was") == "armed") & F.col("stage").isin("warned", "done")).withColumn("kind", F.lit("warning")),
                 moved.where(F.col("was").isin("armed", "warned") & (F.col("stage") == "done")).withColumn("kind", F.lit("breach"))]
