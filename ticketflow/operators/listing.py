@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.functions.timeutil import col_of
+from ticketflow.operators.search import char_ngrams
 from ticketflow.session import cut_lineage
 
 ACTIVE = ("OPEN", "IN_PROGRESS", "HUMAN_REQUESTED")
@@ -61,8 +62,7 @@ def search_many(df: DataFrame, terms: DataFrame, columns: list[str], id_col: str
     plain = (F.length("term") >= 3) & ~F.col("term").rlike(r"[%_\\]")
 
     def trigrams(value: Column) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.length(value) - 2), lambda i: F.substring(value, i, 3))
-        return F.when(F.length(value) >= 3, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.length(value) >= 3, F.array_distinct(char_ngrams(value, 3))).otherwise(F.array().cast("array<string>"))
 
     values = df.select(F.col(id_col).alias("id"), F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in columns]).alias("values"))
     grams = cut_lineage(asked.where(plain).select("term_id", "term", F.explode(trigrams(F.col("term"))).alias("gram")))

@@ -140,16 +140,25 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 BM25_K1, BM25_B = 1.2, 0.75
 
 
+def char_ngrams(text: Column, n: int) -> Column:
+    """The character n-grams of a text in order; a shorter text is one.
+
+    The characters are bound once, as the element of a one-element array: a lambda
+    that held the text itself would compute it, and count its way into it, anew for
+    every position."""
+    def of(c: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(c) - F.lit(n - 1)), lambda i: F.array_join(F.slice(c, i, n), ""))
+        return F.when(F.size(c) < n, F.array(F.array_join(c, ""))).otherwise(made)
+    return F.get(F.transform(F.array(F.split(text, "")), of), F.lit(0))
+
+
 def tokens(text_col: str = "text", ngram: int = 0):
     """Lower-cased word tokens; with ``ngram`` > 0, character n-grams of the
     whitespace-collapsed text instead (scripts written without spaces)."""
     t = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     if ngram <= 0:
         return F.filter(F.split(t, TOKEN_SPLIT), lambda x: x != "")
-    s = F.regexp_replace(t, r"\s+", " ")
-    n = F.char_length(s)
-    return F.when(n < ngram, F.array(s)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - ngram + 1, F.lit(1))), lambda i: F.substring(s, i, ngram)))
+    return char_ngrams(F.regexp_replace(t, r"\s+", " "), ngram)
 
 
 def _ranked_postings(qterms: DataFrame, postings: DataFrame, dfreq: DataFrame, n_docs: int, avgdl: float, k: int, schema: str,

@@ -48,7 +48,8 @@ def q_similar_vectors_label3(spark, d):
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 _FLAT = "regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
-_BIGRAMS = f"CASE WHEN length({_FLAT}) < 2 THEN [{_FLAT}] ELSE list_transform(range(1, length({_FLAT})), lambda i: substr({_FLAT}, i, 2)) END"
+_CHARS = f"string_split({_FLAT}, '')"
+_BIGRAMS = f"CASE WHEN length({_FLAT}) < 2 THEN [{_FLAT}] ELSE list_transform(list_zip({_CHARS}[1:-2], {_CHARS}[2:]), lambda p: p[1] || p[2]) END"
 
 
 @register("similar_vectors_hashed", _COS.format(extra=""), ("vectors",))
@@ -187,8 +188,8 @@ def q_similar_text_pairs(spark, d):
 
 
 @register("similar_text_groups", _SIMILAR + """,
-both AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-reach AS (SELECT a AS node, a AS root FROM both UNION SELECT b, root FROM reach JOIN both ON a = node),
+ab AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT a AS node, a AS root FROM ab UNION SELECT b, root FROM reach JOIN ab ON a = node),
 least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
 SELECT doc_id, class_id, coalesce(root, class_id) AS group_id FROM m LEFT JOIN least ON node = class_id""")
 def q_similar_text_groups(spark, d):
