@@ -248,14 +248,33 @@ def test_documents_of_a_hot_source_meet_their_targets(spark):
     rows = [(k, prose(random.Random(k), 5 + k % 40), "en" if k % 5 else "fr", "hot" if k % 3 == 0 else f"s{k % 7}") for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
     got = mixing.mix(df, keep=0.8, targets_first=True).collect()
+    assert all(r["target_miss"] <= mixing.MISS for r in got)
+    assert 0.97 * 0.8 - 1e-9 <= sum(r["n_tokens"] * r["probability"] for r in got) / sum(r["n_tokens"] for r in got) <= 0.8 + 1e-9
+    misses = []
+    for pull in mixing.PULLS:
+        misses.append(_misses(got, _hot_targets(got, pull), "n_tokens"))
+    assert min(misses) < 1e-5
+    assert mixing.sample(df, keep=0.8, targets_first=True).count() == sum(r["kept"] for r in got)
+
+
+def _hot_targets(got, pull):
     want = {}
-    for c, power in zip(("source", "lang", "topic"), (0.5, 0.7, 0.5)):
+    for c, asked in zip(("source", "lang", "topic"), (0.5, 0.7, 0.5)):
+        power = 1 - (1 - asked) * pull
         mass: dict = {}
         for r in got:
             mass[r[c]] = mass.get(r[c], 0) + r["n_tokens"]
-        want[c] = {k: m ** power / sum(x ** power for x in mass.values()) for k, m in mass.items()}
-    assert _misses(got, want, "n_tokens") < 1e-5
-    assert mixing.sample(df, keep=0.8, targets_first=True).count() == sum(r["kept"] for r in got)
+        share = {k: m ** power / sum(x ** power for x in mass.values()) for k, m in mass.items()}
+        most = {k: m / sum(mass.values()) / 0.8 for k, m in mass.items()}  # what a category has where 0.8 is kept
+        full: set = set()
+        while True:
+            scale = (1 - sum(most[k] for k in full)) / sum(share[k] for k in share if k not in full)
+            new = {k for k in share if k not in full and share[k] * scale >= most[k]}
+            if not new:
+                break
+            full |= new
+        want[c] = {k: most[k] if k in full else share[k] * scale for k in share}
+    return want
 
 
 def test_mix_rows(spark):
