@@ -60,7 +60,7 @@ def q_similar_vectors_hashed(spark, d):
     return round_doubles(top.withColumn("similarity_pct", text.similarity_pct("similarity")))
 
 
-def _bm25_sql(b: float, k: int = 5, tok: str = _WORDS, docs: str = "documents", queries: str = "benchmark") -> str:
+def _bm25_sql(b: float, k: int = 5, tok: str = _WORDS, docs: str = "documents", queries: str = "benchmark", digits: int = 6) -> str:
     """``docs`` (doc_id, text) and ``queries`` (item_id, text) are tables or subqueries."""
     return f"""
 WITH docs AS (SELECT doc_id, {tok} AS toks FROM {docs}),
@@ -77,7 +77,7 @@ sc AS (
              * (tf.tf * 2.2 / (tf.tf + 1.2 * (1 - {b} + {b} * tf.dl / st.avgdl)))) AS score
   FROM qt JOIN tf ON qt.term = tf.term JOIN df ON qt.term = df.term, st
   GROUP BY 1, 2)
-SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+SELECT query_id, doc_id, round(score, {digits}) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc)
 WHERE rank <= {k}"""
 
@@ -201,14 +201,14 @@ _LAST_TEXT = """(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN lang || ' ' || sou
   FROM documents WHERE doc_id % 11 <> 0)"""
 
 
-@register("bm25_bigrams", _bm25_sql(0.75, tok=_BIGRAMS))
+@register("bm25_bigrams", _bm25_sql(0.75, tok=_BIGRAMS, digits=4))
 def q_bm25_bigrams(spark, d):
     """K2 over character bigrams, as for text written without spaces: top 5 of every benchmark question."""
     docs = A.read(spark, d, "documents").select("doc_id", "text")
-    return round_doubles(K.bm25_topk(A.search_queries(spark, d), docs, k=5, ngram=2))
+    return round_doubles(K.bm25_topk(A.search_queries(spark, d), docs, k=5, ngram=2), 4)
 
 
-@register("index_refresh_search", _bm25_sql(0.75, docs=_LAST_TEXT))
+@register("index_refresh_search", _bm25_sql(0.75, docs=_LAST_TEXT, digits=4))
 def q_index_refresh_search(spark, d):
     """S10 + K2: an index over all documents, three batches of changes (new texts, others, some gone; one
     batch is replayed), then the top 5 of every benchmark question: those of an index built anew."""
@@ -221,7 +221,7 @@ def q_index_refresh_search(spark, d):
     index.update(changed, 2)
     index.update(changed, 2)
     index.update(t.where(k % 11 == 0).select("doc_id", F.lit(None).cast("string").alias("text")), 3)
-    return round_doubles(index.topk(A.search_queries(spark, d), k=5))
+    return round_doubles(index.topk(A.search_queries(spark, d), k=5), 4)
 
 
 _ASSET_TEXT = """'アセットID: ' || asset_id || ' ' || 'タイプ: ' || asset_type || ' ' || 'デバイス名: ' || coalesce(name, '') || ' ' || 'メーカー: ' || coalesce(notes, '') || ' ' ||
