@@ -213,7 +213,7 @@ def q_index_refresh_search(spark, d):
     """S10 + K2: an index over all documents, three batches of changes (new texts, others, some gone; one
     batch is replayed), then the top 5 of every benchmark question: those of an index built anew."""
     t = A.read(spark, d, "documents")
-    index = TextIndex(spark, jobs.scratch(spark, "index"))
+    index = TextIndex(spark, jobs.scratch(spark, "index"), buckets=4)
     k = F.col("doc_id")
     index.update(t.select("doc_id", "text"), 0)
     index.update(t.where(k % 5 == 0).select("doc_id", F.reverse("text").alias("text")), 1)

@@ -135,7 +135,8 @@ def open_tickets_stream(spark: SparkSession, candidates: DataFrame, tickets_base
     def each(batch: DataFrame, batch_id: int):
         if sinks.committed(batch.sparkSession, tickets_base, batch_id):
             return
-        table = StateTable(batch.sparkSession, tickets_base, ["ticket_id"])
+        # with the log row: messages without a time have no id, and are still tickets of their own
+        table = StateTable(batch.sparkSession, tickets_base, ["ticket_id", "log_id"])
         existing = table.read()
         new = lifecycle.open_tickets(batch, None if existing is None else existing.select("thread_ts", "ticket_id"))
         table.upsert(cut_lineage(new), batch_id)

@@ -82,7 +82,7 @@ def create_tickets_batch(requests: DataFrame, batch_id: int, base: str, prefix:
     spark = requests.sparkSession
     if sinks.committed(spark, base, batch_id):
         return
-    table = StateTable(spark, base, ["ticket_id"])
+    table = StateTable(spark, base, ["ticket_id", "request_id"])  # a request without a time has no id
     last = table.extra().get("last_number", 0)
     tickets, _ = lifecycle.create_tickets(requests, prefix, last)
     tickets = cut_lineage(tickets)
