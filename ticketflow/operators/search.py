@@ -7,8 +7,10 @@ query block meets every corpus block once (queries and corpus never pass
 through the driver); a task scores one pair of blocks with numpy and carries
 a running top-k per query over the pairs it gets, so it emits k rows per query
 and task. K2 broadcasts the query terms with their weights, in chunks of a
-bounded number of (query, term) pairs, and each corpus partition carries a
-running top-k per query. A final window picks the global top-k.
+bounded number of (query, term) pairs; a document's terms are counted within its
+row, and each corpus partition carries a running top-k per query. A final window
+picks the global top-k. Very many short queries (``bm25_topk_short``) don't meet
+every document: those of the same common terms share one search for these.
 
 Scores are rounded to 9 decimals before anything is selected, and equal scores
 go to the smaller item id at every step, so neither batch sizes, partitions nor
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -26,13 +29,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketflow.session import cut_lineage, ship_package
+from ticketflow.session import cut_lineage, ship_package, small_batches
 
 RANK_DECIMALS = 9
 QUERY_BLOCK = 512            # queries of a block
 CORPUS_BLOCK = 4_096         # items of a block
 MAX_QUERY_TERMS = 2_000_000  # (query, term) pairs of one broadcast
 MAX_BROADCAST_TERMS = 500_000
+BATCH = 1_000                # documents that reach Python at once
+TRIPLES = 1_000_000          # (document, term, query) triples added up at once
+CELLS = 2_000_000            # of a table of scores, of term counts, or of dense weights
+DENSE = 16                   # a term of every DENSE-th query or more is weighed by a matrix product
+MET_AT_MOST = 1_000_000      # (query, document) pairs that a term of short queries brings together
 
 
 def _global_topk(partial: DataFrame, k: int, qid: str, item: str, score: str) -> DataFrame:
@@ -161,52 +169,176 @@ def tokens(text_col: str = "text", ngram: int = 0):
     return char_ngrams(F.regexp_replace(t, r"\s+", " "), ngram)
 
 
+def _plain(text_col: str, ngram: int) -> Column:
+    """The text that ``_split`` cuts into the tokens of ``tokens``."""
+    t = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    # tokens hold letters and digits only, so a blank can part them
+    return F.regexp_replace(t, TOKEN_SPLIT, " ") if ngram <= 0 else F.regexp_replace(t, r"\s+", " ")
+
+
+def _split(plain: str, ngram: int) -> list[str]:
+    if ngram <= 0:
+        return [w for w in plain.split(" ") if w]
+    return [plain[i:i + ngram] for i in range(len(plain) - ngram + 1)] or [plain]
+
+
+def _counted(docs: DataFrame, ngram: int, terms: dict[str, int]) -> DataFrame:
+    """(d, dl, ts, tfs) of (d, text): a document's length in tokens, and the numbers
+    and occurrences of those of its tokens that ``terms`` numbers. They are counted
+    within the row, so no (document, term) row is shuffled."""
+    spark = docs.sparkSession
+    small_batches(spark, BATCH)
+    bw = spark.sparkContext.broadcast(terms)
+
+    def count(batches):
+        number = bw.value
+        for pdf in batches:
+            lengths, ts, tfs = [], [], []
+            for text in pdf["text"]:
+                words = _split(text, ngram)
+                own = [(number[w], n) for w, n in Counter(words).items() if w in number]
+                lengths.append(len(words))
+                ts.append([t for t, _ in own])
+                tfs.append([n for _, n in own])
+            yield pd.DataFrame({"d": pdf["d"], "dl": lengths, "ts": ts, "tfs": tfs})
+
+    kind = docs.schema["d"].dataType.simpleString()
+    return docs.select("d", _plain("text", ngram).alias("text")).mapInPandas(count, f"d {kind}, dl int, ts array<int>, tfs array<int>")
+
+
+def term_counts(docs: DataFrame, ngram: int = 0) -> DataFrame:
+    """(doc_id, live, dl, own, tfs) of (doc_id, text): whether there is a text, its
+    length in tokens, its different tokens and how often each occurs."""
+    small_batches(docs.sparkSession, BATCH)
+
+    def count(batches):
+        for pdf in batches:
+            every = [_split(text, ngram) if live else [] for text, live in zip(pdf["text"], pdf["live"])]
+            counts = [Counter(words) for words in every]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "live": pdf["live"], "dl": [len(words) for words in every],
+                                "own": [list(c) for c in counts], "tfs": [list(c.values()) for c in counts]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.col("text").isNotNull().alias("live"), _plain("text", ngram).alias("text"))
+    return rows.mapInPandas(count, f"doc_id {kind}, live boolean, dl long, own array<string>, tfs array<long>")
+
+
+def numbered(counts: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """(d, dl, ts, tfs) of rows of ``term_counts``: of the tokens that ``terms`` numbers."""
+    spark = counts.sparkSession
+    small_batches(spark, BATCH)
+    bw = spark.sparkContext.broadcast(terms)
+
+    def keep(batches):
+        number = bw.value
+        for pdf in batches:
+            ts, tfs = [], []
+            for own, n in zip(pdf["own"], pdf["tfs"]):
+                pairs = [(number[w], m) for w, m in zip(own, n) if w in number]
+                ts.append([t for t, _ in pairs])
+                tfs.append([m for _, m in pairs])
+            yield pd.DataFrame({"d": pdf["doc_id"], "dl": pdf["dl"], "ts": ts, "tfs": tfs})
+
+    kind = counts.schema["doc_id"].dataType.simpleString()
+    return counts.select("doc_id", "dl", "own", "tfs").mapInPandas(keep, f"d {kind}, dl long, ts array<int>, tfs array<long>")
+
+
+def _merged(per_doc: DataFrame) -> tuple[DataFrame, int, float]:
+    """(per_doc, documents, average length): rows of one id and length are one document."""
+    heads = per_doc.groupBy(F.struct("d", "dl").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    n, avgdl, most = heads.agg(F.count(F.lit(1)), F.avg("k.dl"), F.max("n")).first()
+    if most and most > 1:
+        pairs = per_doc.select("d", "dl", F.explode(F.arrays_zip("ts", "tfs")).alias("e"))
+        summed = pairs.groupBy("d", "dl", F.col("e.ts").alias("t")).agg(F.sum("e.tfs").alias("tf"))
+        per_doc = cut_lineage(_gathered(summed))
+    return per_doc, int(n), float(avgdl or 0.0)
+
+
+def _gathered(postings: DataFrame) -> DataFrame:
+    """(d, dl, ts, tfs) of (d, dl, t, tf)."""
+    return (postings.groupBy("d", "dl").agg(F.collect_list(F.struct("t", "tf")).alias("p"))
+            .select("d", "dl", F.transform("p", lambda e: e["t"]).alias("ts"), F.transform("p", lambda e: e["tf"]).alias("tfs")))
+
+
+def _weights(qterms: DataFrame, dfreq: DataFrame, n_docs: int) -> DataFrame:
+    """(qid, term, w, df): idf times the query's occurrences, of terms that documents have."""
+    return (qterms.join(dfreq, "term")
+            .withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
+            .select("qid", "term", (F.col("idf") * F.col("qtf")).alias("w"), "df"))
+
+
 def _ranked_postings(qterms: DataFrame, postings: DataFrame, dfreq: DataFrame, n_docs: int, avgdl: float, k: int, schema: str,
                      k1: float, b: float) -> DataFrame | None:
     """The k best documents per query of every partition, from postings (d, dl,
     term, tf) and document frequencies; None where no query term occurs."""
     spark = postings.sparkSession
-    weights = (qterms.join(dfreq, "term")
-               .withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
-               .select("qid", "term", (F.col("idf") * F.col("qtf")).alias("w")))
-    wpdf = weights.toPandas()  # bounded by the chunk's (query, term) pairs
+    wpdf = _weights(qterms, dfreq, n_docs).toPandas()  # bounded by the chunk's (query, term) pairs
     if len(wpdf) == 0:
         return None
+    terms = {t: i for i, t in enumerate(sorted(wpdf["term"].unique().tolist()))}
+    tdict = spark.createDataFrame(pd.DataFrame({"term": list(terms), "t": np.arange(len(terms), dtype=np.int64)}))
+    hint = F.broadcast(tdict) if len(terms) <= MAX_BROADCAST_TERMS else tdict
+    per_doc = _gathered(postings.join(hint, "term").select("d", "dl", "t", "tf"))
+    return _ranked(wpdf, terms, per_doc, avgdl, k, schema, k1, b)
+
+
+def _ranked(wpdf: pd.DataFrame, terms: dict[str, int], per_doc: DataFrame, avgdl: float, k: int, schema: str, k1: float, b: float) -> DataFrame:
+    """The k best documents per query of every partition, from weights (qid, term,
+    w) and documents (d, dl, ts, tfs) whose terms ``terms`` numbers.
+
+    Terms of many queries are weighed by a product of two dense matrices of
+    bounded size, the others by adding up a bounded number of (document, term,
+    query) triples at once."""
+    spark = per_doc.sparkSession
+    small_batches(spark, BATCH)
     # sparse weights: the queries of term t are at qpos[ptr[t]:ptr[t + 1]]
     qids = sorted(wpdf["qid"].unique().tolist())
     at = {q: i for i, q in enumerate(qids)}
-    wpdf = wpdf.sort_values(["term", "qid"], kind="stable")
-    terms, first = np.unique(wpdf["term"].to_numpy(dtype=object), return_index=True)
-    sparse = (qids, np.append(first, len(wpdf)), np.array([at[x] for x in wpdf["qid"]], dtype=np.int64), wpdf["w"].to_numpy(dtype=np.float64))
-    bw = spark.sparkContext.broadcast(sparse)
-    tdict = spark.createDataFrame(pd.DataFrame({"term": terms, "t": np.arange(len(terms), dtype=np.int64)}))
-    hint = F.broadcast(tdict) if len(terms) <= MAX_BROADCAST_TERMS else tdict
-    per_doc = (postings.join(hint, "term")
-               .groupBy("d", "dl").agg(F.collect_list(F.struct("t", "tf")).alias("p"))
-               .select("d", "dl", F.transform("p", lambda e: e["t"]).alias("ts"),
-                       F.transform("p", lambda e: e["tf"]).alias("tfs")))
+    t = np.array([terms[x] for x in wpdf["term"]], dtype=np.int64)
+    qpos = np.array([at[x] for x in wpdf["qid"]], dtype=np.int64)
+    w = wpdf["w"].to_numpy(dtype=np.float64)
+    asked = np.bincount(t, minlength=len(terms))  # queries of a term
+    dense = np.argsort(-asked, kind="stable")[:CELLS // max(1, len(qids))]
+    dense = dense[(asked[dense] * DENSE >= len(qids)) & (asked[dense] > 1)]
+    place = np.full(len(terms), -1, dtype=np.int64)  # of a term in the dense weights
+    place[dense] = np.arange(len(dense))
+    table = np.zeros((len(dense), len(qids)))
+    some = place[t] >= 0
+    table[place[t[some]], qpos[some]] = w[some]
+    t, qpos, w = t[~some], qpos[~some], w[~some]
+    order = np.lexsort((qpos, t))
+    ptr = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(terms)))])
+    bw = spark.sparkContext.broadcast((qids, place, table, ptr, qpos[order], w[order]))
 
     def score(batches, bw=bw, avgdl=avgdl):
-        ids, ptr, qpos, w = bw.value
+        ids, place, table, ptr, qpos, w = bw.value
         top = _RunningTop(k)
-        rows_at_once = max(1, 2_000_000 // len(ids))  # cells of the score matrix
+        rows_at_once = max(1, CELLS // max(len(ids), len(table)))
         for pdf in batches:
-            pdf = pdf.sort_values("d", kind="stable")
+            pdf = pdf[pdf["ts"].map(len) > 0].sort_values("d", kind="stable")
             for j in range(0, len(pdf), rows_at_once):
                 some = pdf.iloc[j:j + rows_at_once]
-                lens = some["ts"].map(len).to_numpy()
-                doc = np.repeat(np.arange(len(some)), lens)
+                doc = np.repeat(np.arange(len(some)), some["ts"].map(len).to_numpy())
                 ts = np.concatenate(some["ts"].to_numpy()).astype(np.int64)
                 tf = np.concatenate(some["tfs"].to_numpy()).astype(np.float64)
                 norm = k1 * (1 - b + b * (some["dl"].to_numpy(dtype=np.float64) / avgdl if avgdl > 0 else 0.0))
                 v = tf * (k1 + 1) / (tf + norm[doc])
-                s = np.zeros(len(some) * len(ids))
+                at = place[ts]
+                often = at >= 0
+                x = np.zeros((len(some), len(table)))
+                x[doc[often], at[often]] = v[often]
+                s = (x @ table).ravel()
+                doc, ts, v = doc[~often], ts[~often], v[~often]
                 counts = ptr[ts + 1] - ptr[ts]
-                for p in range(0, len(ts), 20_000):  # a bounded number of (document, term, query) triples at once
-                    c = counts[p:p + 20_000]
+                upto = np.cumsum(counts)
+                p = 0
+                while p < len(ts):  # a bounded number of triples at once, one term of a document at least
+                    end = max(p + 1, int(np.searchsorted(upto, (upto[p - 1] if p else 0) + TRIPLES, side="right")))
+                    c = counts[p:end]
                     ends = np.cumsum(c)
-                    flat = np.arange(ends[-1]) - np.repeat(ends - c, c) + np.repeat(ptr[ts[p:p + 20_000]], c)
-                    np.add.at(s, np.repeat(doc[p:p + 20_000], c) * len(ids) + qpos[flat], w[flat] * np.repeat(v[p:p + 20_000], c))
+                    flat = np.arange(ends[-1]) - np.repeat(ends - c, c) + np.repeat(ptr[ts[p:end]], c)
+                    np.add.at(s, np.repeat(doc[p:end], c) * len(ids) + qpos[flat], w[flat] * np.repeat(v[p:end], c))
+                    p = end
                 s = np.round(s.reshape(len(some), len(ids)).T, RANK_DECIMALS)
                 s[s <= 0] = -np.inf  # no shared term: the document does not rank for that query
                 top.add_batch(ids, some["d"].to_numpy(dtype=object), s)
@@ -215,61 +347,127 @@ def _ranked_postings(qterms: DataFrame, postings: DataFrame, dfreq: DataFrame, n
     return per_doc.mapInPandas(score, schema)
 
 
+def _postings(d: DataFrame, term_set: DataFrame, ngram: int) -> tuple[DataFrame, int, float]:
+    """(postings (term, d, dl, tf), documents, average length) of (d, text), for the terms of ``term_set``."""
+    d = d.select("d", tokens("text", ngram).alias("toks"))
+    dl = F.size("toks").alias("dl")
+    kept = (d.select("d", dl, F.explode("toks").alias("term")).join(term_set, "term").select("term", "d", "dl")
+            .unionByName(d.select(F.lit(None).cast("string").alias("term"), "d", dl)))
+    # read three times (statistics, document frequencies, scoring): materialize once in the
+    # shared checkpoint folder instead of tokenizing the corpus again
+    postings = cut_lineage(kept.groupBy("d", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    stats = postings.where(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    return postings.where(F.col("term").isNotNull()), int(stats["n"]), float(stats["avgdl"] or 0.0)
+
+
+def _document_frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _asked_terms(queries: DataFrame, query_id: str, text: str, ngram: int) -> DataFrame:
+    return cut_lineage(queries.select(F.col(query_id).alias("qid"), F.explode(tokens(text, ngram)).alias("term"))
+                       .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "query_id",
               doc_id: str = "doc_id", text: str = "text", ngram: int = 0, k1: float = BM25_K1,
               b: float = BM25_B, max_pairs: int = MAX_QUERY_TERMS) -> DataFrame:
     """K2: exact BM25 top-k documents per query text.
 
-    Spark computes, for the query terms only: document frequencies, document
-    lengths and the corpus statistics (N, avgdl). Each document's matching
-    (term, tf) pairs are gathered per document (bounded by the number of
-    distinct query terms), scored in ``mapInPandas`` against the queries that
-    have the term, and only a running top-k per query leaves the partition.
+    For the query terms only: a document's (term, tf) pairs are counted within its
+    row (bounded by the number of distinct query terms); Spark sums document
+    frequencies and the corpus statistics (N, avgdl). Documents are scored in
+    ``mapInPandas`` against the queries that have the term, and only a running
+    top-k per query leaves the partition.
     idf = ln((N - df + 0.5) / (df + 0.5) + 1). Ids may be of any type that sorts.
 
     Queries are taken in chunks of about ``max_pairs`` (query, term) pairs, which
-    bounds the broadcast weights; each chunk is one more pass over the corpus.
+    bounds the broadcast weights; each chunk is one more pass over the corpus. A
+    chunk of more than ``MAX_BROADCAST_TERMS`` terms is joined with the documents' tokens.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    d = docs.select(F.col(doc_id).alias("d"), tokens(text, ngram).alias("toks"))
-    dl = F.size("toks").alias("dl")
-    all_terms = cut_lineage(queries.select(F.col(query_id).alias("qid"), F.explode(tokens(text, ngram)).alias("term"))
-                            .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    d = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text"))
+    all_terms = _asked_terms(queries, query_id, text, ngram)
     parts = max(1, math.ceil(all_terms.count() / max_pairs))
     kinds = dict(queries.dtypes)[query_id], dict(docs.dtypes)[doc_id]
     schema = f"query_id {kinds[0]}, item_id {kinds[1]}, score double"
     out = []
     for part in range(parts):
         qterms = all_terms.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
-        term_set = cut_lineage(qterms.select("term").distinct().withColumn("_q", F.lit(True)))
+        term_set = cut_lineage(qterms.select("term").distinct())
         if term_set.count() <= MAX_BROADCAST_TERMS:
-            # one pass over the corpus: every document emits its query-term occurrences plus one
-            # sentinel row (term NULL) carrying its length, for N and avgdl
-            exploded = d.select("d", dl, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("toks"))).alias("term"))
-            kept = exploded.join(F.broadcast(term_set), "term", "left").where(F.col("term").isNull() | F.col("_q"))
+            terms = {r["term"]: i for i, r in enumerate(term_set.collect())}
+            # read three times, as postings are below
+            per_doc, n_docs, avgdl = _merged(cut_lineage(_counted(d, ngram, terms)))
+            number = spark.createDataFrame(list(terms.items()), "term string, t int")
+            dfreq = per_doc.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(number), "t").select("term", "df")
+            wpdf = _weights(qterms, dfreq, n_docs).toPandas()  # bounded by the chunk's (query, term) pairs
+            found = _ranked(wpdf, terms, per_doc, avgdl, k, schema, k1, b) if len(wpdf) else None
         else:
-            kept = (d.select("d", dl, F.explode("toks").alias("term")).join(term_set, "term").select("term", "d", "dl")
-                    .unionByName(d.select(F.lit(None).cast("string").alias("term"), "d", dl)))
-        # read three times (statistics, document frequencies, scoring): materialize once in the
-        # shared checkpoint folder instead of tokenizing the corpus again
-        postings = cut_lineage(kept.groupBy("d", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-        stats = postings.where(F.col("term").isNull()).agg(
-            F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-        n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
-        postings = postings.where(F.col("term").isNotNull())
-        dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        found = _ranked_postings(qterms, postings, dfreq, n_docs, avgdl, k, schema, k1, b)
+            postings, n_docs, avgdl = _postings(d, term_set, ngram)
+            found = _ranked_postings(qterms, postings, _document_frequencies(postings), n_docs, avgdl, k, schema, k1, b)
         if found is not None:
             out.append(found)
     if not out:
         return spark.createDataFrame([], f"{query_id} {kinds[0]}, {doc_id} {kinds[1]}, score double, rank int")
     partial = reduce(lambda a, b_: a.unionByName(b_), out)
-    top = _global_topk(partial, k, "query_id", "item_id", "score")
+    return _named(_global_topk(partial, k, "query_id", "item_id", "score"), query_id, doc_id)
+
+
+def _named(top: DataFrame, query_id: str, doc_id: str) -> DataFrame:
     return top.select(F.col("query_id").alias(query_id), F.col("item_id").alias(doc_id),
                       F.col("score").alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+def bm25_topk_short(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "query_id", doc_id: str = "doc_id",
+                    text: str = "text", k1: float = BM25_K1, b: float = BM25_B, met_at_most: int = MET_AT_MOST) -> DataFrame:
+    """K2 for very many short queries over word tokens: the rows of ``bm25_topk``.
+
+    A term is common if its queries times its documents exceed ``met_at_most``.
+    Queries of the same common terms share one search for these. A query's rare
+    terms bring it the documents that have one, which are scored over all its
+    terms. No other document has more than its common terms give, and a document
+    among the k best that has no rare term is among the k best by the common ones:
+    what a rare term adds is above zero and moves only other documents up.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    d = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text"))
+    asked = _asked_terms(queries, query_id, text, 0)
+    postings, n_docs, avgdl = _postings(d, asked.select("term").distinct(), 0)
+    weights = _weights(asked, _document_frequencies(postings), n_docs)
+    often = asked.groupBy("term").agg((F.count(F.lit(1)) * F.lit(1.0)).alias("asked"))
+    weights = cut_lineage(weights.join(asked, ["qid", "term"]).join(often, "term")
+                          .select("qid", "term", "qtf", "w", "df", (F.col("asked") * F.col("df") > met_at_most).alias("common")))
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * (F.col("dl") / F.lit(avgdl) if avgdl > 0 else F.lit(0.0)))
+    gain = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
+    held = postings.select("term", F.struct("d", "dl").alias("doc"), gain.alias("gain"))
+    kinds = dict(queries.dtypes)[query_id], dict(docs.dtypes)[doc_id]
+
+    rare = weights.where(~F.col("common")).select("qid", "term")
+    met = rare.join(held, "term").select("qid", "doc").distinct()
+    full = (met.join(weights.select("qid", "term", "w"), "qid").join(held, ["doc", "term"])
+            .groupBy("qid", "doc").agg(F.round(F.sum(F.col("w") * F.col("gain")), RANK_DECIMALS).alias("score")))
+    full = cut_lineage(full.select(F.col("qid").alias("query_id"), F.col("doc.d").alias("item_id"), "score"))
+
+    # queries of equal common terms are one query, named by these
+    same = (weights.where("common").groupBy(F.struct("qid").alias("k")).agg(F.array_sort(F.collect_list(F.struct("term", "qtf"))).alias("terms"))
+            .select(F.col("k.qid").alias("query_id"), F.sha2(F.to_json("terms"), 256).alias("name"), "terms"))
+    same = cut_lineage(same)
+    once = same.groupBy("name").agg(F.first("terms").alias("terms")).select(F.col("name").alias("qid"), F.inline("terms"))
+    common = _ranked_postings(once, postings.join(once.select("term").distinct(), "term"), _document_frequencies(postings), n_docs, avgdl, k,
+                              f"query_id string, item_id {kinds[1]}, score double", k1, b)
+    both = full
+    if common is not None:
+        best = _global_topk(common, k, "query_id", "item_id", "score").select(F.struct("item_id", "score").alias("r"), F.col("query_id").alias("name"))
+        shared = best.groupBy(F.struct("name").alias("k")).agg(F.collect_list("r").alias("rows")).select(F.col("k.name").alias("name"), "rows")
+        by_common = same.select("query_id", "name").join(shared, "name").select("query_id", F.inline("rows"))
+        both = full.unionByName(by_common.join(full.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_anti")
+                                .select("query_id", "item_id", "score"))
+    return _named(_global_topk(both.where("score > 0"), k, "query_id", "item_id", "score"), query_id, doc_id)
+
+
 # ---------------------------------------------------------------- K3
 
 RRF_K = 60
@@ -333,7 +531,7 @@ def find_asset(tickets: DataFrame, assets: DataFrame, search_text: Column, k: in
 
     ticket_id, asset_id, asset_type, asset_rank, found_by (owner or text).
     Unmatched tickets are searched once per different search text, however many
-    share it. A ticket whose text shares no term with an active asset has no row.
+    share it, and texts of the same common words (a place) share their search. A ticket whose text shares no term with an active asset has no row.
     """
     owned = cut_lineage(match_asset(tickets, assets, k, by))
     left = tickets.join(owned.select("ticket_id"), "ticket_id", "left_anti").select("ticket_id", search_text.alias("text"))

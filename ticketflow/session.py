@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """Bound the Arrow batches that reach Python workers to ``rows`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` as a table of its own in the shared checkpoint folder: compressed
+    columns, where a checkpoint writes rows as they lie in memory. ``unstage`` deletes it."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote and that nothing reads any more."""
+    for df in staged:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _SHIPPED: set = set()
 
 
@@ -73,7 +97,6 @@ def ship_package(spark: SparkSession) -> None:
     shared checkpoint folder through the Hadoop FileSystem API, ``addPyFile`` it.
     Once per application."""
     import io
-    import uuid
     import zipfile
 
     sc = spark.sparkContext
