@@ -539,7 +539,7 @@ def find_asset(tickets: DataFrame, assets: DataFrame, search_text: Column, k: in
     # a query is named by its text; its tickets come back by a join that can be split
     queries = asked.select("text").distinct().select(F.col("text").alias("query_id"), "text")
     active = assets.where(F.col("status") == "ACTIVE").select("asset_id", F.col("asset_text").alias("text"))
-    found = bm25_topk(queries, active, k, doc_id="asset_id")
+    found = bm25_topk_short(queries, active, k, doc_id="asset_id")
     per_text = (found.join(assets.select("asset_id", "asset_type"), "asset_id")
                 .groupBy(F.struct("query_id").alias("_k")).agg(F.collect_list(F.struct("asset_id", "asset_type", F.col("rank").alias("asset_rank"))).alias("_assets"))
                 .select(F.col("_k.query_id").alias("text"), "_assets"))
