@@ -18,13 +18,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ticketflow.session import cut_lineage
+from ticketflow.session import cut_lineage, stage, unstage
 from .common import Staged, fresh, prepare, text_bytes
 
 TOPICS = 8
 DIMS = 512           # of the hashed vectors that topics are found by
-TOPIC_SAMPLE = 2_000  # different texts that topics are fitted on at most
 TOPIC_ROUNDS = 20
+TEXTS_OF_A_BLOCK = 1_024  # vectors that a row of the fitted table holds
+UNIT = 1 << 30   # steps of a component in the sums of vectors, which are whole numbers: the same in any order
 DRIVER_CELLS = 200_000
 SWEEPS = 200     # after which raking also ends when a further 100 sweeps halve its movement no more: the targets can't be met
 TOLERANCE = 1e-9
@@ -48,39 +49,132 @@ class Topics:
         at = np.fromiter((crc32(w) % DIMS for w in n), dtype=np.int64, count=len(n))
         return np.bincount(at, np.log1p(np.fromiter(n.values(), dtype=float, count=len(n))), DIMS)
 
+    def nearest(self, counts: np.ndarray) -> int:
+        """The topic of a text by its counts."""
+        return int((self.centres @ (counts * self.idf)).argmax()) if len(self.centres) else 0
+
     def of(self, data: bytes) -> tuple[int, int]:
         """(words, topic) of a text; ties and texts without words go to the least topic."""
         words = data.lower().split()
-        if not words or not len(self.centres):
-            return len(words), 0
-        return len(words), int((self.centres @ (self.counts(words) * self.idf)).argmax())
+        return len(words), self.nearest(self.counts(words)) if words else 0
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """A vector's places other than zero, then its values there."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<f8").tobytes()
+
+
+def _unpacked(v: bytes) -> np.ndarray:
+    n, out = len(v) // 10, np.zeros(DIMS)
+    out[np.frombuffer(v, "<u2", n)] = np.frombuffer(v, "<f8", n, 2 * n)
+    return out
+
+
+def _vectors(docs: DataFrame, text_col: str, *others: str) -> DataFrame:
+    """(others, h, s, mass, v), staged: two hashes of the text, its words and an end
+    token, and its packed counts. Texts are read once for the topics and the cells."""
+    @F.pandas_udf("mass long, v binary")
+    def of(s: pd.Series) -> pd.DataFrame:
+        words = [bytes(x).lower().split() for x in s]
+        return pd.DataFrame({"mass": [len(w) + 1 for w in words], "v": [_packed(Topics.counts(w)) for w in words]})
+
+    data = docs.select(*others, text_bytes(text_col).alias("_data"))
+    made = data.select(*others, F.xxhash64("_data").alias("h"), F.sha2("_data", 256).alias("s"), of.asNondeterministic()("_data").alias("a"))
+    return stage(made.select(*others, "h", "s", "a.mass", "a.v"))
 
 
-def fit_topics(docs: DataFrame, text_col: str, topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
-    """Directions fitted on at most ``sample`` different texts, those of the least
-    hash: spherical k-means, started from those of the least hashes of all.
-    Every document is then assigned."""
+def fit_topics(docs: DataFrame, text_col: str, topics: int = TOPICS) -> Topics:
+    """Directions fitted on all different texts: spherical k-means, started from
+    the texts of the least hashes."""
     prepare(docs.sparkSession)
-    data = docs.where(F.col(text_col).isNotNull()).select(text_bytes(text_col).alias("data")).withColumn("h", F.xxhash64("data"))
-    share = min(1.0, 2.0 * sample / max(1, docs.count()))  # about twice the sample passes the first cut
-    some = data.where(uniform(7, F.col("h")) < share).distinct().orderBy("h", "data").limit(sample)
-
-    @F.pandas_udf("array<float>")
-    def vector(s: pd.Series) -> pd.Series:
-        return pd.Series([Topics.counts(bytes(x).lower().split()) for x in s])
-
-    rows = some.select("h", "data").withColumn("v", vector("data")).select("h", "v").collect()  # at most sample vectors of DIMS numbers
-    x = np.array([r["v"] for r in sorted(rows, key=lambda r: r["h"])]).reshape(-1, DIMS)
-    x = x[x.any(axis=1)]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))
-    x = x * idf
-    x = x[x.any(axis=1)]
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    centres = unit[:topics]  # in the order of the hashes: some texts of the corpus
+    vectors = _vectors(docs, text_col)
+    out = _fit(vectors, topics)
+    unstage(vectors)
+    return out
+
+
+def _fit(vectors: DataFrame, topics: int) -> Topics:
+    """``fit_topics`` from the table of ``_vectors``: each round is a pass of Spark
+    over the different texts' vectors, of which the driver gets the sums."""
+    def pack(batches):
+        for pdf in batches:
+            for j in range(0, len(pdf), TEXTS_OF_A_BLOCK):
+                some = pdf.iloc[j:j + TEXTS_OF_A_BLOCK]
+                sizes = np.array([len(v) // 10 for v in some["v"]])
+                at = b"".join(v[:2 * n] for v, n in zip(some["v"], sizes))
+                values = b"".join(v[2 * n:] for v, n in zip(some["v"], sizes))
+                yield pd.DataFrame({"h": [some["h"].to_numpy()], "s": [some["s"].tolist()], "sizes": [sizes], "at": [at], "v": [values]})
+
+    # one vector per text; copies are combined before the exchange
+    once = vectors.where(F.length("v") > 0).groupBy("h", "s").agg(F.first("v").alias("v"))
+    blocks = stage(once.mapInPandas(pack, "h array<long>, s array<string>, sizes array<long>, at binary, v binary"))
+
+    def places(b) -> np.ndarray:
+        return np.frombuffer(b["at"], "<u2").astype(np.int64)
+
+    def occurrences(batches):
+        n, total = np.zeros(DIMS, dtype=np.int64), 0
+        for pdf in batches:
+            for b in pdf.to_dict("records"):
+                n += np.bincount(places(b), minlength=DIMS)
+                total += len(b["sizes"])
+        yield pd.DataFrame({"at": np.arange(-1, DIMS), "n": np.concatenate([[total], n])})
+
+    def added(df: DataFrame, *by: str) -> dict:
+        return {tuple(r[c] for c in by): r["n"] for r in df.groupBy(*by).agg(F.sum("n").alias("n")).collect()}
+
+    found = added(blocks.mapInPandas(occurrences, "at long, n long"), "at")
+    texts = found.get((-1,), 0)
+    idf = np.log((1 + texts) / (1 + np.array([found.get((k,), 0) for k in range(DIMS)])))
+
+    def units(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, value) of a block's unit vectors; a text of nothing but words that all texts have has none."""
+        at = places(b)
+        row = np.repeat(np.arange(len(b["sizes"])), b["sizes"])
+        value = np.frombuffer(b["v"], "<f8") * idf[at]
+        norm = np.sqrt(np.bincount(row, value * value, len(b["sizes"])))
+        some = norm[row] > 0
+        return row[some], at[some], value[some] / norm[row[some]]
+
+    def first(batches):
+        best: list = []
+        for pdf in batches:
+            for b in pdf.to_dict("records"):
+                row, at, value = units(b)
+                have = np.unique(row)
+                least = sorted(have.tolist(), key=lambda r: (b["h"][r], b["s"][r]))[:topics]
+                for r in least:
+                    x = np.zeros(DIMS)
+                    x[at[row == r]] = value[row == r]
+                    best.append((b["h"][r], b["s"][r], x.tolist()))
+                best = sorted(best, key=lambda e: e[:2])[:topics]
+        yield pd.DataFrame(best, columns=["h", "s", "x"])
+
+    start = blocks.mapInPandas(first, "h long, s string, x array<double>").orderBy("h", "s").limit(topics).collect()
+    centres = np.array([r["x"] for r in start]).reshape(-1, DIMS)
     for _ in range(TOPIC_ROUNDS if len(centres) else 0):
-        of = (unit @ centres.T).argmax(axis=1)
-        moved = np.stack([unit[of == k].sum(axis=0) if (of == k).any() else centres[k] for k in range(len(centres))])
-        centres = moved / np.linalg.norm(moved, axis=1, keepdims=True)
+        def assign(batches, centres=centres):
+            sums = np.zeros(len(centres) * DIMS, dtype=np.int64)
+            for pdf in batches:
+                for b in pdf.to_dict("records"):
+                    row, at, value = units(b)
+                    x = np.zeros((len(b["sizes"]), DIMS))
+                    x[row, at] = value
+                    of = np.round(x @ centres.T, 12).argmax(axis=1)
+                    sums += np.bincount(of[row] * DIMS + at, np.rint(value * UNIT), len(sums)).astype(np.int64)
+            some = np.flatnonzero(sums)
+            yield pd.DataFrame({"topic": some // DIMS, "at": some % DIMS, "n": sums[some]})
+
+        sums = np.zeros(centres.shape)
+        for (topic, at), n in added(blocks.mapInPandas(assign, "topic long, at long, n long"), "topic", "at").items():
+            sums[topic, at] = n
+        moved = np.where(sums.any(axis=1, keepdims=True), sums, centres)
+        moved = moved / np.linalg.norm(moved, axis=1, keepdims=True)
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    unstage(blocks)
     return Topics(idf, centres)
 
 
@@ -318,9 +412,15 @@ def _weighted(docs: DataFrame, source: str, lang: str, text: str, powers: tuple,
     """(docs with a struct of mass and topic and one of ratio and probability, their names)."""
     prepare(docs.sparkSession)
     at, cell = fresh(docs, "_at"), fresh(docs, "_cell")
-    topics = fit_topics(docs, text)
-    cells = cut_lineage(docs.select(F.col(source).alias("source"), F.col(lang).alias("lang"), describe_column(text_bytes(text), topics).alias("a"))
-                        .groupBy("source", "lang", F.col("a.topic").alias("topic")).agg(F.sum("a.mass").alias("mass")))
+    vectors = _vectors(docs.select(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(text).alias("_text")), "_text", "source", "lang")
+    topics = _fit(vectors, TOPICS)
+
+    @F.pandas_udf("int")
+    def topic(v: pd.Series) -> pd.Series:
+        return pd.Series([topics.nearest(_unpacked(x)) if len(x) else 0 for x in v], dtype="int32")
+
+    cells = cut_lineage(vectors.select("source", "lang", "mass", topic.asNondeterministic()("v").alias("topic")).groupBy("source", "lang", "topic").agg(F.sum("mass").alias("mass")))
+    unstage(vectors)
     for pull in PULLS if targets_first else PULLS[:1]:
         margins = {c: tempered(cells, c, 1 - (1 - p) * pull, keep) for c, p in zip(("source", "lang", "topic"), powers)}
         raked = rake_cells(cells, margins, keep, targets_first=targets_first)
