@@ -10,6 +10,10 @@ missed with the probability that ``miss_probability`` states.
 A bucket of many classes that are not alike (they share some common passage) is
 split by further bands of more rows; one that stays big after that holds texts
 that are alike, and is compared in blocks, spread over the cluster.
+
+Near copies share most of their bands. A bucket is therefore held as ids only, its
+classes once for all bands that bring the same ones together, and a small one as
+pairs of ids, each compared once: shingles travel per pair or set, not per band.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 4            # first bands
 MORE_BANDS, MORE_ROWS = 64, 8  # bands that split a big bucket
 BIG = 1_000                    # classes of a bucket that is compared at once, and of a block
+FEW = 16                       # classes of a bucket whose pairs are listed by id
 
 
 def miss_probability(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -76,7 +81,7 @@ def _classes(docs: DataFrame, id_col: str, text: str, words: int) -> tuple[DataF
 
 
 def _banded(classes: DataFrame, bands: int, rows: int, salt: int) -> DataFrame:
-    """(band, key, class_id, shingles) of every bucket with two classes or more, and its size n."""
+    """(band, key, class_id) of every bucket with two classes or more, and its size n."""
     @F.pandas_udf("array<long>")
     def keys(shingles: pd.Series) -> pd.Series:
         return pd.Series([band_keys(np.asarray(s), bands, rows, salt) for s in shingles])
@@ -84,7 +89,41 @@ def _banded(classes: DataFrame, bands: int, rows: int, salt: int) -> DataFrame:
     keyed = cut_lineage(classes.select("class_id", F.posexplode(keys("shingles")).alias("band", "key")))
     shared = (keyed.groupBy(F.struct("band", "key").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
               .select(F.col("k.band").alias("band"), F.col("k.key").alias("key"), "n"))
-    return keyed.join(shared, ["band", "key"]).join(classes, "class_id")
+    return cut_lineage(keyed.join(shared, ["band", "key"]))
+
+
+def _sets(buckets: DataFrame) -> DataFrame:
+    """(members, one): the classes of buckets of at most ``BIG``, once for all
+    buckets that hold the same ones, and the band and key of one of them."""
+    sets = (buckets.where(F.col("n") <= BIG).groupBy(F.struct("band", "key").alias("one"))
+            .agg(F.array_sort(F.collect_list("class_id")).alias("members")))
+    return cut_lineage(sets.groupBy("members").agg(F.min("one").alias("one")))
+
+
+def _listed_pairs(sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b, of the pairs of small sets, each compared once."""
+    m = F.col("members")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(m) - 1), lambda i: F.transform(
+        F.slice(m, i + 1, F.size(m)), lambda b: F.struct(F.element_at(m, i).alias("a"), b.alias("b")))))
+    listed = sets.where(F.size(m) <= FEW).select(F.inline(pairs)).distinct()
+    one = classes.select(F.col("class_id").alias("a"), F.col("shingles").alias("x"))
+    two = classes.select(F.col("class_id").alias("b"), F.col("shingles").alias("y"))
+    both = listed.join(one, "a").join(two, "b")
+    # sets whose sizes alone keep them below the threshold aren't compared
+    n, m = F.size("x"), F.size("y")
+    both = both.where(F.least(n, m) >= F.floor(F.greatest(n, m) * F.lit(threshold)))
+    shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("k"))
+    return (shared.select("a", "b", (F.col("k") / (F.col("n") - F.col("k")).cast("double")).alias("similarity"))
+            .where(F.col("similarity") >= threshold))
+
+
+def _bucket_pairs(buckets: DataFrame, classes: DataFrame, threshold: float, split_big: bool) -> DataFrame:
+    """(a, b, similarity) of the pairs of buckets, those of more than ``BIG`` classes left out with ``split_big``."""
+    sets = _sets(buckets)
+    larger = sets.where(F.size("members") > FEW).select("one.band", "one.key", F.size("members").cast("long").alias("n"), F.explode("members").alias("class_id"))
+    if not split_big:
+        larger = larger.unionByName(buckets.where(F.col("n") > BIG).select("band", "key", "n", "class_id"))
+    return _listed_pairs(sets, classes, threshold).unionByName(_pairs_in(larger.join(classes, "class_id"), threshold))
 
 
 def alike(shingles: list[np.ndarray], others: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,12 +194,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     ship_package(docs.sparkSession)
     members, classes = _classes(docs, id_col, text, words)
     members, classes = cut_lineage(members), cut_lineage(classes)
-    buckets = cut_lineage(_banded(classes, BANDS, ROWS, 1))
-    pairs = _pairs_in(buckets.where(F.col("n") <= BIG), threshold)
+    buckets = _banded(classes, BANDS, ROWS, 1)
+    pairs = _bucket_pairs(buckets, classes, threshold, split_big=True)
     big = buckets.where(F.col("n") > BIG).select("class_id").distinct()
     if big.head(1):
         further = _banded(classes.join(big, "class_id", "left_semi"), MORE_BANDS, MORE_ROWS, 2)
-        pairs = pairs.unionByName(_pairs_in(further, threshold))
+        pairs = pairs.unionByName(_bucket_pairs(further, classes, threshold, split_big=False))
     pairs = cut_lineage(pairs.distinct())
     roots = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     groups = members.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select(
