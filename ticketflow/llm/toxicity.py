@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ticketflow.session import cut_lineage
-from .common import held_out, prepare, sampled_texts, text_bytes, train_label_rows
+from .common import held_out, parts_for, prepare, sampled_texts, text_bytes, train_label_rows
 
 # Labelled rows the model is fitted on, at most (those of smallest id hash).
 MAX_TRAIN_ROWS = 12_000
@@ -31,6 +31,7 @@ MIN_RATIO = 7.5         # log likelihood ratio: chance terms of a small sample s
 PREFIXES = (4, 5, 6, 7)
 NEAR = 6                # words within which a second person counts as near
 TREES, DEPTH = 30, 3
+ROWS_PER_TASK = 1_000   # training rows: every level of every tree is a job with a shuffle, whose files follow its tasks
 THRESHOLD = 0.3
 
 # Second-person words of the four languages (fixed values).
@@ -170,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         model.lexicon = learn_lexicon(rows.where(other).select("label", "text"))
         part = rows.where(own).select(label, model.features(F.col("text")).alias("f"))
         train = part if train is None else train.union(part)
-    train = cut_lineage(train)
+    # the few rows may lie in as many partitions as the session shuffles into
+    train = cut_lineage(train).coalesce(parts_for(docs.sparkSession, n, ROWS_PER_TASK))
     model.lexicon = learn_lexicon(rows.where("part < 8").select("label", "text"))
     held = cut_lineage(rows.where("part >= 8").select(label, model.features(F.col("text")).alias("f")))
     if any(df.select("label").distinct().count() < 2 for df in (train, held)):
