@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
@@ -15,17 +17,19 @@ TRAIN_ROWS = 20_000  # labelled rows a category model is fitted on at most
 FEATURES = 1 << 16
 
 
-def find_names(messages: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str = "name") -> DataFrame:
-    """(id, name): for each message the name of the dictionary that it holds, or null.
+def _named(messages: DataFrame, dictionaries: dict[str, DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """(id, a column per dictionary): the name of each dictionary (name) that a
+    message holds, of messages that hold any; one row per id.
 
-    Messages and names are split into the same word tokens; a name matches where
-    its tokens stand in a row. The longest match wins (in tokens), then the first
-    one, then the least name. The match is an equi-join of the messages' token
-    n-grams, of the lengths that names have, with the dictionary; an n-gram that
-    a message repeats joins once.
+    The messages are split into tokens and n-grams once for all dictionaries. An
+    n-gram is joined with the names that read so, once however often it stands in a
+    message; the best match of a dictionary is a minimum per message.
     """
-    dictionary = cut_lineage(names.select(F.col(name_col).alias("name"), tokens(name_col).alias("t")).where(F.size("t") > 0)
-                             .groupBy(F.array_join("t", " ").alias("gram"), F.size("t").alias("n")).agg(F.min("name").alias("name")))
+    every = reduce(lambda a, b: a.unionByName(b), [d.select(F.lit(c).alias("of"), "name") for c, d in dictionaries.items()])
+    least = (every.select("of", "name", tokens("name").alias("t")).where(F.size("t") > 0)
+             .groupBy("of", F.array_join("t", " ").alias("gram"), F.size("t").alias("n")).agg(F.min("name").alias("name")))
+    # one row per n-gram, with its name in each dictionary
+    dictionary = cut_lineage(least.groupBy("gram", "n").agg(*[F.min(F.when(F.col("of") == c, F.col("name"))).alias(c) for c in dictionaries]))
     lengths = sorted(r[0] for r in dictionary.select("n").distinct().collect())  # the few token counts that names have
     words = messages.select(F.col(id_col).alias("id"), tokens(text_col).alias("t"))
     none = F.array().cast("array<struct<n:int,at:int,gram:string>>")
@@ -36,23 +40,54 @@ def find_names(messages: DataFrame, names: DataFrame, id_col: str, text_col: str
             F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("t", i, n), " ").alias("gram")))
         return F.when(F.size("t") >= n, made).otherwise(none)
 
-    first = words.select("id", F.inline(F.concat(none, *[grams(n) for n in lengths]))).groupBy("id", "n", "gram").agg(F.min("at").alias("at"))
-    best = (first.join(dictionary, ["n", "gram"]).groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "at", "name")).alias("m"))
-            .select("id", F.col("m.name").alias("name")))
+    met = words.select("id", F.inline(F.concat(none, *[grams(n) for n in lengths]))).join(dictionary, ["n", "gram"])
+    best = [F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col("n")).alias("n"), "at", F.col(c).alias("name")))).alias(c) for c in dictionaries]
+    return met.groupBy(F.struct("id").alias("k")).agg(*best).select(F.col("k.id").alias("id"), *[F.col(f"{c}.name").alias(c) for c in dictionaries])
+
+
+def find_names(messages: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str = "name") -> DataFrame:
+    """(id, name): for each message the name of the dictionary that it holds, or null.
+
+    Messages and names are split into the same word tokens; a name matches where
+    its tokens stand in a row. The longest match wins (in tokens), then the first
+    one, then the least name. The match is an equi-join of the messages' token
+    n-grams, of the lengths that names have, with the dictionary.
+    """
+    best = _named(messages, {"name": names.select(F.col(name_col).alias("name"))}, id_col, text_col)
     return messages.select(F.col(id_col).alias("id")).join(best, "id", "left").select(F.col("id").alias(id_col), "name")
 
 
 def extract_people_and_places(messages: DataFrame, employees: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Reporter, department and location that a message names, each null where
-    it names none; a department or location it doesn't name is the reporter's own."""
-    found = messages.select(id_col)
-    for column, source in (("reporter_name", "employee_name"), ("department", "department"), ("location", "location")):
-        names = employees.select(F.col(source).alias("name")).where(F.col("name").isNotNull()).distinct()
-        found = found.join(find_names(messages, names, id_col, text_col).withColumnRenamed("name", column), id_col)
+    it names none; a department or location it doesn't name is the reporter's own.
+    Messages without an id give no row."""
+    sources = {"reporter_name": "employee_name", "department": "department", "location": "location"}
+    names = {c: employees.select(F.col(s).alias("name")).where(F.col("name").isNotNull()).distinct() for c, s in sources.items()}
+    best = _named(messages.where(F.col(id_col).isNotNull()), names, id_col, text_col)
+    # an id of n messages gives each of them once per message and kind of name
+    ids = messages.where(F.col(id_col).isNotNull()).groupBy(F.struct(F.col(id_col).alias("id")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    times = F.col("n") * F.col("n") * F.col("n") * F.col("n")
+    found = ids.select(F.col("k.id").alias("id"), F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_")).drop("_").join(best, "id", "left")
     own = (employees.groupBy(F.struct("employee_name").alias("k")).agg(F.min(F.struct("employee_id", "department", "location")).alias("e"))
            .select(F.col("k.employee_name").alias("reporter_name"), F.col("e.department").alias("_department"), F.col("e.location").alias("_location")))
     return found.join(own, "reporter_name", "left").select(
-        id_col, "reporter_name", F.coalesce("department", "_department").alias("department"), F.coalesce("location", "_location").alias("location"))
+        F.col("id").alias(id_col), "reporter_name", F.coalesce("department", "_department").alias("department"), F.coalesce("location", "_location").alias("location"))
+
+
+def _last_of_least(ids: DataFrame, rows: int):
+    """The last (h, id) of the ``rows`` least different ones; None where no more
+    than these are there. Hashes are even over their range, so all but about twice
+    as many rows are left aside by a bound on the hash before anything is sorted;
+    a bound that leaves too few is dropped."""
+    ids = cut_lineage(ids.distinct())
+    n = ids.count()
+    if n <= rows:
+        return None
+    bound = int(min(1.0, (2.0 * rows + 100) / n) * (1 << 64)) - (1 << 63)
+    some = ids.where(F.col("h") < F.lit(bound)) if bound < (1 << 63) else ids
+    if some.count() < rows:
+        some = ids
+    return some.orderBy("h", "id").limit(rows).orderBy(F.desc("h"), F.desc("id")).first()
 
 
 def learn_category(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = TRAIN_ROWS):
@@ -62,9 +97,13 @@ def learn_category(labelled: DataFrame, id_col: str, text_col: str, label_col: s
     Fitted on at most ``max_rows`` rows with a text and a label, those of the
     least hash of the id; one row per id, that of the least label and text.
     """
-    sample = (labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
-              .agg(F.min(F.struct(F.col(label_col).alias("y"), F.col(text_col).alias("x"))).alias("r"))
-              .orderBy(F.xxhash64("id"), "id").limit(max_rows).select("r.*"))
+    usable = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.struct(F.col(label_col).alias("y"), F.col(text_col).alias("x")).alias("r"))
+    last = _last_of_least(usable.select("h", "id"), max_rows)
+    if last is not None:
+        usable = usable.where(F.struct("h", "id") <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["id"]).alias("id")))
+    # only the chosen rows' texts are grouped, and they stay spread over the cluster
+    sample = usable.groupBy("h", "id").agg(F.min("r").alias("r")).select("r.*")
     sample = cut_lineage(sample.select("y", tokens("x").alias("words")))
     classes = [r[0] for r in sample.select("y").distinct().orderBy("y").limit(1_000).collect()]
     if not classes:
