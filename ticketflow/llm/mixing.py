@@ -16,6 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ticketflow.session import cut_lineage, stage, unstage
@@ -24,7 +25,7 @@ from .common import Staged, fresh, prepare, text_bytes
 TOPICS = 8
 DIMS = 512           # of the hashed vectors that topics are found by
 TOPIC_ROUNDS = 20
-TEXTS_OF_A_BLOCK = 1_024  # vectors that a row of the fitted table holds
+PACKED = ["at", "runs", "values"]  # columns of ``_packed``
 UNIT = 1 << 30   # steps of a component in the sums of vectors, which are whole numbers: the same in any order
 DRIVER_CELLS = 200_000
 SWEEPS = 200     # after which raking also ends when a further 100 sweeps halve its movement no more: the targets can't be met
@@ -46,7 +47,7 @@ class Topics:
     def counts(words: list[bytes]) -> np.ndarray:
         """log(1 + occurrences) of a text's words, added up by the CRC-32 of the word modulo the dimensions."""
         n = Counter(words)
-        at = np.fromiter((crc32(w) % DIMS for w in n), dtype=np.int64, count=len(n))
+        at = np.fromiter(map(crc32, n), dtype=np.int64, count=len(n)) % DIMS
         return np.bincount(at, np.log1p(np.fromiter(n.values(), dtype=float, count=len(n))), DIMS)
 
     def nearest(self, counts: np.ndarray) -> int:
@@ -59,29 +60,48 @@ class Topics:
         return len(words), self.nearest(self.counts(words)) if words else 0
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """A vector's places other than zero, then its values there."""
-    at = np.flatnonzero(counts)
-    return at.astype("<u2").tobytes() + counts[at].astype("<f8").tobytes()
+def _packed(counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A vector's places other than zero by their value, at how many of them each value stands, and the values."""
+    at = counts.nonzero()[0]
+    value = counts[at]
+    order = value.argsort(kind="stable")
+    value = value[order]
+    last = np.ones(len(at), dtype=bool)
+    np.not_equal(value[1:], value[:-1], out=last[:-1])
+    ends = np.concatenate([[-1], last.nonzero()[0]])
+    return at[order].astype("<u2").tobytes(), (ends[1:] - ends[:-1]).astype("<u2").tobytes(), value[last].tobytes()
 
 
-def _unpacked(v: bytes) -> np.ndarray:
-    n, out = len(v) // 10, np.zeros(DIMS)
-    out[np.frombuffer(v, "<u2", n)] = np.frombuffer(v, "<f8", n, 2 * n)
+def _entries(at: pa.Array, runs: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of the entries of packed vectors, row by row."""
+    def joined(a: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        a = a.cast(pa.large_binary())
+        ends = np.frombuffer(a.buffers()[1], "<i8")[a.offset:a.offset + len(a) + 1] // np.dtype(kind).itemsize
+        return np.frombuffer(a.buffers()[2], kind, ends[-1])[ends[0]:], ends[1:] - ends[:-1]
+
+    places, sizes = joined(at, "<u2")
+    return np.repeat(np.arange(len(at)), sizes), places.astype(np.int64), np.repeat(joined(values, "<f8")[0], joined(runs, "<u2")[0])
+
+
+def _unpacked(v: tuple) -> np.ndarray:
+    out = np.zeros(DIMS)
+    if len(v):
+        at, runs, values = v
+        out[np.frombuffer(at, "<u2")] = np.repeat(np.frombuffer(values, "<f8"), np.frombuffer(runs, "<u2"))
     return out
 
 
 def _vectors(docs: DataFrame, text_col: str, *others: str) -> DataFrame:
-    """(others, h, s, mass, v), staged: two hashes of the text, its words and an end
-    token, and its packed counts. Texts are read once for the topics and the cells."""
-    @F.pandas_udf("mass long, v binary")
+    """(others, h, s, mass, at, runs, values), staged: two hashes of the text, its words
+    and an end token, and its packed counts. Texts are read once for the topics and the cells."""
+    @F.pandas_udf("mass long, at binary, runs binary, values binary")
     def of(s: pd.Series) -> pd.DataFrame:
         words = [bytes(x).lower().split() for x in s]
-        return pd.DataFrame({"mass": [len(w) + 1 for w in words], "v": [_packed(Topics.counts(w)) for w in words]})
+        return pd.DataFrame([(len(w) + 1, *_packed(Topics.counts(w))) for w in words], columns=["mass", *PACKED])
 
     data = docs.select(*others, text_bytes(text_col).alias("_data"))
     made = data.select(*others, F.xxhash64("_data").alias("h"), F.sha2("_data", 256).alias("s"), of.asNondeterministic()("_data").alias("a"))
-    return stage(made.select(*others, "h", "s", "a.mass", "a.v"))
+    return stage(made.select(*others, "h", "s", "a.*"))
 
 
 def fit_topics(docs: DataFrame, text_col: str, topics: int = TOPICS) -> Topics:
@@ -94,90 +114,92 @@ def fit_topics(docs: DataFrame, text_col: str, topics: int = TOPICS) -> Topics:
     return out
 
 
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], list(columns))
+
+
 def _fit(vectors: DataFrame, topics: int) -> Topics:
     """``fit_topics`` from the table of ``_vectors``: each round is a pass of Spark
     over the different texts' vectors, of which the driver gets the sums."""
-    def pack(batches):
-        for pdf in batches:
-            for j in range(0, len(pdf), TEXTS_OF_A_BLOCK):
-                some = pdf.iloc[j:j + TEXTS_OF_A_BLOCK]
-                sizes = np.array([len(v) // 10 for v in some["v"]])
-                at = b"".join(v[:2 * n] for v, n in zip(some["v"], sizes))
-                values = b"".join(v[2 * n:] for v, n in zip(some["v"], sizes))
-                yield pd.DataFrame({"h": [some["h"].to_numpy()], "s": [some["s"].tolist()], "sizes": [sizes], "at": [at], "v": [values]})
-
     # one vector per text; copies are combined before the exchange
-    once = vectors.where(F.length("v") > 0).groupBy("h", "s").agg(F.first("v").alias("v"))
-    blocks = stage(once.mapInPandas(pack, "h array<long>, s array<string>, sizes array<long>, at binary, v binary"))
-
-    def places(b) -> np.ndarray:
-        return np.frombuffer(b["at"], "<u2").astype(np.int64)
+    once = stage(vectors.where(F.length("at") > 0).groupBy("h", "s").agg(F.first(F.struct(*PACKED)).alias("v")).select("h", "s", "v.*"))
 
     def occurrences(batches):
         n, total = np.zeros(DIMS, dtype=np.int64), 0
-        for pdf in batches:
-            for b in pdf.to_dict("records"):
-                n += np.bincount(places(b), minlength=DIMS)
-                total += len(b["sizes"])
-        yield pd.DataFrame({"at": np.arange(-1, DIMS), "n": np.concatenate([[total], n])})
+        for batch in batches:
+            if len(batch):
+                n += np.bincount(_entries(*(batch[c] for c in PACKED))[1], minlength=DIMS)
+                total += len(batch)
+        yield _batch(at=np.arange(-1, DIMS), n=np.concatenate([[total], n]))
 
     def added(df: DataFrame, *by: str) -> dict:
         return {tuple(r[c] for c in by): r["n"] for r in df.groupBy(*by).agg(F.sum("n").alias("n")).collect()}
 
-    found = added(blocks.mapInPandas(occurrences, "at long, n long"), "at")
+    found = added(once.select(*PACKED).mapInArrow(occurrences, "at long, n long"), "at")
     texts = found.get((-1,), 0)
     idf = np.log((1 + texts) / (1 + np.array([found.get((k,), 0) for k in range(DIMS)])))
 
-    def units(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place, value) of a block's unit vectors; a text of nothing but words that all texts have has none."""
-        at = places(b)
-        row = np.repeat(np.arange(len(b["sizes"])), b["sizes"])
-        value = np.frombuffer(b["v"], "<f8") * idf[at]
-        norm = np.sqrt(np.bincount(row, value * value, len(b["sizes"])))
-        some = norm[row] > 0
-        return row[some], at[some], value[some] / norm[row[some]]
+    def units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, value) of a batch's unit vectors; a text of nothing but words that all texts have has none."""
+        row, at, value = _entries(*(batch[c] for c in PACKED))
+        value *= idf[at]
+        norm = np.sqrt(np.bincount(row, value * value, len(batch)))
+        if not norm.all():
+            some = norm[row] > 0
+            row, at, value = row[some], at[some], value[some]
+        return row, at, value / norm[row]
 
     def first(batches):
         best: list = []
-        for pdf in batches:
-            for b in pdf.to_dict("records"):
-                row, at, value = units(b)
-                have = np.unique(row)
-                least = sorted(have.tolist(), key=lambda r: (b["h"][r], b["s"][r]))[:topics]
-                for r in least:
+        for batch in batches:
+            if len(batch):
+                row, at, value = units(batch)
+                h, have = batch["h"].to_numpy(), np.unique(row)
+                if len(have) > topics:  # and those of equal hashes
+                    have = have[h[have] <= np.partition(h[have], topics - 1)[topics - 1]]
+                for r in have.tolist():
                     x = np.zeros(DIMS)
                     x[at[row == r]] = value[row == r]
-                    best.append((b["h"][r], b["s"][r], x.tolist()))
+                    best.append((int(h[r]), batch["s"][r].as_py(), x.tolist()))
                 best = sorted(best, key=lambda e: e[:2])[:topics]
-        yield pd.DataFrame(best, columns=["h", "s", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in best], t) for k, t in enumerate((pa.int64(), pa.string(), pa.list_(pa.float64())))], ["h", "s", "x"])
 
-    start = blocks.mapInPandas(first, "h long, s string, x array<double>").orderBy("h", "s").limit(topics).collect()
+    start = once.mapInArrow(first, "h long, s string, x array<double>").orderBy("h", "s").limit(topics).collect()
     centres = np.array([r["x"] for r in start]).reshape(-1, DIMS)
     for _ in range(TOPIC_ROUNDS if len(centres) else 0):
         def assign(batches, centres=centres):
-            sums = np.zeros(len(centres) * DIMS, dtype=np.int64)
-            for pdf in batches:
-                for b in pdf.to_dict("records"):
-                    row, at, value = units(b)
-                    x = np.zeros((len(b["sizes"]), DIMS))
-                    x[row, at] = value
-                    of = np.round(x @ centres.T, 12).argmax(axis=1)
+            sums, room = np.zeros(len(centres) * DIMS, dtype=np.int64), np.zeros((0, DIMS))
+            for batch in batches:
+                if len(batch):
+                    row, at, value = units(batch)
+                    room = room if len(room) >= len(batch) else np.zeros((len(batch), DIMS))
+                    room[row, at] = value
+                    of = np.round(room[:len(batch)] @ centres.T, 12).argmax(axis=1)
+                    room[row, at] = 0
                     sums += np.bincount(of[row] * DIMS + at, np.rint(value * UNIT), len(sums)).astype(np.int64)
             some = np.flatnonzero(sums)
-            yield pd.DataFrame({"topic": some // DIMS, "at": some % DIMS, "n": sums[some]})
+            yield _batch(topic=some // DIMS, at=some % DIMS, n=sums[some])
 
         sums = np.zeros(centres.shape)
-        for (topic, at), n in added(blocks.mapInPandas(assign, "topic long, at long, n long"), "topic", "at").items():
+        for (topic, at), n in added(once.select(*PACKED).mapInArrow(assign, "topic long, at long, n long"), "topic", "at").items():
             sums[topic, at] = n
         moved = np.where(sums.any(axis=1, keepdims=True), sums, centres)
         moved = moved / np.linalg.norm(moved, axis=1, keepdims=True)
         if np.array_equal(moved, centres):
             break
         centres = moved
-    unstage(blocks)
+    unstage(once)
     return Topics(idf, centres)
 
 
+def _topic_of(topics: Topics) -> Column:
+    """The topic of a text by its packed counts."""
+    @F.pandas_udf("int")
+    def of(at: pd.Series, runs: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([topics.nearest(_unpacked(v)) if len(v[0]) else 0 for v in zip(at, runs, values)], dtype="int32")
+    return of.asNondeterministic()(*PACKED)
+
+
 def describe_column(data: Column, topics: Topics) -> Column:
     """struct(mass, topic): words and one end-of-document token, so that an
     empty document weighs 1."""
@@ -407,34 +429,18 @@ def _rake_joins(cells: DataFrame, margins: dict[str, DataFrame], keep: float, ta
     return now.withColumn("probability", F.least(F.lit(1.0), F.lit(low) * F.col("ratio")))
 
 
-def _weighted(docs: DataFrame, source: str, lang: str, text: str, powers: tuple, keep: float,
-              targets_first: bool) -> tuple[DataFrame, str, str]:
-    """(docs with a struct of mass and topic and one of ratio and probability, their names)."""
-    prepare(docs.sparkSession)
-    at, cell = fresh(docs, "_at"), fresh(docs, "_cell")
-    vectors = _vectors(docs.select(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(text).alias("_text")), "_text", "source", "lang")
-    topics = _fit(vectors, TOPICS)
-
-    @F.pandas_udf("int")
-    def topic(v: pd.Series) -> pd.Series:
-        return pd.Series([topics.nearest(_unpacked(x)) if len(x) else 0 for x in v], dtype="int32")
-
-    cells = cut_lineage(vectors.select("source", "lang", "mass", topic.asNondeterministic()("v").alias("topic")).groupBy("source", "lang", "topic").agg(F.sum("mass").alias("mass")))
-    unstage(vectors)
+def _raked(described: DataFrame, powers: tuple, keep: float, targets_first: bool) -> DataFrame:
+    """(k, a struct of source, lang and topic; cell, one of ratio, probability and
+    miss) from rows (source, lang, topic, mass), marked for broadcast if few."""
+    cells = cut_lineage(described.groupBy("source", "lang", "topic").agg(F.sum("mass").alias("mass")))
     for pull in PULLS if targets_first else PULLS[:1]:
         margins = {c: tempered(cells, c, 1 - (1 - p) * pull, keep) for c, p in zip(("source", "lang", "topic"), powers)}
         raked = rake_cells(cells, margins, keep, targets_first=targets_first)
         kept = raked.agg(F.sum(F.col("mass") * F.col("probability")) / F.sum("mass")).first()[0]
         if kept is None or kept >= NEARLY * keep:
             break
-    raked = cut_lineage(raked.select(F.struct("source", "lang", "topic").alias("k"), F.struct("ratio", "probability", "miss").alias(cell)))
-    small = raked.count() <= DRIVER_CELLS
-    key = F.struct(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(f"{at}.topic").alias("topic"))
-    k = fresh(docs, "_k")
-    raked = raked.withColumnRenamed("k", k)
-    out = docs.withColumn(at, describe_column(text_bytes(text), topics)).join(
-        F.broadcast(raked) if small else raked, key.eqNullSafe(F.col(k))).drop(k)
-    return out, at, cell
+    raked = cut_lineage(raked.select(F.struct("source", "lang", "topic").alias("k"), F.struct("ratio", "probability", "miss").alias("cell")))
+    return F.broadcast(raked) if raked.count() <= DRIVER_CELLS else raked
 
 
 def uniform(seed: int, *cols: Column) -> Column:
@@ -459,19 +465,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``PULLS``, until at least 97 % of that share meets them. Null sources and languages are categories of their own; null and
     empty texts weigh 1 and have the least topic. Rows equal in id and text are
     kept or not together. An empty table gives no rows; other columns are not read.
+    The result reads a table in the shared checkpoint folder that stays there.
     """
-    d = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"))
-    out, at, cell = _weighted(d, "source", "lang", "_text", powers, keep, targets_first)
-    p = F.col(f"{cell}.probability")
-    return out.select(F.col(id_col), "source", "lang", F.col(f"{at}.topic").alias("topic"), F.col(f"{at}.mass").alias("n_tokens"),
-                      F.col(f"{cell}.ratio").alias("weight"), p.alias("probability"),
-                      (uniform(seed, F.col(id_col), F.col("_text")) < p).alias("kept"), F.col(f"{cell}.miss").alias("target_miss"))
+    prepare(docs.sparkSession)
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"))
+    vectors = _vectors(d.withColumn("_u", uniform(seed, F.col("_id"), F.col("_text"))), "_text", "_id", "source", "lang", "_u")
+    topics = _fit(vectors, TOPICS)
+    # without texts and vectors: what is left of a document for its cell and its row
+    described = stage(vectors.select("_id", "source", "lang", "_u", "mass", _topic_of(topics).alias("topic")))
+    unstage(vectors)
+    out = described.join(_raked(described, powers, keep, targets_first), F.struct("source", "lang", "topic").eqNullSafe(F.col("k")))
+    p = F.col("cell.probability")
+    return out.select(F.col("_id").alias(docs.select(F.col(id_col)).columns[0]), "source", "lang", "topic", F.col("mass").alias("n_tokens"),
+                      F.col("cell.ratio").alias("weight"), p.alias("probability"),
+                      (F.col("_u") < p).alias("kept"), F.col("cell.miss").alias("target_miss"))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
            powers: tuple = (0.5, 0.7, 0.5), keep: float = 0.6, seed: int = 42,
            targets_first: bool = False) -> DataFrame:
     """The documents that ``mix`` keeps, with all their columns."""
-    out, _, cell = _weighted(docs, source_col, lang_col, text_col, powers, keep, targets_first)
+    prepare(docs.sparkSession)
+    d = docs.select(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
+    vectors = _vectors(d, "_text", "source", "lang")
+    topics = _fit(vectors, TOPICS)
+    raked = _raked(vectors.select("source", "lang", "mass", _topic_of(topics).alias("topic")), powers, keep, targets_first)
+    unstage(vectors)
+    topic, k, cell = (fresh(docs, c) for c in ("_topic", "_k", "_cell"))
+    raked = raked.withColumnsRenamed({"k": k, "cell": cell})
+    key = F.struct(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(f"{topic}.topic").alias("topic"))
+    out = docs.withColumn(topic, describe_column(text_bytes(text_col), topics)).join(raked, key.eqNullSafe(F.col(k)))
     return (out.where(uniform(seed, F.col(id_col), F.col(text_col)) < F.col(f"{cell}.probability"))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
