@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketflow.operators.search import tokens
-from ticketflow.session import cut_lineage
+from ticketflow.session import cut_lineage, stage, unstage
 
-TRAIN_ROWS = 20_000  # labelled rows a category model is fitted on at most
 FEATURES = 1 << 16
+ROUNDS = 30  # of a category model's fit, at most
 
 
 def _named(messages: DataFrame, dictionaries: dict[str, DataFrame], id_col: str, text_col: str) -> DataFrame:
@@ -90,31 +90,37 @@ def _last_of_least(ids: DataFrame, rows: int):
     return some.orderBy("h", "id").limit(rows).orderBy(F.desc("h"), F.desc("id")).first()
 
 
-def learn_category(labelled: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = TRAIN_ROWS):
+def learn_category(labelled: DataFrame, id_col: str, text_col: str, label_col: str):
     """A function that adds ``predicted`` to messages: TF-IDF over word tokens and
     multinomial logistic regression.
 
-    Fitted on at most ``max_rows`` rows with a text and a label, those of the
-    least hash of the id; one row per id, that of the least label and text.
+    Fitted on every row with a text and a label; one row per id, that of the least
+    label and text. The texts are read once: their hashed word counts are staged,
+    and every pass of the fit reads these.
     """
     usable = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.struct(F.col(label_col).alias("y"), F.col(text_col).alias("x")).alias("r"))
-    last = _last_of_least(usable.select("h", "id"), max_rows)
-    if last is not None:
-        usable = usable.where(F.struct("h", "id") <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["id"]).alias("id")))
-    # only the chosen rows' texts are grouped, and they stay spread over the cluster
-    sample = usable.groupBy("h", "id").agg(F.min("r").alias("r")).select("r.*")
-    sample = cut_lineage(sample.select("y", tokens("x").alias("words")))
-    classes = [r[0] for r in sample.select("y").distinct().orderBy("y").limit(1_000).collect()]
-    if not classes:
-        raise ValueError("no labelled rows to learn from")
-    number = F.element_at(F.create_map(*[x for k, c in enumerate(classes) for x in (F.lit(c), F.lit(float(k)))]), F.col("y"))
-    model = Pipeline(stages=[HashingTF(inputCol="words", outputCol="counts", numFeatures=FEATURES), IDF(inputCol="counts", outputCol="weights"),
-                             LogisticRegression(featuresCol="weights", labelCol="label", family="multinomial", regParam=1e-3, maxIter=30)]).fit(
-        sample.withColumn("label", number))
+        F.col(id_col).alias("id"), F.struct(F.col(label_col).alias("y"), F.col(text_col).alias("x")).alias("r"))
+    rows = usable.groupBy("id").agg(F.min("r").alias("r")).select("r.y", tokens("r.x").alias("words"))
+    hashing = HashingTF(inputCol="words", outputCol="counts", numFeatures=FEATURES)
+    counted = stage(hashing.transform(rows).select("y", F.size(F.array_distinct("words")).alias("n"), "counts"))
+    try:
+        sizes = counted.groupBy("y").agg(F.sum("n").alias("n")).orderBy("y").collect()
+        classes = [r["y"] for r in sizes]
+        if not classes:
+            raise ValueError("no labelled rows to learn from")
+        number = F.element_at(F.create_map(*[x for k, c in enumerate(classes) for x in (F.lit(c), F.lit(float(k)))]), F.col("y"))
+        # every pass sends a gradient of all classes and features per task: a task holds
+        # as many bytes of counts (12 a word) as its gradients of all passes have, 1 GB at most
+        held = min(ROUNDS * len(classes) * FEATURES * 8, 1 << 30)
+        learned = counted.coalesce(max(1, -(-sum(r["n"] for r in sizes) * 12 // held)))
+        model = Pipeline(stages=[IDF(inputCol="counts", outputCol="weights"),
+                                 LogisticRegression(featuresCol="weights", labelCol="label", family="multinomial", regParam=1e-3, maxIter=ROUNDS)]).fit(
+            learned.select("counts", number.alias("label")))
+    finally:
+        unstage(counted)
 
     def predict(messages: DataFrame) -> DataFrame:
-        scored = model.transform(messages.withColumn("words", tokens(text_col)))
+        scored = model.transform(hashing.transform(messages.withColumn("words", tokens(text_col))))
         label = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int") + 1)
         return scored.select(*messages.columns, label.alias("predicted"))
 
